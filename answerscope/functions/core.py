@@ -11,6 +11,7 @@ from answerscope import fixed
 
 # Whitespace and word characters as the metrics define them (Unicode spaces count, words are ASCII).
 WS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+NON_WS = "[^" + WS[1:]
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
 

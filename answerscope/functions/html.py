@@ -34,11 +34,14 @@ def _decode_one(entity: Column) -> Column:
 
 def decode_entities(s: ColumnOrName) -> Column:
     """Decode numeric and the common named entities in a single pass."""
-    t = _html(s)
-    woven = F.array_join(F.zip_with(
-        F.split(t, _ENTITY, -1), F.regexp_extract_all(t, F.lit(_ENTITY), 0),
-        lambda piece, ent: F.concat(piece, F.coalesce(_decode_one(ent), F.lit("")))), "")
-    return F.when(F.contains(t, F.lit("&")) & F.contains(t, F.lit(";")), woven).otherwise(t)
+    def woven(t: Column) -> Column:
+        return F.array_join(F.zip_with(
+            F.split(t, _ENTITY, -1), F.regexp_extract_all(t, F.lit(_ENTITY), 0),
+            lambda piece, ent: F.concat(
+                piece, F.when(ent.isNull(), "").otherwise(_decode_one(ent)))), "")
+
+    return bind(_html(s), lambda t: F.when(
+        F.contains(t, F.lit("&")) & F.contains(t, F.lit(";")), woven(t)).otherwise(t))
 
 
 def to_text(html: ColumnOrName) -> Column:
@@ -49,15 +52,14 @@ def to_text(html: ColumnOrName) -> Column:
     s = F.regexp_replace(s, rf"(?i)</(?:{fixed.BLOCK_TAGS}){WS}*>", "\n")
     s = F.regexp_replace(s, rf"(?i)<br{WS}*/?>", "\n")
     s = F.regexp_replace(s, "<[^>]+>", " ")
-    return bind(s, lambda t: trim_ws(F.regexp_replace(
-        F.regexp_replace(decode_entities(t), r"[ \t\x{a0}]+", " "),
-        rf"\n{WS}*\n{WS}*\n+", "\n\n")))
+    s = F.regexp_replace(decode_entities(s), r"[ \t\x{a0}]+", " ")
+    return trim_ws(F.regexp_replace(s, rf"\n{WS}*\n{WS}*\n+", "\n\n"))
 
 
 def title(html: ColumnOrName) -> Column:
     """Text of the first <title>, entities decoded a second time."""
     inner = F.regexp_extract(_html(html), rf"(?is)<title{B}[^>]*>(.*?)</title>", 1)
-    return bind(to_text(inner), lambda t: trim_ws(squash_ws(decode_entities(t))))
+    return trim_ws(squash_ws(decode_entities(to_text(inner))))
 
 
 def meta(html: ColumnOrName, key: str) -> Column:
@@ -70,8 +72,8 @@ def meta(html: ColumnOrName, key: str) -> Column:
 
 
 def description(html: ColumnOrName) -> Column:
-    d = meta(html, "description")
-    return F.when(d != "", d).otherwise(meta(html, "og:description"))
+    return bind(meta(html, "description"), lambda d: F.when(d != "", d).otherwise(
+        meta(html, "og:description")))
 
 
 def headings(html: ColumnOrName) -> Column:

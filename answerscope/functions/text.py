@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from answerscope import fixed
 from answerscope.functions.core import (
-    NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, ColumnOrName, any_contains, as_col, bind, clamp,
+    NON_WS, NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, ColumnOrName, any_contains, as_col, bind, clamp,
     count_contains, squash_ws, trim_ws,
 )
 
@@ -68,19 +68,15 @@ def normalise(s: ColumnOrName) -> Column:
 
 def word_count(s: ColumnOrName) -> Column:
     """Whitespace-separated words."""
-    t = trim_ws(F.coalesce(as_col(s), F.lit("")))
-    return F.when(t == "", 0).otherwise(F.size(F.split(t, f"{WS}+")))
+    return F.regexp_count(F.coalesce(as_col(s), F.lit("")), F.lit(f"{NON_WS}+"))
 
 
 def is_answer_capsule(s: ColumnOrName) -> Column:
     """Opens with a direct statement of 6..45 words in a text of 15 words or more."""
-    t = trim_ws(F.coalesce(as_col(s), F.lit("")))
-    first = F.split(t, SENTENCE_END)[0]
-    return (
+    return bind(trim_ws(F.coalesce(as_col(s), F.lit(""))), lambda t: (
         (word_count(t) >= 15)
         & ~t.rlike(f"(?i)^(?:{fixed.CAPSULE_HEDGES})")
-        & word_count(first).between(6, 45)
-    )
+        & word_count(F.split(t, SENTENCE_END)[0]).between(6, 45)))
 
 
 def sentences(text: ColumnOrName) -> Column:

@@ -55,6 +55,11 @@ def path_of(url: ColumnOrName) -> Column:
     return F.when(raw == "", "/").otherwise(raw)
 
 
+def path_or_self(url: ColumnOrName) -> Column:
+    """Path of an absolute URL; text that is no URL stands for itself."""
+    return F.when(as_col(url).rlike(_SCHEME), path_of(url)).otherwise(as_col(url))
+
+
 def site_origin(site: ColumnOrName) -> Column:
     """Origin of a site given as domain or URL (B13); the host is ``host_of`` of it."""
     raw = trim_ws(as_col(site))
