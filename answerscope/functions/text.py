@@ -19,6 +19,17 @@ _CONNECTIVE = f"(?i){NOT_AFTER_WORD}(?:{'|'.join(fixed.CONNECTIVES)}){NOT_BEFORE
 _LIST_MARKER = rf"^{WS}*(?:\d{{1,2}}{WS}*[.)]|[-*•]){WS}+"
 
 
+def _char_class(code_points: list[int]) -> str:
+    """Regex class of the given code points, neighbours merged into ranges."""
+    runs: list[list[int]] = []
+    for cp in sorted(code_points):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str], str]:
     """Accent-folding tables derived from the Unicode database by rule.
@@ -43,7 +54,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
             dst.append(out)
         else:
             many[ch] = out
-    members = "[" + "".join(many) + "]"
+    members = _char_class([ord(c) for c in many])
     return "".join(src + dropped), "".join(dst), many, members
 
 
@@ -51,11 +62,9 @@ def normalise(s: ColumnOrName) -> Column:
     """Compatibility-decompose, drop combining accents, lowercase (B1)."""
     src, dst, many, members = _fold_tables()
     text = F.coalesce(as_col(s), F.lit(""))
-    pairs = F.str_to_map(
-        F.lit("\x01".join(f"{k}\x02{v}" for k, v in many.items())),
-        F.lit("\x01"), F.lit("\x02"))
+    pairs = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     expanded = F.when(
-        text.rlike(members),
+        text.rlike(r"[^\x00-\x{17f}]|[\x{bc}-\x{be}\x{132}\x{133}\x{13f}\x{140}\x{149}]") & text.rlike(members),
         F.array_join(
             F.transform(
                 F.split(text, ""),

@@ -78,7 +78,7 @@ def path_matches(pattern: Column, path: Column) -> Column:
     plain = F.when(anchored, path == body).otherwise(F.startswith(path, body))
     return (
         F.when(pattern == "", False).when(pattern == "/", True)
-        .when(F.contains(body, F.lit("*")), path.rlike(regex)).otherwise(plain))
+        .when(F.contains(body, F.lit("*")), F.rlike(path, regex)).otherwise(plain))
 
 
 def allowed_by(rules: Column, path: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from answerscope.operators.mentions import score_answers
 from answerscope.sources.answers import ANSWERS, clean_answers
-from answerscope.sources.runs import newest_version, save_run
 
 JOB_KEYS = ["run_id", "brand_key", "engine", "prompt_id", "sample"]
 
@@ -51,24 +50,28 @@ def windowed_mention_rate(
         F.when(F.col("answered") > 0, F.col("mentions") / F.col("answered")).alias("rate"))
 
 
-def upsert_history(stream: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataStreamWriter:
-    """Sink that upserts run rows by key into versioned Parquet folders.
+def upsert_history(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Sink for run rows (N3): each micro-batch lands in its own ``batch=<id>`` folder.
 
-    Every micro-batch writes a full new version ``v=<batch>`` from the previous one, so a
-    replayed batch after a failure rewrites the same folder and readers never see half a write.
+    A batch replayed after a failure overwrites its own folder, so nothing is doubled, and
+    the cost of a batch does not grow with the history.  ``read_history`` resolves upserts.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_version(batch, path, batch_id, keys)
+        write_batch(batch, path, batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def upsert_version(batch: DataFrame, path: str, version: int, keys: list[str]) -> None:
-    fresh = newest_version(batch, keys)
-    if version > 0:
-        stored = batch.sparkSession.read.parquet(f"{path}/v={version - 1}")
-        fresh = save_run(stored, fresh.select(stored.columns), keys)
-    fresh.write.mode("overwrite").partitionBy("brand_key").parquet(f"{path}/v={version}")
+def write_batch(batch: DataFrame, path: str, batch_id: int) -> None:
+    batch.write.mode("overwrite").partitionBy("brand_key").parquet(f"{path}/batch={batch_id}")
+
+
+def read_history(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Current state of the history: per key the row of the latest batch, then latest write."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    version = F.struct("batch", *(["write_ts"] if "write_ts" in rest else []))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
 
 
 def run_once(writer: DataStreamWriter, done: Callable[[], None] | None = None) -> None:
