@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from functools import lru_cache
 
@@ -61,18 +62,18 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
 def normalise(s: ColumnOrName) -> Column:
     """Compatibility-decompose, drop combining accents, lowercase (B1)."""
     src, dst, many, members = _fold_tables()
-    text = F.coalesce(as_col(s), F.lit(""))
-    pairs = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
-    expanded = F.when(
-        text.rlike(r"[^\x00-\x{17f}]|[\x{bc}-\x{be}\x{132}\x{133}\x{13f}\x{140}\x{149}]") & text.rlike(members),
-        F.array_join(
-            F.transform(
-                F.split(text, ""),
-                lambda c: F.when(c.rlike(members), F.try_element_at(pairs, c)).otherwise(c)),
-            ""),
-    ).otherwise(text)
-    return F.lower(
-        F.when(text.rlike(r"[^\x00-\x7f]"), F.translate(expanded, src, dst)).otherwise(text))
+    # one literal that the optimizer folds to a map, instead of thousands of literals
+    pairs = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
+
+    def folded(text: Column) -> Column:
+        unpacked = F.array_join(F.transform(F.split(text, ""), lambda c: F.when(
+            c.rlike(members), F.try_element_at(pairs, c)).otherwise(c)), "")
+        rare = text.rlike(r"[^\x00-\x{17f}]|[\x{bc}-\x{be}\x{132}\x{133}\x{13f}\x{140}\x{149}]")
+        expanded = F.when(rare & text.rlike(members), unpacked).otherwise(text)
+        return F.lower(F.when(
+            text.rlike(r"[^\x00-\x7f]"), F.translate(expanded, src, dst)).otherwise(text))
+
+    return bind(F.coalesce(as_col(s), F.lit("")), folded)
 
 
 def word_count(s: ColumnOrName) -> Column:
@@ -116,13 +117,13 @@ def sentence_at(text: ColumnOrName, idx: ColumnOrName) -> Column:
 
 def in_list_context(line: Column, sentence: Column) -> Column:
     """Whether a mention sits inside an enumeration."""
-    commas = F.length(sentence) - F.length(F.replace(sentence, F.lit(","), F.lit("")))
-    return (
-        line.rlike(_LIST_MARKER)
-        | any_contains(F.lower(sentence), fixed.LEAD_IN)
-        | ((commas >= 1) & sentence.rlike(_CONNECTIVE))
-        | (commas >= 2)
-    )
+    def inside(s: Column) -> Column:
+        commas = F.length(s) - F.length(F.replace(s, F.lit(","), F.lit("")))
+        return (
+            line.rlike(_LIST_MARKER) | (commas >= 2) | ((commas >= 1) & s.rlike(_CONNECTIVE))
+            | bind(F.lower(s), lambda low: any_contains(low, fixed.LEAD_IN)))
+
+    return bind(sentence, inside)
 
 
 def score_sentiment(

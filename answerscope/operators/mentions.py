@@ -16,10 +16,24 @@ from answerscope import fixed
 from answerscope.functions import text as T
 from answerscope.functions.core import NOT_BEFORE_WORD, bind, clamp, lookup, rx_quote
 from answerscope.functions.urls import host_of, strip_www
+from answerscope.plans.joins import join_dimension
 
 MIN_REACH = 4  # two hits closer than max(variant length, this) are one mention
-_BEFORE = r"(?<![A-Za-z0-9_.-])"
-_AFTER = r"(?![A-Za-z0-9_-])"
+
+
+def fold_case(text: Column) -> Column:
+    """Lowercase that keeps every offset (U+0130 alone would grow by one)."""
+    return F.lower(F.translate(text, "\u0130", "\u0131"))
+
+
+def spelling_pattern(low: Column) -> Column:
+    """Whole-name match in case-folded text.
+
+    The literal comes first so the regex engine can skip ahead by it; the character before
+    it is checked afterwards.
+    """
+    name = rx_quote(low)
+    return F.concat(name, F.lit("(?<![a-z0-9_.-]"), name, F.lit(")(?![a-z0-9_-])"))
 
 
 def entity_variants(entities: DataFrame) -> DataFrame:
@@ -35,8 +49,8 @@ def entity_index(entities: DataFrame) -> DataFrame:
     The array holds one brand profile (brand plus listed competitors), never answers.
     """
     spellings = F.transform(T.name_variants("name", "aliases", "domain"), lambda v: F.struct(
-        F.length(v).alias("len"), F.lower(v).alias("low"),
-        F.concat(F.lit("(?iu)" + _BEFORE), rx_quote(v), F.lit(_AFTER)).alias("pattern")))
+        F.length(v).alias("len"), fold_case(v).alias("low"),
+        spelling_pattern(fold_case(v)).alias("pattern")))
     # array_sort is stable, so equal lengths keep the order of definition
     longest_first = F.array_sort(
         F.transform(spellings, lambda v, i: F.struct(v["len"].alias("len"), i.alias("i"), v.alias("v"))),
@@ -49,7 +63,7 @@ def entity_index(entities: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("entity")).alias("entities"))
 
 
-def _positions(text: Column, v: Column) -> Column:
+def _positions(low: Column, v: Column) -> Column:
     """Offsets of one spelling: running lengths of the pieces between its matches."""
     def step(acc: Column, piece: Column) -> Column:
         at = acc["next"] + F.length(piece)
@@ -60,7 +74,7 @@ def _positions(text: Column, v: Column) -> Column:
 
     start = F.struct(
         F.lit(0).alias("next"), F.array().cast("array<struct<idx:int,len:int>>").alias("hits"))
-    return bind(F.split(text, v["pattern"], -1), lambda pieces: F.aggregate(
+    return bind(F.split(low, v["pattern"], -1), lambda pieces: F.aggregate(
         F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: acc["hits"]))
 
 
@@ -84,23 +98,26 @@ def _mention(text: Column, entity: Column, hits: Column, lexicon: dict | None) -
     lead = F.try_element_at(hits, F.lit(1))["idx"]
     mean = F.aggregate(F.transform(hits, sentiment_at), F.lit(0.0), lambda a, x: a + x) / F.size(hits)
 
-    def struct_for(parts: Column) -> Column:
-        sentence = T.sentence_from_line(parts["before"], parts["after"])
-        in_list = T.in_list_context(F.concat(parts["before"], parts["after"]), sentence)
-        return bind(F.struct(sentence.alias("s"), in_list.alias("l")), lambda ctx: F.struct(
+    def with_sentence(parts: Column, sentence: Column) -> Column:
+        line = F.concat(parts["before"], parts["after"])
+        return bind(T.in_list_context(line, sentence), lambda in_list: F.struct(
             entity["entity_ord"].alias("entity_ord"), entity["name"].alias("name"),
             entity["is_brand"].alias("is_brand"), named.alias("mentioned"),
             F.when(named, F.array_min(F.transform(hits, lambda h: h["idx"])))
             .otherwise(-1).alias("first_index"),
             F.size(hits).alias("count"),
             F.when(named, clamp(mean, -1.0, 1.0)).otherwise(0.0).alias("sentiment"),
-            F.when(named, T.classify_role(ctx["s"], entity["name"], ctx["l"]))
+            F.when(named, T.classify_role(sentence, entity["name"], in_list))
             .otherwise("referenced").alias("role"),
-            F.when(named, ctx["s"]).otherwise("").alias("role_sentence"),
-            (named & ctx["l"]).alias("role_in_list"),
+            F.when(named, sentence).otherwise("").alias("role_sentence"),
+            (named & in_list).alias("role_in_list"),
             F.transform(F.slice(hits, 1, fixed.SNIPPETS_KEPT),
                         lambda h: T.snippet(text, h["idx"], h["len"])).alias("snippets")))
 
+    def struct_for(parts: Column) -> Column:
+        return bind(T.sentence_from_line(parts["before"], parts["after"]),
+                    lambda sentence: with_sentence(parts, sentence))
+
     before, after = T.line_around(text, lead)
     return bind(F.struct(F.when(named, before).alias("before"), F.when(named, after).alias("after")),
                 struct_for)
@@ -113,10 +130,10 @@ def mention_array(text: Column, entities: Column, lexicon: dict | None = None) -
     def of_entity(low: Column, e: Column) -> Column:
         found = F.flatten(F.transform(
             F.filter(e["variants"], lambda v: F.contains(low, v["low"])),
-            lambda v: _positions(body, v)))
+            lambda v: _positions(low, v)))
         return bind(_accepted(found), lambda hits: _mention(body, e, hits, lexicon))
 
-    plain = bind(F.lower(body), lambda low: F.transform(entities, lambda e: of_entity(low, e)))
+    plain = bind(fold_case(body), lambda low: F.transform(entities, lambda e: of_entity(low, e)))
     return bind(plain, ranked)
 
 
@@ -134,19 +151,19 @@ def ranked(mentions: Column) -> Column:
 def find_mentions(answers: DataFrame, entities: DataFrame, lexicon: dict | None = None) -> DataFrame:
     """Answers with a ``mentions`` array (E1, E2); ``explode_mentions`` gives the long form.
 
-    The entity index is joined on ``brand_key`` without a hint: Catalyst broadcasts it while
-    it is under the size threshold, and otherwise sorts and merges with AQE splitting a brand
-    that holds an outsized share of the answers.
+    Answers meet the entity index of their brand: broadcast while its size estimate allows,
+    else a salted join that spreads a brand with an outsized share of the answers.
     """
     return (
-        answers.join(entity_index(entities), "brand_key")
+        join_dimension(answers, entity_index(entities), ["brand_key"], spread="ord")
         .withColumn("mentions", mention_array(F.col("text"), F.col("entities"), lexicon))
         .drop("entities"))
 
 
 def explode_mentions(with_mentions: DataFrame, keys: list[str]) -> DataFrame:
     """Long form: one row per answer and entity."""
-    return with_mentions.select(*keys, F.inline("mentions"))
+    # the outer form keeps Spark from adding a size filter that would evaluate the array twice
+    return with_mentions.select(*keys, F.inline_outer("mentions"))
 
 
 def brand_of(mentions: Column) -> Column:
@@ -172,17 +189,16 @@ def score_answers(
 ) -> DataFrame:
     """Outcomes (E3): answers joined with their prompt, mentions, own citation and score.
 
-    ``prompts`` joins on (brand_key, prompt_id); prompt sets are small per brand but the
-    table grows with the brands, so the choice of join is left to Catalyst and AQE.
+    The text is reduced to mentions and an excerpt before the prompt join, so only narrow
+    rows take part in it.
     """
     p = prompts.select(
         "brand_key", "prompt_id", F.col("text").alias("prompt_text"), "intent",
         F.coalesce("lang", F.lit("en")).alias("lang"), "weight")
-    found = find_mentions(answers.join(p, ["brand_key", "prompt_id"]), entities, lexicon)
-    scored = found.select(
-        *[c for c in answers.columns if c not in ("text", "citations")],
-        "prompt_text", "intent", "lang", "weight", "citations", "mentions",
+    found = find_mentions(answers, entities, lexicon).select(
+        *[c for c in answers.columns if c not in ("text", "citations")], "citations", "mentions",
         brand_of(F.col("mentions")).alias("brand"),
         own_cited(F.col("citations"), F.col("brand_host")).alias("own_cited"),
         T.excerpt("text").alias("answer_excerpt"))
+    scored = join_dimension(found, p, ["brand_key", "prompt_id"], spread="ord")
     return scored.withColumn("score", outcome_score(F.col("status"), F.col("brand"), F.col("own_cited")))

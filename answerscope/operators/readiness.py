@@ -293,11 +293,12 @@ def clarity(pages: DataFrame, brands: DataFrame) -> DataFrame:
 
     ``brands``: host, name, category_text, location.
     """
-    home = pages.where(F.col("page_ord") == 0).join(brands, "host", "left")
     lead = T.normalise(F.concat_ws(
         " ", H.title("html"), H.description("html"), H.lead_copy("html", 120)))
-    ready = home.select(
-        "host", "status", lead.alias("lead"),
+    # the page is reduced to its lead before it meets the brand table
+    home = pages.where(F.col("page_ord") == 0).select("host", "status", lead.alias("lead"))
+    ready = home.join(brands, "host", "left").select(
+        "host", "status", "lead",
         F.split(T.normalise("name"), f"{WS}+").alias("names"),
         F.filter(F.split(T.normalise("category_text"), f"{WS}+"), lambda w: F.length(w) > 3).alias("cats"),
         F.coalesce("location", F.lit("")).alias("location"),
@@ -397,9 +398,9 @@ def assess_readiness(
     sites: DataFrame, pages: DataFrame, brands: DataFrame, as_of: Column | None = None
 ) -> DataFrame:
     """Readiness per host (I29): blocked hosts carry null scores and the reason, never zeros."""
+    # blocked hosts drop out where the per-host rows meet, so no page is moved for it
     open_hosts = sites.where(F.col("reachable") & ~F.col("robots_blocked"))
-    readable = pages.join(open_hosts.select("host"), "host", "left_semi")
-    scores = score_readiness(run_checks(open_hosts, readable, brands, as_of))
+    scores = score_readiness(run_checks(open_hosts, pages, brands, as_of))
     blocked = ~F.col("reachable") | F.col("robots_blocked")
     return sites.join(scores, "host", "left").select(
         "host", blocked.alias("blocked"), F.when(blocked, F.col("robots_blocked")).otherwise(False).alias("robots_blocked"),

@@ -57,8 +57,7 @@ def audit(
     hosts = G.classified_hosts(outcomes, entities)
     sov = M.share_of_voice(outcomes, entities)
     open_sites = sites.where(F.col("reachable") & ~F.col("robots_blocked"))
-    host_checks = I.run_checks(
-        open_sites, pages.join(open_sites.select("host"), "host", "left_semi"), brands, as_of)
+    host_checks = I.run_checks(open_sites, pages, brands, as_of)
     checks = run_sites.select("run_id", "host").join(host_checks, "host")
     readiness = run_sites.join(I.assess_readiness(sites, pages, brands, as_of), "host")
     facts = visibility_facts(outcomes, hosts, gaps)
