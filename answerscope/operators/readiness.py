@@ -1,15 +1,17 @@
 """Site readiness: 26 checks as one aggregate over pages, pillar scores, gating.
 
-``page_features`` turns HTML into a narrow row once; every check is a few aggregates over
-those rows plus a score expression.  Asking for one check prunes every feature it does not
-use, asking for the suite costs a single groupBy(host) with map-side partials, so a host
-with a third of all pages is reduced where its pages are read.
+``page_features`` turns HTML into a narrow row once; every check is a few sums and maxima
+over those rows plus a score expression, so asking for one check computes only what it uses.
+The whole suite reads the pages once: what has to be counted distinct per host (comparison
+URLs, third-party profiles) or ranked (word counts) rides along as token rows, reduced by
+(host, token) first and by host after.  Both steps combine map-side, so a host with a third
+of all pages is reduced where its pages are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,56 +62,89 @@ def parse_date(s: Column) -> Column:
     return F.coalesce(month, iso, rfc)
 
 
-def page_features(pages: DataFrame) -> DataFrame:
-    """One narrow row per page: host, page_ord, url, status, latency_ms and check features."""
-    text = pages.select("*", H.to_text("html").alias("text"), H.headings("html").alias("headings"),
-                        H.title("html").alias("title"), H.description("html").alias("description"),
-                        J.node_facts(J.nodes("html")).alias("nodes"))
-    node_any = lambda f: F.exists("nodes", f)
-    has_type = lambda types: node_any(lambda n: F.arrays_overlap(
-        n["types"], F.array(*map(F.lit, types))))
-    level = lambda n: F.size(F.filter("headings", lambda h: h["level"] == n))
-    ends_q = lambda h: F.endswith(h["text"], F.lit("?"))
-    compares = F.lit(False)
-    for rx in COMPARISON:
-        compares = compares | F.col("title").rlike("(?i)" + rx) | path_or_self("url").rlike("(?i)" + rx)
-    found_time = F.regexp_extract("html", rf"(?i)<time{NA}[^>]*datetime\s*=\s*[\"']([^\"']+)[\"']", 1)
-    dates = F.concat(F.flatten(F.transform("nodes", lambda n: n["dates"])),
-                     F.when(found_time != "", F.array(found_time)).otherwise(
-                         F.array().cast("array<string>")))
-    return text.select(
-        "host", "page_ord", "url", "status", "latency_ms",
-        (F.col("status") == 200).alias("ok"),
-        T.word_count("text").alias("words"),
-        H.looks_client_rendered("html", F.col("text")).alias("shell"),
-        F.col("html").rlike(CANONICAL).alias("canonical"),
-        (F.size("nodes") > 0).alias("has_ld"),
-        has_type(fixed.ENTITY_TYPES).alias("entity_type"),
-        node_any(lambda n: n["has_same_as"]).alias("same_as"),
-        has_type(fixed.FAQ_TYPES).alias("faq_type"),
-        node_any(lambda n: n["has_questions"]).alias("faq_full"),
-        has_type(fixed.OFFER_TYPES).alias("offer_type"),
-        node_any(lambda n: n["priced"]).alias("priced"),
-        ((level(1) == 1) & (level(2) >= 2)).alias("good_outline"),
-        F.size(F.filter("headings", lambda h: h["level"] >= 2)).alias("subheads"),
-        F.size(F.filter("headings", lambda h: (h["level"] >= 2) & h["text"].rlike(QUESTION))).alias("q_subheads"),
-        F.size(F.filter("headings", ends_q)).alias("q_heads"),
-        F.col("html").rlike(LANDMARK).alias("landmark"),
-        (F.length("description") >= 60).alias("described"),
-        T.is_answer_capsule(H.lead_copy("html", 60)).alias("capsule"),
-        compares.alias("compares"),
-        F.col("url").rlike(FAQ_URL).alias("faq_url"),
-        F.regexp_count("text", F.lit(FIGURES)).alias("figures"),
-        F.array_max(F.transform(dates, parse_date)).alias("newest"),
-        F.col("text").rlike(PHONE).alias("phone_text"), node_any(lambda n: n["phone"]).alias("phone_ld"),
-        F.col("text").rlike(STREET).alias("street_text"), node_any(lambda n: n["address"]).alias("address_ld"),
-        F.col("text").rlike(EMAIL).alias("email"),
-        node_any(lambda n: n["author"]).alias("author_ld"),
-        (H.meta("html", "author") != "").alias("author_meta"),
-        F.substring("text", 1, 4000).rlike(BYLINE).alias("byline"),
-        platforms_of(H.links("html", "url"), F.col("host")).alias("platforms"),
-        F.transform(F.flatten(F.transform("nodes", lambda n: n["same_as"])),
-                    lambda u: host_of(u)).alias("profiles"))
+def _types(types: list[str]) -> Column:
+    wanted = F.array(*map(F.lit, types))
+    return F.exists("nodes", lambda n: F.arrays_overlap(n["types"], wanted))
+
+
+def _node(key: str) -> Column:
+    return F.exists("nodes", lambda n: n[key])
+
+
+def _heads(cond: Callable[[Column], Column]) -> Column:
+    return F.size(F.filter("headings", cond))
+
+
+def _compares() -> Column:
+    rx = "(?i)" + "|".join(f"(?:{p})" for p in COMPARISON)
+    return F.col("title").rlike(rx) | path_or_self("url").rlike(rx)
+
+
+def _newest() -> Column:
+    stamp = F.regexp_extract("html", rf"(?i)<time{NA}[^>]*datetime\s*=\s*[\"']([^\"']+)[\"']", 1)
+    listed = F.flatten(F.transform("nodes", lambda n: n["dates"]))
+    dates = F.concat(listed, F.when(stamp != "", F.array(stamp)).otherwise(F.array().cast("array<string>")))
+    return F.array_max(F.transform(dates, parse_date))
+
+
+def _lead() -> Column:
+    text = F.concat_ws(" ", "title", "description", H.lead_copy("html", 120))
+    return F.when(F.col("page_ord") == 0, F.struct("status", T.normalise(text).alias("lead")))
+
+
+# parts of a page that several features share
+PARTS: dict[str, Callable[[], Column]] = {
+    "text": lambda: H.to_text("html"),
+    "headings": lambda: H.headings("html"),
+    "title": lambda: H.title("html"),
+    "description": lambda: H.description("html"),
+    "nodes": lambda: J.node_facts(J.nodes("html")),
+}
+# feature -> (parts it reads, expression)
+FEATURES: dict[str, tuple[list[str], Callable[[], Column]]] = {
+    "ok": ([], lambda: F.col("status") == 200),
+    "latency": ([], lambda: F.when((F.col("status") == 200) & (F.col("latency_ms") > 0), F.col("latency_ms"))),
+    "words": (["text"], lambda: T.word_count("text")),
+    "shell": (["text"], lambda: H.looks_client_rendered("html", F.col("text"))),
+    "canonical": ([], lambda: F.col("html").rlike(CANONICAL)),
+    "has_ld": (["nodes"], lambda: F.size("nodes") > 0),
+    "entity_type": (["nodes"], lambda: _types(fixed.ENTITY_TYPES)),
+    "same_as": (["nodes"], lambda: _node("has_same_as")),
+    "faq_type": (["nodes"], lambda: _types(fixed.FAQ_TYPES)),
+    "faq_full": (["nodes"], lambda: _node("has_questions")),
+    "offer_type": (["nodes"], lambda: _types(fixed.OFFER_TYPES)),
+    "priced": (["nodes"], lambda: _node("priced")),
+    "good_outline": (["headings"], lambda: (_heads(lambda h: h["level"] == 1) == 1)
+                     & (_heads(lambda h: h["level"] == 2) >= 2)),
+    "subheads": (["headings"], lambda: _heads(lambda h: h["level"] >= 2)),
+    "q_subheads": (["headings"], lambda: _heads(lambda h: (h["level"] >= 2) & h["text"].rlike(QUESTION))),
+    "q_heads": (["headings"], lambda: _heads(lambda h: F.endswith(h["text"], F.lit("?")))),
+    "landmark": ([], lambda: F.col("html").rlike(LANDMARK)),
+    "described": (["description"], lambda: F.length("description") >= 60),
+    "capsule": ([], lambda: T.is_answer_capsule(H.lead_copy("html", 60))),
+    "compares": (["title"], _compares),
+    "faq_url": ([], lambda: F.col("url").rlike(FAQ_URL)),
+    "quotable": (["text"], lambda: F.regexp_count("text", F.lit(FIGURES)) >= 3),
+    "newest": (["nodes"], _newest),
+    "phone": (["text", "nodes"], lambda: F.col("text").rlike(PHONE) | _node("phone")),
+    "street": (["text", "nodes"], lambda: F.col("text").rlike(STREET) | _node("address")),
+    "email": (["text"], lambda: F.col("text").rlike(EMAIL)),
+    "author_ld": (["nodes"], lambda: _node("author")),
+    "author_meta": ([], lambda: H.meta("html", "author") != ""),
+    "byline": (["text"], lambda: F.substring("text", 1, 4000).rlike(BYLINE)),
+    "profiles": (["nodes"], lambda: F.array_distinct(F.concat(
+        platforms_of(H.links("html", "url"), F.col("host")),
+        F.transform(F.flatten(F.transform("nodes", lambda n: n["same_as"])), lambda u: host_of(u))))),
+    "home": (["title", "description"], _lead),
+}
+
+
+def page_features(pages: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """One narrow row per page: host, page_ord, url and the named features (all by default)."""
+    chosen = list(FEATURES) if names is None else names
+    parts = [p for p in PARTS if any(p in FEATURES[n][0] for n in chosen)]
+    with_parts = pages.select("*", *[PARTS[p]().alias(p) for p in parts]) if parts else pages
+    return with_parts.select("host", "page_ord", "url", *[FEATURES[n][1]().alias(n) for n in chosen])
 
 
 def platforms_of(links: Column, own: Column) -> Column:
@@ -127,35 +162,14 @@ def platforms_of(links: Column, own: Column) -> Column:
 
 # --- the checks -------------------------------------------------------------------------
 
-Aggs = dict[str, Column]
-
-
-def _ok(c: str) -> Column:
-    return F.col("ok") & F.col(c)
-
-
-def _share(cond: str) -> Callable[[], Aggs]:
-    return lambda: {"n_ok": F.count_if("ok"), f"n_{cond}": F.count_if(_ok(cond))}
-
-
-def _any(*cols: str) -> Callable[[], Aggs]:
-    return lambda: {f"any_{c}": F.coalesce(F.max(c), F.lit(False)) for c in cols}
-
-
-def _share_score(cond: str, none: float) -> Callable[[], Column]:
-    return lambda: F.when(F.col("n_ok") > 0, F.col(f"n_{cond}") / F.col("n_ok")).otherwise(none)
-
-
-def _steps(value: Column, *steps: tuple[float, float], other: float) -> Column:
-    out = F.when(F.lit(False), F.lit(other))
-    for at_least, score in steps:
-        out = out.when(value >= at_least, score)
-    return out.otherwise(F.lit(other))
-
 
 @dataclass(frozen=True)
 class Check:
-    """One check: which page aggregates it needs, its score, when its fix is raised."""
+    """One check: the page features it reads, the sums and maxima it takes of them, its score.
+
+    ``sums`` and ``maxima`` map a name the score uses to an expression over features.
+    ``token`` names what has to be counted or ranked per distinct value.
+    """
 
     id: str
     pillar: str
@@ -163,7 +177,10 @@ class Check:
     score: Callable[[], Column]
     fix: str
     fix_below: float
-    aggs: Callable[[], Aggs] = field(default=dict)
+    features: tuple[str, ...] = ()
+    sums: Callable[[], dict[str, Column]] = dict
+    maxima: Callable[[], dict[str, Column]] = dict
+    token: str | None = None
     needs_pages: bool = False  # no fix is proposed when there was nothing to analyse
 
 
@@ -171,6 +188,36 @@ def _c(name: str) -> Column:
     return F.col(name)
 
 
+def _n_ok() -> dict[str, Column]:
+    return {"n_ok": _c("ok").cast("long")}
+
+
+def _share_of(check_id: str, pillar: str, weight: int, feature: str, none: float, fix: str, below: float,
+              pages_only: bool = True) -> Check:
+    """Share of fetched pages with a property; ``none`` when no page was fetched."""
+    n = f"n_{feature}"
+    return Check(
+        check_id, pillar, weight,
+        lambda: F.when(_c("n_ok") > 0, _c(n) / _c("n_ok")).otherwise(none), fix, below, ("ok", feature),
+        lambda: _n_ok() | {n: (_c("ok") & _c(feature)).cast("long")}, needs_pages=pages_only)
+
+
+def _graded(check_id: str, weight: int, kind: str, full: str, scores: tuple[float, float, float], fix: str) -> Check:
+    """Structured data: absent, present, present and complete on any page."""
+    absent, present, complete = scores
+    return Check(
+        check_id, "structure", weight,
+        lambda: F.when(~_c(f"any_{kind}"), absent).when(_c(f"any_{full}"), complete).otherwise(present),
+        fix, 1.0, (kind, full), maxima=lambda: {f"any_{kind}": _c(kind), f"any_{full}": _c(full)})
+
+
+def _steps(value: Column, *steps: tuple[float, float], other: float) -> Column:
+    out = F.when(F.lit(False), F.lit(other))
+    for at_least, score in steps:
+        out = out.when(value >= at_least, score)
+    return out.otherwise(F.lit(other))
+
+
 CHECKS: list[Check] = [
     Check("ai-crawler-access", "technical", 10, lambda: _c("critical_allowed"), "unblock-ai-crawlers", 1.0),
     Check("robots-txt", "technical", 3, lambda: F.when(~_c("has_robots"), 0.2)
@@ -182,74 +229,57 @@ CHECKS: list[Check] = [
     Check("https", "technical", 3, lambda: F.when(_c("secure"), 1.0).otherwise(0.0), "enable-https", 1.0),
     Check("server-rendering", "technical", 8,
           lambda: F.when(_c("n_ok") > 0, 1 - _c("n_thin") / _c("n_ok")).otherwise(0.0),
-          "server-render-content", 0.9,
-          lambda: {"n_ok": F.count_if("ok"), "n_thin": F.count_if(
-              _c("ok") & (_c("shell") | (_c("words") < 120)))}, needs_pages=True),
+          "server-render-content", 0.9, ("ok", "shell", "words"),
+          lambda: _n_ok() | {"n_thin": (_c("ok") & (_c("shell") | (_c("words") < 120))).cast("long")},
+          needs_pages=True),
     Check("response-speed", "technical", 2,
-          lambda: F.when(_c("latency").isNull(), 0.5).when(_c("latency") < 600, 1.0)
-          .when(_c("latency") < 1500, 0.8).when(_c("latency") < 3000, 0.5).otherwise(0.2),
-          "speed-up-origin", 0.8,
-          lambda: {"n_ok": F.count_if(_c("ok") & (_c("latency_ms") > 0)), "latency": F.avg(
-              F.when(_c("ok") & (_c("latency_ms") > 0), _c("latency_ms")))}, needs_pages=True),
-    Check("canonical", "technical", 2, _share_score("canonical", 0.5), "add-canonical", 0.8,
-          _share("canonical"), needs_pages=True),
-    Check("jsonld-present", "structure", 7, _share_score("has_ld", 0.0), "add-jsonld", 0.8, _share("has_ld")),
-    Check("entity-schema", "structure", 6, lambda: F.when(~_c("any_entity_type"), 0.1)
-          .when(_c("any_same_as"), 1.0).otherwise(0.65), "add-entity-schema", 1.0,
-          _any("entity_type", "same_as")),
-    Check("faq-schema", "structure", 5, lambda: F.when(~_c("any_faq_type"), 0.0)
-          .when(_c("any_faq_full"), 1.0).otherwise(0.7), "add-faq-schema", 1.0, _any("faq_type", "faq_full")),
-    Check("offer-schema", "structure", 4, lambda: F.when(~_c("any_offer_type"), 0.15)
-          .when(_c("any_priced"), 1.0).otherwise(0.6), "add-offer-schema", 1.0, _any("offer_type", "priced")),
-    Check("heading-hierarchy", "structure", 4, _share_score("good_outline", 0.5), "fix-headings", 0.8,
-          _share("good_outline"), needs_pages=True),
+          lambda: F.when(_c("n_timed") == 0, 0.5).when(_c("ms") < 600 * _c("n_timed"), 1.0)
+          .when(_c("ms") < 1500 * _c("n_timed"), 0.8).when(_c("ms") < 3000 * _c("n_timed"), 0.5).otherwise(0.2),
+          "speed-up-origin", 0.8, ("latency",),
+          lambda: {"n_timed": _c("latency").isNotNull().cast("long"), "ms": _c("latency")}),
+    _share_of("canonical", "technical", 2, "canonical", 0.5, "add-canonical", 0.8),
+    _share_of("jsonld-present", "structure", 7, "has_ld", 0.0, "add-jsonld", 0.8, pages_only=False),
+    _graded("entity-schema", 6, "entity_type", "same_as", (0.1, 0.65, 1.0), "add-entity-schema"),
+    _graded("faq-schema", 5, "faq_type", "faq_full", (0.0, 0.7, 1.0), "add-faq-schema"),
+    _graded("offer-schema", 4, "offer_type", "priced", (0.15, 0.6, 1.0), "add-offer-schema"),
+    _share_of("heading-hierarchy", "structure", 4, "good_outline", 0.5, "fix-headings", 0.8),
     Check("question-headings", "structure", 5, lambda: F.when(_c("n_q_sub") == 0, 0.1).otherwise(
         _steps(ratio(_c("n_q_sub"), _c("n_sub")), (0.25, 1.0), (0.12, 0.7), other=0.4)),
-          "question-headings", 0.8, lambda: {
-              "n_sub": F.coalesce(F.sum(F.when(_c("ok"), _c("subheads"))), F.lit(0)),
-              "n_q_sub": F.coalesce(F.sum(F.when(_c("ok"), _c("q_subheads"))), F.lit(0))}),
-    Check("semantic-html", "structure", 2, _share_score("landmark", 0.5), "semantic-landmarks", 0.8,
-          _share("landmark"), needs_pages=True),
-    Check("meta-description", "structure", 2, _share_score("described", 0.5), "write-meta-descriptions", 0.8,
-          _share("described"), needs_pages=True),
-    Check("answer-capsule", "content", 7, _share_score("capsule", 0.5), "write-answer-capsules", 0.8,
-          _share("capsule"), needs_pages=True),
+          "question-headings", 0.8, ("ok", "subheads", "q_subheads"), lambda: {
+              "n_sub": F.when(_c("ok"), _c("subheads")), "n_q_sub": F.when(_c("ok"), _c("q_subheads"))}),
+    _share_of("semantic-html", "structure", 2, "landmark", 0.5, "semantic-landmarks", 0.8),
+    _share_of("meta-description", "structure", 2, "described", 0.5, "write-meta-descriptions", 0.8),
+    _share_of("answer-capsule", "content", 7, "capsule", 0.5, "write-answer-capsules", 0.8),
     Check("comparison-content", "content", 8,
           lambda: _steps(_c("n_compare"), (3, 1.0), (2, 0.75), (1, 0.45), other=0.05),
-          "build-comparison-pages", 0.75, lambda: {"compare_pages": F.lit(None)}),
+          "build-comparison-pages", 0.75, ("compares",), token="compare"),
     Check("faq-content", "content", 6, lambda: F.when(_c("n_q_heads") >= 6, 1.0)
           .when(_c("n_q_heads") >= 3, 0.75).when(_c("n_faq_url") > 0, 0.5)
-          .when(_c("n_q_heads") > 0, 0.35).otherwise(0.05), "add-faq-content", 0.75, lambda: {
-              "n_q_heads": F.coalesce(F.sum(F.when(_c("ok"), _c("q_heads"))), F.lit(0)),
-              "n_faq_url": F.count_if(_ok("faq_url"))}),
+          .when(_c("n_q_heads") > 0, 0.35).otherwise(0.05), "add-faq-content", 0.75,
+          ("ok", "q_heads", "faq_url"), lambda: {
+              "n_q_heads": F.when(_c("ok"), _c("q_heads")), "n_faq_url": (_c("ok") & _c("faq_url")).cast("long")}),
     Check("content-depth", "content", 4, lambda: F.when(_c("median_words").isNull(), 0.5).otherwise(
         _steps(_c("median_words"), (800, 1.0), (500, 0.8), (300, 0.55), other=0.25)),
-          "deepen-content", 0.8, lambda: {
-              "n_ok": F.count_if("ok"),
-              # descending discrete percentile = the upper median; keeps value counts, not rows
-              "median_words": F.expr(
-                  "percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN ok THEN words END DESC)")},
-          needs_pages=True),
-    Check("quotable-stats", "content", 5, _share_score("quotable", 0.5), "add-quotable-stats", 0.7,
-          lambda: {"n_ok": F.count_if("ok"), "n_quotable": F.count_if(_c("ok") & (_c("figures") >= 3))},
-          needs_pages=True),
+          "deepen-content", 0.8, ("ok", "words"), _n_ok, token="words", needs_pages=True),
+    _share_of("quotable-stats", "content", 5, "quotable", 0.5, "add-quotable-stats", 0.7),
     Check("freshness", "content", 4, lambda: F.when(_c("age_days").isNull(), 0.15)
           .when(_c("age_days") <= 60, 1.0).when(_c("age_days") <= 180, 0.75)
-          .when(_c("age_days") <= 365, 0.45).otherwise(0.2), "add-freshness-signals", 0.75,
-          lambda: {"newest": F.max("newest")}),
+          .when(_c("age_days") <= 365, 0.45).otherwise(0.2), "add-freshness-signals", 0.75, ("newest",),
+          maxima=lambda: {"newest": _c("newest")}),
     Check("third-party-signals", "authority", 6,
-          lambda: _steps(_c("n_profiles"), (5, 1.0), (3, 0.75), (1, 0.45), other=0.05),
-          "build-third-party-presence", 0.75),
+          lambda: _steps(_c("n_profile"), (5, 1.0), (3, 0.75), (1, 0.45), other=0.05),
+          "build-third-party-presence", 0.75, ("profiles",), token="profile"),
     Check("contact-signals", "authority", 4, lambda: (
-        _c("any_phone").cast("int") + _c("any_address").cast("int") + _c("any_email").cast("int")) / 3.0,
-          "publish-nap", 1.0, lambda: {
-              "any_phone": F.coalesce(F.max(_c("phone_text") | _c("phone_ld")), F.lit(False)),
-              "any_address": F.coalesce(F.max(_c("street_text") | _c("address_ld")), F.lit(False)),
-              "any_email": F.coalesce(F.max("email"), F.lit(False))}),
+        _c("any_phone").cast("int") + _c("any_street").cast("int") + _c("any_email").cast("int")) / 3.0,
+          "publish-nap", 1.0, ("phone", "street", "email"),
+          maxima=lambda: {"any_phone": _c("phone"), "any_street": _c("street"), "any_email": _c("email")}),
     Check("authorship", "authority", 3, lambda: F.when(_c("any_author_ld"), 1.0)
           .when(_c("any_author_meta"), 0.7).when(_c("any_byline"), 0.45).otherwise(0.1),
-          "add-authorship", 0.7, _any("author_ld", "author_meta", "byline")),
-    Check("entity-clarity", "content", 5, lambda: _c("clarity"), "clarify-entity", 0.8, needs_pages=True),
+          "add-authorship", 0.7, ("author_ld", "author_meta", "byline"), maxima=lambda: {
+              "any_author_ld": _c("author_ld"), "any_author_meta": _c("author_meta"), "any_byline": _c("byline")}),
+    Check("entity-clarity", "content", 5,
+          lambda: F.when(_c("home.status") == 200, _c("clarity")).otherwise(0.3), "clarify-entity", 0.8,
+          ("home",), maxima=lambda: {"home": _c("home")}),
 ]
 BY_ID = {c.id: c for c in CHECKS}
 
@@ -273,44 +303,88 @@ def _site_facts(sites: DataFrame, need: set[str], as_of: Column) -> DataFrame:
     return out
 
 
-def comparison_hits(features: DataFrame, sites: DataFrame) -> DataFrame:
-    """Distinct comparison-style URLs per host, from pages and sitemap."""
-    listed = sites.select("host", F.explode("sitemap_urls").alias("url"))
-    rx = "(?i)" + "|".join(f"(?:{p})" for p in COMPARISON)
-    hits = features.where("compares").select("host", "url").unionByName(
-        listed.where(path_or_self("url").rlike(rx)))
-    return hits.groupBy("host").agg(F.count_distinct("url").alias("n_compare"))
+# what each token counts, from a page's features
+TOKENS: dict[str, Callable[[], Column]] = {
+    "compare": lambda: F.when(_c("compares"), F.array("url")),
+    "profile": lambda: F.filter("profiles", lambda p: p != ""),
+    "words": lambda: F.when(_c("ok"), F.array(F.lpad(_c("words").cast("string"), 10, "0"))),
+}
+
 
+def _token_rows(kind: str, values: Column) -> Column:
+    empty = F.array().cast("array<string>")
+    return F.transform(F.coalesce(values, empty), lambda v: F.struct(
+        F.lit(kind).alias("kind"), v.alias("value")))
 
-def profile_counts(features: DataFrame) -> DataFrame:
-    """Distinct third-party profiles per host: linked platforms and sameAs hosts."""
-    every = features.select("host", F.explode(F.concat("platforms", "profiles")).alias("p")).where("p <> ''")
-    return every.groupBy("host").agg(F.count_distinct("p").alias("n_profiles"))
 
+def _median(histogram: Column, half: Column) -> Column:
+    """Value at 0-based position ``half`` of a sorted histogram of (value, n)."""
+    done = F.aggregate(
+        F.array_sort(histogram), F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("string").alias("v")),
+        lambda acc, h: F.when(acc["v"].isNotNull() | (acc["seen"] + h["n"] <= half), F.struct(
+            (acc["seen"] + h["n"]).alias("seen"), acc["v"].alias("v"))).otherwise(F.struct(
+                acc["seen"].alias("seen"), h["value"].alias("v"))))
+    return done["v"].cast("int")
 
-def clarity(pages: DataFrame, brands: DataFrame) -> DataFrame:
-    """Whether the home page says who, what and where (I23): host, clarity.
 
-    ``brands``: host, name, category_text, location.
+def _per_host(pages: DataFrame, sites: DataFrame, chosen: list[Check]) -> DataFrame | None:
+    """Everything the chosen checks need of a host's pages, from one pass over the pages."""
+    names = list(dict.fromkeys(f for c in chosen for f in c.features))
+    if not names:
+        return None
+    sums: dict[str, Column] = {}
+    maxima: dict[str, Column] = {}
+    for c in chosen:
+        sums |= c.sums()
+        maxima |= c.maxima()
+    kinds = [c.token for c in chosen if c.token]
+    rows = page_features(pages, names)
+    plain = [e.alias(n) for n, e in (sums | maxima).items()]
+    total = [F.sum(n).alias(n) for n in sums] + [F.max(n).alias(n) for n in maxima]
+    if not kinds:
+        return rows.select("host", *plain).groupBy("host").agg(*total)
+    # one plain row per page carries the sums; every token is a row of its own
+    tokens = F.concat(
+        F.array(F.struct(F.lit("page").alias("kind"), F.lit("").alias("value"))),
+        *[_token_rows(k, TOKENS[k]()) for k in kinds])
+    wide = rows.select("host", *plain, F.explode(tokens).alias("t"))
+    on_page = F.col("t.kind") == "page"
+    measured = wide.select("host", "t.kind", "t.value", *[
+        F.when(on_page, F.col(n)).alias(n) for n in (*sums, *maxima)])
+    if "compare" in kinds:
+        rx = "(?i)" + "|".join(f"(?:{p})" for p in COMPARISON)
+        listed = sites.select("host", F.lit("compare").alias("kind"), F.explode("sitemap_urls").alias("value"))
+        measured = measured.unionByName(
+            listed.where(path_or_self("value").rlike(rx)), allowMissingColumns=True)
+    by_token = measured.groupBy("host", "kind", "value").agg(*total, F.count(F.lit(1)).alias("n"))
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds if k != "words"]
+    hist = [] if "words" not in kinds else [F.collect_list(
+        F.when(F.col("kind") == "words", F.struct("value", "n"))).alias("_hist")]
+    out = by_token.groupBy("host").agg(*total, *counts, *hist)
+    if hist:  # as long as the number of different word counts, not of pages
+        out = out.withColumn("median_words", _median(F.col("_hist"), F.floor(F.col("n_ok") / 2))).drop("_hist")
+    return out
+
+
+def clarity(hosts: DataFrame, brands: DataFrame) -> DataFrame:
+    """Adds ``clarity``: does the home page's lead say who, what and where.
+
+    ``hosts`` carries ``home`` = struct(status, lead).  ``brands``: host, name,
+    category_text, location.
     """
-    lead = T.normalise(F.concat_ws(
-        " ", H.title("html"), H.description("html"), H.lead_copy("html", 120)))
-    # the page is reduced to its lead before it meets the brand table
-    home = pages.where(F.col("page_ord") == 0).select("host", "status", lead.alias("lead"))
-    ready = home.join(brands, "host", "left").select(
-        "host", "status", "lead",
-        F.split(T.normalise("name"), f"{WS}+").alias("names"),
+    lead = F.col("home.lead")
+    words = brands.select(
+        "host", F.split(T.normalise("name"), f"{WS}+").alias("names"),
         F.filter(F.split(T.normalise("category_text"), f"{WS}+"), lambda w: F.length(w) > 3).alias("cats"),
-        F.coalesce("location", F.lit("")).alias("location"),
+        (F.coalesce("location", F.lit("")) == "").alias("anywhere"),
         F.split(T.normalise("location"), rf"(?:{WS}|,)+").alias("places"))
-    inside = lambda w: F.contains(F.col("lead"), w)
-    named = F.forall("names", lambda w: (F.length(w) < 3) | inside(w))
+    inside = lambda w: F.contains(lead, w)
+    named = F.coalesce(F.forall("names", lambda w: (F.length(w) < 3) | inside(w)), F.lit(True))
     cat = F.when(F.size("cats") > 0, F.size(F.filter("cats", inside)) / F.size("cats")).otherwise(1.0)
-    placed = (F.col("location") == "") | F.exists("places", lambda w: (F.length(w) > 2) & inside(w))
+    placed = F.coalesce("anywhere", F.lit(True)) | F.exists("places", lambda w: (F.length(w) > 2) & inside(w))
     score = F.when(named, 0.4).otherwise(0.0) + cat * 0.4 + F.when(placed, 0.2).otherwise(0.0)
-    return ready.select(
-        "host", F.when(F.col("status") == 200, score).alias("clarity_score"),
-        (F.col("status") == 200).cast("long").alias("home_ok"))
+    return hosts.join(words, "host", "left").withColumn("clarity", score).drop(
+        "names", "cats", "anywhere", "places")
 
 
 def run_checks(
@@ -323,30 +397,18 @@ def run_checks(
     """
     chosen = [c for c in CHECKS if only is None or c.id in only]
     need = {c.id for c in chosen}
-    features = page_features(pages)
     base = _site_facts(sites, need, F.current_timestamp() if as_of is None else as_of)
-    aggs: Aggs = {}
-    for c in chosen:
-        if c.id != "comparison-content":
-            aggs.update(c.aggs())
-    if aggs:
-        base = base.join(features.groupBy("host").agg(*[v.alias(k) for k, v in aggs.items()]), "host", "left")
-        fills = {k: F.coalesce(F.col(k), F.lit(0)) for k in aggs if k.startswith("n_")}
-        fills |= {k: F.coalesce(F.col(k), F.lit(False)) for k in aggs if k.startswith("any_")}
-        base = base.withColumns(fills) if fills else base
+    facts = _per_host(pages, sites, chosen)
+    if facts is not None:
+        base = base.join(facts, "host", "left")
+        base = base.withColumns(
+            {c: F.coalesce(F.col(c), F.lit(0)) for c in facts.columns if c.startswith("n_")}
+            | {c: F.coalesce(F.col(c), F.lit(False)) for c in facts.columns if c.startswith("any_")})
     if "freshness" in need:
         base = base.withColumn("age_days", F.floor(
             (F.col("as_of").cast("double") - F.col("newest").cast("double")) / 86400))
-    if "comparison-content" in need:
-        base = base.join(comparison_hits(features, sites), "host", "left").withColumn(
-            "n_compare", F.coalesce("n_compare", F.lit(0)))
-    if "third-party-signals" in need:
-        base = base.join(profile_counts(features), "host", "left").withColumn(
-            "n_profiles", F.coalesce("n_profiles", F.lit(0)))
     if "entity-clarity" in need:
-        base = base.join(clarity(pages, brands), "host", "left").withColumns({
-            "home_ok": F.coalesce("home_ok", F.lit(0)),
-            "clarity": F.coalesce("clarity_score", F.lit(0.3))})
+        base = clarity(base, brands)
 
     def row(c: Check) -> Column:
         score = clamp(c.score().cast("double"), 0.0, 1.0)
@@ -354,7 +416,9 @@ def run_checks(
         if c.id == "ai-crawler-access":
             raise_fix = F.col("blocked_crawlers") > 0
         elif c.id == "entity-clarity":
-            raise_fix = raise_fix & (F.col("home_ok") > 0)
+            raise_fix = raise_fix & (F.col("home.status") == 200)
+        elif c.id == "response-speed":
+            raise_fix = raise_fix & (F.col("n_timed") > 0)
         elif c.needs_pages:
             raise_fix = raise_fix & (F.col("n_ok") > 0)
         return F.struct(
