@@ -12,6 +12,8 @@ from answerscope import fixed
 # Whitespace and word characters as the metrics define them (Unicode spaces count, words are ASCII).
 WS = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 NON_WS = "[^" + WS[1:]
+WS_CHARS = "\t\n\x0b\x0c\r " + "".join(
+    chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 NOT_AFTER_WORD = r"(?<![A-Za-z0-9_])"
 NOT_BEFORE_WORD = r"(?![A-Za-z0-9_])"
 
@@ -31,18 +33,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def literals(terms: list[str]) -> Column:
+    """Literal array of strings, built in one expression."""
+    return F.expr("array(" + ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms) + ")")
+
+
 def any_contains(text: Column, terms: list[str]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | F.contains(text, F.lit(t))
-    return out
+    return F.exists(literals(terms), lambda t: F.contains(text, t))
 
 
 def count_contains(text: Column, terms: list[str]) -> Column:
-    out = F.lit(0)
-    for t in terms:
-        out = out + F.contains(text, F.lit(t)).cast("int")
-    return out
+    return F.size(F.filter(literals(terms), lambda t: F.contains(text, t)))
 
 
 def rx_quote(literal: Column) -> Column:
@@ -57,7 +58,7 @@ def rx_escape(literal: ColumnOrName) -> Column:
 
 
 def trim_ws(s: ColumnOrName) -> Column:
-    return F.regexp_replace(as_col(s), rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(as_col(s), F.lit(WS_CHARS))
 
 
 def squash_ws(s: ColumnOrName) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answerscope import fixed
-from answerscope.functions.core import NOT_BEFORE_WORD, WS, ColumnOrName, as_col, bind, squash_ws, trim_ws
+from answerscope.functions.core import NOT_BEFORE_WORD, WS, ColumnOrName, as_col, bind, literals, squash_ws, trim_ws
 from answerscope.functions.text import word_count
 from answerscope.functions.urls import resolve_url
 
@@ -20,7 +20,7 @@ def _html(c: ColumnOrName) -> Column:
 
 def _decode_one(entity: Column) -> Column:
     """Character of one entity; unknown names and impossible code points stay as written."""
-    names = F.create_map(*[F.lit(x) for kv in fixed.NAMED_ENTITIES.items() for x in kv])
+    names = F.map_from_arrays(literals(list(fixed.NAMED_ENTITIES)), literals(list(fixed.NAMED_ENTITIES.values())))
     hexa = F.regexp_extract(entity, "(?i)^&#x0*([0-9a-f]{1,6});$", 1)
     deci = F.regexp_extract(entity, "^&#0*([0-9]{1,7})[0-9a-fA-F]*;$", 1)
     code = F.when(hexa != "", F.conv(hexa, 16, 10)).when(deci != "", deci).cast("long")
@@ -52,7 +52,7 @@ def to_text(html: ColumnOrName) -> Column:
     s = F.regexp_replace(s, rf"(?i)</(?:{fixed.BLOCK_TAGS}){WS}*>", "\n")
     s = F.regexp_replace(s, rf"(?i)<br{WS}*/?>", "\n")
     s = F.regexp_replace(s, "<[^>]+>", " ")
-    s = F.regexp_replace(decode_entities(s), r"[ \t\x{a0}]+", " ")
+    s = F.regexp_replace(decode_entities(s), r"[ \t\x{a0}]{2,}|[\t\x{a0}]", " ")
     return trim_ws(F.regexp_replace(s, rf"\n{WS}*\n{WS}*\n+", "\n\n"))
 
 

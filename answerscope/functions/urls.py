@@ -13,13 +13,11 @@ _BAD_HOST = r"[\x00-\x20<>^|%\[\]]|:.*[^0-9]"
 
 def _port_stripped(scheme: Column, host: Column) -> Column:
     """Drop the port a scheme implies, and a dangling colon."""
-    implied = (
-        F.when(scheme.isin("http", "ws"), ":80").when(scheme.isin("https", "wss"), ":443")
-        .otherwise(":21"))
-    return (
-        F.when(F.endswith(host, F.lit(":")), F.regexp_replace(host, ":$", ""))
-        .when(F.endswith(host, implied), F.substring_index(host, ":", 1))
-        .otherwise(host))
+    return bind(host, lambda h: F.when(~F.contains(h, F.lit(":")), h)
+                .when(F.endswith(h, F.lit(":")), F.regexp_replace(h, ":$", ""))
+                .when(F.endswith(h, F.when(scheme.isin("http", "ws"), ":80")
+                                 .when(scheme.isin("https", "wss"), ":443").otherwise(":21")),
+                      F.substring_index(h, ":", 1)).otherwise(h))
 
 
 def scheme_of(url: ColumnOrName) -> Column:
@@ -28,11 +26,13 @@ def scheme_of(url: ColumnOrName) -> Column:
 
 def full_host(url: ColumnOrName) -> Column:
     """Host with explicit port, lowercased, '' when the URL does not parse."""
-    u = trim_ws(F.coalesce(as_col(url), F.lit("")))
-    authority = F.regexp_extract(u, _SCHEME + r"([^/\\?#]*)", 2)
-    bare = F.lower(F.element_at(F.split(authority, "@"), -1))
-    return bind(_port_stripped(scheme_of(u), bare),
-                lambda h: F.when(h.rlike(_BAD_HOST), "").otherwise(h))
+    def host(u: Column) -> Column:
+        authority = F.regexp_extract(u, _SCHEME + r"([^/\\?#]*)", 2)
+        bare = F.lower(F.element_at(F.split(authority, "@"), -1))
+        return bind(_port_stripped(scheme_of(u), bare),
+                    lambda h: F.when(h.rlike(_BAD_HOST), "").otherwise(h))
+
+    return bind(trim_ws(F.coalesce(as_col(url), F.lit(""))), host)
 
 
 def strip_www(host: ColumnOrName) -> Column:
@@ -52,7 +52,7 @@ def same_host(a: ColumnOrName, b: ColumnOrName) -> Column:
 def path_of(url: ColumnOrName) -> Column:
     """Path of an absolute URL, '/' when empty."""
     raw = F.regexp_extract(as_col(url), _SCHEME + r"[^/\\?#]*([^?#]*)", 2)
-    return F.when(raw == "", "/").otherwise(raw)
+    return F.concat(F.when(F.startswith(raw, F.lit("/")), "").otherwise("/"), raw)
 
 
 def path_or_self(url: ColumnOrName) -> Column:
@@ -91,30 +91,28 @@ def fold_dots(path: Column) -> Column:
 
 def normalise_url(url: ColumnOrName) -> Column:
     """Canonical spelling of an absolute URL, '' when it does not parse."""
-    u = trim_ws(F.coalesce(as_col(url), F.lit("")))
-    rest = F.regexp_extract(u, _SCHEME + r"[^/\\?#]*(.*)", 2)
-    path = F.regexp_extract(rest, "^([^?#]*)", 1)
-    tail = F.substring(rest, F.length(path) + 1, F.length(rest))
-    clean = _percent_encode(fold_dots(F.when(path == "", "/").otherwise(path)),
-                            r"[^\x21-\x7e]|[\"<>`{}]")
-    user = F.regexp_extract(u, _SCHEME + r"([^/\\?#]*@)", 2)
-    return F.when(full_host(u) == "", "").otherwise(F.concat(
-        scheme_of(u), F.lit("://"), user, full_host(u), clean,
-        _percent_encode(tail, r"[^\x21-\x7e]|[\"<>]")))
+    def spelled(u: Column) -> Column:
+        user = F.regexp_extract(u, _SCHEME + r"([^/\\?#]*@)", 2)
+        return bind(full_host(u), lambda host: F.when(host == "", "").otherwise(F.concat(
+            scheme_of(u), F.lit("://"), user, host,
+            bind(path_of(u), lambda p: bind(fold_dots(p), lambda q: _percent_encode(
+                q, r"[^\x21-\x7e]|[\"<>`{}]"))),
+            bind(F.regexp_extract(u, r"[?#].*", 0), lambda t: _percent_encode(
+                t, r"[^\x21-\x7e]|[\"<>]")))))
+
+    return bind(trim_ws(F.coalesce(as_col(url), F.lit(""))), spelled)
 
 
 def resolve_url(href: Column, base: Column) -> Column:
     """Absolute form of ``href`` as found on page ``base``."""
     origin = F.regexp_extract(base, _SCHEME + r"[^/\\?#]*", 0)
-    folder = F.regexp_extract(path_of(base), "^.*/", 0)
     absolute = (
-        F.when(href.rlike(_SCHEME), href)
-        .when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href)
+        F.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href)
         .when(F.startswith(href, F.lit("//")), F.concat(scheme_of(base), F.lit(":"), href))
         .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
         .when(F.startswith(href, F.lit("?")), F.concat(origin, path_of(base), href))
-        .otherwise(F.concat(origin, folder, href)))
-    return F.when(absolute.rlike(_SCHEME), normalise_url(absolute)).otherwise(absolute)
+        .otherwise(F.concat(origin, F.regexp_extract(path_of(base), "^.*/", 0), href)))
+    return bind(absolute, lambda a: F.when(a.rlike(_SCHEME), normalise_url(a)).otherwise(a))
 
 
 def extract_urls(text: ColumnOrName) -> Column:

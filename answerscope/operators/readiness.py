@@ -21,7 +21,7 @@ from answerscope.functions import html as H
 from answerscope.functions import jsonld as J
 from answerscope.functions import text as T
 from answerscope.functions.core import (
-    NOT_AFTER_WORD as NB, NOT_BEFORE_WORD as NA, WS, clamp, ratio, round_half_up, status_for,
+    NOT_AFTER_WORD as NB, NOT_BEFORE_WORD as NA, WS, clamp, literals, ratio, round_half_up, status_for,
 )
 from answerscope.functions.urls import host_of, path_or_self, strip_www
 from answerscope.operators.robots import audit_ai_access
@@ -149,11 +149,11 @@ def page_features(pages: DataFrame, names: list[str] | None = None) -> DataFrame
 
 def platforms_of(links: Column, own: Column) -> Column:
     """Known platforms a page links to, each once."""
+    known = literals(fixed.PLATFORMS)
+
     def platform(h: Column) -> Column:
-        out = F.when(F.lit(False), "")
-        for p in fixed.PLATFORMS:
-            out = out.when((h == p) | F.endswith(h, F.lit("." + p)), p)
-        return out
+        return F.try_element_at(
+            F.filter(known, lambda p: (h == p) | F.endswith(h, F.concat(F.lit("."), p))), F.lit(1))
 
     hosts = F.array_distinct(F.transform(links, lambda u: host_of(u)))
     foreign = F.filter(hosts, lambda h: (h != "") & (h != strip_www(own)))
