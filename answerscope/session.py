@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,14 @@ def local_session(app: str = "answerscope", cores: str | None = None) -> SparkSe
     )
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, under the shared folder the cluster names."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/answerscope-{uuid.uuid4().hex}/{name}"
+    return tempfile.mkdtemp(prefix="answerscope-") + "/" + name
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder the cluster names.
 

@@ -130,7 +130,27 @@ VIEWS: dict[str, str] = {
         CAST((event_id * 19) % 100 AS DOUBLE) / 100 AS mention_rate, event_id % 31 = 0 AS blocked, event_id
         FROM events""",
 }
-NEEDS = {"v_rich": ["v_pages", "v_hosts"], "v_sites": ["v_hosts"], "v_entities": ["v_brand_keys"],
+VIEWS |= {
+    # brand profiles as JSON lines, one per customer, with every shape the reader must accept or refuse
+    "v_profiles": """SELECT c_custkey AS k, CASE WHEN c_custkey % 29 = 5 THEN '{broken' ELSE '{'
+        || CASE WHEN c_custkey % 13 = 5 THEN '' ELSE '"name":" ' || c_name || ' ",' END
+        || CASE WHEN c_custkey % 17 = 5 THEN '"domain":7,' ELSE '"domain":" https://www.' || lower(c_mktsegment) || CAST(c_custkey AS STRING) || '.example/home",' END
+        || '"category":' || CASE WHEN c_custkey % 19 = 5 THEN '""' WHEN c_custkey % 23 = 5 THEN '{"en":" "}'
+           WHEN c_custkey % 3 = 0 THEN '"' || lower(c_mktsegment) || ' tools "' WHEN c_custkey % 3 = 1 THEN '{"de":"Werkzeug","en":""}' ELSE '{"it":"Attrezzi","fr":"Outils"}' END
+        || ',"competitors":' || CASE c_custkey % 4 WHEN 0 THEN '["Rival A",{"name":"Rival B","domain":"https://www.b.example/x","aliases":["RB"]}]'
+           WHEN 1 THEN '[]' WHEN 2 THEN '[{"domain":"x.example"},"Solo"]' ELSE '["C1","C2","C3","C4","C5"]' END
+        || CASE WHEN c_custkey % 5 = 0 THEN ',"languages":["DE ","en"]' ELSE '' END
+        || CASE WHEN c_custkey % 2 = 0 THEN ',"location":"Paris"' ELSE '' END
+        || CASE WHEN c_custkey % 6 = 0 THEN ',"audience":"teams"' ELSE '' END
+        || CASE WHEN c_custkey % 7 = 0 THEN ',"extraPrompts":["My own  question?","WHO ist ' || c_name || '?","Wer ist ' || c_name || '?"]' ELSE '' END
+        || ',"aliases":["c' || CAST(c_custkey AS STRING) || '"]}' END AS line, c_name, c_mktsegment FROM customer""",
+    # one visibility summary per audited host
+    "v_vis": """SELECT host AS run_id, first_id % 9 AS prompts_answered, first_id % 5 AS gap_count, CAST(first_id % 10 AS DOUBLE) / 20 AS citation_rate,
+        CAST(first_id % 11 AS DOUBLE) / 10 AS mention_rate, CAST(first_id % 7 AS DOUBLE) / 10 AS influence_ratio, first_id % 3 AS dismissed_count,
+        first_id % 8 AS total_citations, CAST(first_id % 10 AS DOUBLE) / 10 AS off_site_share, CASE WHEN first_id % 4 = 0 THEN NULL ELSE CAST(first_id % 6 AS DOUBLE) / 5 END AS branded_rate,
+        CAST(first_id % 13 AS DOUBLE) / 13 AS brand_share, first_id % 2 = 0 AS leader_is_brand, first_id % 12 <> 0 AS visibility_run FROM v_hosts""",
+}
+NEEDS = {"v_vis": ["v_hosts"], "v_rich": ["v_pages", "v_hosts"], "v_sites": ["v_hosts"], "v_entities": ["v_brand_keys"],
          "v_mentions": ["v_outcomes"]}
 
 
