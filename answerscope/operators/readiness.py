@@ -458,13 +458,14 @@ def blocked_reason(sites: DataFrame) -> Column:
     return F.when(F.col("robots_blocked"), "robots").otherwise(F.coalesce("error", F.lit("no usable response")))
 
 
-def assess_readiness(
-    sites: DataFrame, pages: DataFrame, brands: DataFrame, as_of: Column | None = None
-) -> DataFrame:
-    """Readiness per host (I29): blocked hosts carry null scores and the reason, never zeros."""
-    # blocked hosts drop out where the per-host rows meet, so no page is moved for it
-    open_hosts = sites.where(F.col("reachable") & ~F.col("robots_blocked"))
-    scores = score_readiness(run_checks(open_hosts, pages, brands, as_of))
+def assess_readiness(sites: DataFrame, checks: DataFrame) -> DataFrame:
+    """Readiness per host (I29): blocked hosts carry null scores and the reason, never zeros.
+
+    ``checks`` are the rows of ``run_checks``; those of blocked hosts are dropped here, where
+    only narrow per-host rows meet.
+    """
+    open_hosts = sites.where(F.col("reachable") & ~F.col("robots_blocked")).select("host")
+    scores = score_readiness(checks.join(open_hosts, "host", "left_semi"))
     blocked = ~F.col("reachable") | F.col("robots_blocked")
     return sites.join(scores, "host", "left").select(
         "host", blocked.alias("blocked"), F.when(blocked, F.col("robots_blocked")).otherwise(False).alias("robots_blocked"),

@@ -12,13 +12,14 @@ from answerscope.operators import metrics as M
 from answerscope.operators import readiness as I
 from answerscope.operators import recommend as J
 from answerscope.operators import surfaces as G
+from answerscope.session import materialise
 
 RUN = M.RUN
 
 
 @dataclass
 class Audit:
-    """Tables of an audit, all lazy."""
+    """Tables of an audit."""
 
     outcomes: DataFrame
     summary: DataFrame
@@ -56,10 +57,12 @@ def audit(
     gaps = M.find_gaps(outcomes)
     hosts = G.classified_hosts(outcomes, entities)
     sov = M.share_of_voice(outcomes, entities)
-    open_sites = sites.where(F.col("reachable") & ~F.col("robots_blocked"))
-    host_checks = I.run_checks(open_sites, pages, brands, as_of)
-    checks = run_sites.select("run_id", "host").join(host_checks, "host")
-    readiness = run_sites.join(I.assess_readiness(sites, pages, brands, as_of), "host")
+    # 26 narrow rows per host that feed scores, fixes and the output: computed once
+    host_checks = materialise(I.run_checks(sites, pages, brands, as_of))
+    usable = host_checks.join(
+        sites.where(F.col("reachable") & ~F.col("robots_blocked")).select("host"), "host", "left_semi")
+    checks = run_sites.select("run_id", "host").join(usable, "host")
+    readiness = run_sites.join(I.assess_readiness(sites, host_checks), "host")
     facts = visibility_facts(outcomes, hosts, gaps)
     recs = J.recommend(checks, readiness, facts)
     halves = (

@@ -80,7 +80,7 @@ MENTIONS_SQL = rf"""{SENTENCES}, {_HITS}, {_FIRST},
 SELECT d.doc_id AS ord, e.entity_ord, r.count IS NOT NULL AS mentioned, coalesce(r.count, 0) AS count,
   coalesce(r.first_index, -1) AS first_index, round(coalesce(r.sentiment, 0), 6) AS sentiment, coalesce(r.role, 'referenced') AS role,
   coalesce(r.sentence, '') AS role_sentence
-FROM documents d CROSS JOIN (SELECT DISTINCT entity_ord FROM ent) e LEFT JOIN roles r ON r.doc_id = d.doc_id AND r.entity_ord = e.entity_ord""")
+FROM documents d CROSS JOIN (SELECT DISTINCT entity_ord FROM ent) e LEFT JOIN roles r ON r.doc_id = d.doc_id AND r.entity_ord = e.entity_ord""", ints="count first_index")
 def e01(spark, d):
     found = M.find_mentions(answers(spark, d), entities(spark, d), TEST_LEXICON)
     return M.explode_mentions(found, ["ord"]).select(
@@ -89,7 +89,7 @@ def e01(spark, d):
 
 @query("e02_rank_entities", f"""WITH {MENTIONS_SQL}
 SELECT d.doc_id AS ord, e.entity_ord, coalesce(r.rank, 0) AS rank
-FROM documents d CROSS JOIN (SELECT DISTINCT entity_ord FROM ent) e LEFT JOIN roles r ON r.doc_id = d.doc_id AND r.entity_ord = e.entity_ord""")
+FROM documents d CROSS JOIN (SELECT DISTINCT entity_ord FROM ent) e LEFT JOIN roles r ON r.doc_id = d.doc_id AND r.entity_ord = e.entity_ord""", ints="rank")
 def e02(spark, d):
     found = M.find_mentions(answers(spark, d), entities(spark, d), TEST_LEXICON)
     return M.explode_mentions(found, ["ord"]).select("ord", "entity_ord", "rank")
@@ -112,7 +112,7 @@ def doc_outcomes(spark, d):
 
 @query("e03_score_answers", f"""WITH {OUTCOME_SQL}
 SELECT ord, run_id, brand_key, engine, prompt_id, prompt_text, intent, lang, weight, status, mentioned, rank, role, own_cited,
-  substr(text, 1, 900) AS answer_excerpt FROM scored""")
+  substr(text, 1, 900) AS answer_excerpt FROM scored""", ints="rank")
 def e03(spark, d):
     return doc_outcomes(spark, d).select(
         "ord", "run_id", "brand_key", "engine", "prompt_id", "prompt_text", "intent", "lang", "weight", "status",

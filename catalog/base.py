@@ -200,13 +200,20 @@ def with_views(sql: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, sf_dir)`` under ``name`` with its oracle."""
+def query(name: str, sql: str | None = None, ints: str = "", longs: str = ""):
+    """Register ``fn(spark, sf_dir)`` under ``name`` with its oracle.
+
+    ``ints`` / ``longs`` name oracle columns whose SQL type is wider than the Spark column.
+    """
+    casts = [f'CAST("{c}" AS INTEGER) AS "{c}"' for c in ints.split()] + [
+        f'CAST("{c}" AS BIGINT) AS "{c}"' for c in longs.split()]
+
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         assert name not in QUERIES, name
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            full = with_views(sql)
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(casts)}) FROM ({full}) q" if casts else full
         return fn
     return register
 

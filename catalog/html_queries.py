@@ -195,20 +195,20 @@ def c11(spark, d):
 @query("c12_page_snapshot", f"""WITH {HEADINGS}, {LINKS}, hc AS (SELECT page_id, count(*) AS n FROM heads WHERE text <> '' GROUP BY ALL), lc AS (SELECT page_id, count(*) AS n FROM links GROUP BY ALL)
 SELECT v.page_id, length({TEXT}) AS text_length, {TITLE} AS title, {DESCRIPTION} AS description, coalesce(hc.n, 0) AS headings, coalesce(lc.n, 0) AS links,
  CASE v.page_id % 9 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 5 THEN 1 WHEN 6 THEN 1 ELSE 0 END AS jsonld, length(html) AS bytes
-FROM v_rich v LEFT JOIN hc ON hc.page_id = v.page_id LEFT JOIN lc ON lc.page_id = v.page_id""")
+FROM v_rich v LEFT JOIN hc ON hc.page_id = v.page_id LEFT JOIN lc ON lc.page_id = v.page_id""", ints="text_length headings links")
 def c12(spark, d):
     return P.extract_pages(pages(spark, d)).select(
         "page_id", F.length("text").alias("text_length"), "title", "description", F.size("headings").alias("headings"),
         F.size("links").alias("links"), F.size("jsonld").alias("jsonld"), "bytes")
 
 
-@query("c13_page_summary", rf"SELECT host, url, {TITLE} AS title, len(regexp_extract_all({TEXT}, '\S+')) AS words, {_TYPES.format('http://schema.org/')} AS schema_types FROM v_rich WHERE status = 200")
+@query("c13_page_summary", rf"SELECT host, url, {TITLE} AS title, len(regexp_extract_all({TEXT}, '\S+')) AS words, {_TYPES.format('http://schema.org/')} AS schema_types FROM v_rich WHERE status = 200", ints="words")
 def c13(spark, d):
     return P.page_summary(pages(spark, d)).withColumn("schema_types", F.array_join("schema_types", "|"))
 
 
 @query("c14_site_summary", """SELECT s.host, s.origin, s.reachable, coalesce(p.n, 0) AS pages_crawled, s.n_sitemap AS sitemap_urls, s.robots_txt IS NOT NULL AS has_robots_txt,
- s.llms_txt IS NOT NULL AS has_llms_txt, CASE WHEN NOT s.reachable THEN 'HTTP 403' END AS error FROM v_sites s LEFT JOIN (SELECT host, count(*) FILTER (WHERE status = 200) AS n FROM v_rich GROUP BY host) p ON p.host = s.host""")
+ s.llms_txt IS NOT NULL AS has_llms_txt, CASE WHEN NOT s.reachable THEN 'HTTP 403' END AS error FROM v_sites s LEFT JOIN (SELECT host, count(*) FILTER (WHERE status = 200) AS n FROM v_rich GROUP BY host) p ON p.host = s.host""", ints="sitemap_urls")
 def c14(spark, d):
     return P.site_summary(sites(spark, d), pages(spark, d))
 
@@ -238,7 +238,7 @@ _PRIO = "\n".join(f"WHEN regexp_matches(path, '(?i){rx}') THEN {i}" for i, rx in
  cl AS (SELECT host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS url, tier, a, b, c FROM cand),
  dd AS (SELECT host, url, min([tier, a, b, c]) AS place FROM cl WHERE NOT regexp_matches(url, '(?i)%s') GROUP BY ALL),
  r AS (SELECT host, url, row_number() OVER (PARTITION BY host ORDER BY place, url) AS pick FROM dd)
-SELECT * FROM r WHERE pick <= 12""" % (", ".join(f"({i}, '{rx}')" for i, rx in enumerate(fixed.PRIORITY_PATHS)), fixed.ASSET_PATTERN))
+SELECT * FROM r WHERE pick <= 12""" % (", ".join(f"({i}, '{rx}')" for i, rx in enumerate(fixed.PRIORITY_PATHS)), fixed.ASSET_PATTERN), ints="pick")
 def d07(spark, d):
     s = sites(spark, d).select("host", "origin")
     found = view(spark, d, "v_pages").select("host", F.col("page_id").alias("ord"), "url")

@@ -49,7 +49,7 @@ def e05(spark, d):
 @query("e06_failures", """
 WITH f AS (SELECT run_id, brand_key, error, min(ord) AS o, count(*) AS n FROM v_outcomes WHERE status <> 'answered' GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY run_id, brand_key ORDER BY o) AS k FROM f)
-SELECT run_id, brand_key, sum(n) AS failed, count(*) AS distinct_errors, string_agg(error, '|' ORDER BY k) FILTER (WHERE k <= 3) AS errors FROM r GROUP BY ALL""")
+SELECT run_id, brand_key, sum(n) AS failed, count(*) AS distinct_errors, string_agg(error, '|' ORDER BY k) FILTER (WHERE k <= 3) AS errors FROM r GROUP BY ALL""", longs="failed")
 def e06(spark, d):
     return M.failures(outcomes(spark, d)).select("run_id", "brand_key", "failed", "distinct_errors", joined("errors", "errors"))
 
@@ -168,7 +168,7 @@ CREDITS = """cred AS (SELECT run_id, brand_key, ord, h AS host, min(i) AS pos FR
 
 
 @query("f10_citation_domains", f"""WITH {CREDITS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, brand_key ORDER BY count DESC, first_seen) AS pos FROM hc)
-SELECT run_id, brand_key, pos, host AS domain, count, host = 'own.example' AS is_own, host = 'rival.example' AS is_competitor FROM r WHERE pos <= 25""")
+SELECT run_id, brand_key, pos, host AS domain, count, host = 'own.example' AS is_own, host = 'rival.example' AS is_competitor FROM r WHERE pos <= 25""", ints="pos")
 def f10(spark, d):
     return M.citation_domains(outcomes(spark, d), outcome_entities(spark, d))
 
@@ -206,25 +206,25 @@ def g01(spark, d):
 
 
 @query("g02_surface_summary", f"""WITH {SURF} SELECT run_id, brand_key, sum(count) AS total_citations, count(*) AS unique_domains,
- {R3.format("sum(count) FILTER (WHERE surface = 'owned') / sum(count)")} AS owned_share, {R3.format("sum(count) FILTER (WHERE surface <> 'owned') / sum(count)")} AS off_site_share FROM s GROUP BY ALL""")
+ {R3.format("sum(count) FILTER (WHERE surface = 'owned') / sum(count)")} AS owned_share, {R3.format("sum(count) FILTER (WHERE surface <> 'owned') / sum(count)")} AS off_site_share FROM s GROUP BY ALL""", longs="total_citations")
 def g02(spark, d):
     return G.surface_summary(hosts(spark, d))
 
 
 @query("g02_surface_breakdown", f"""WITH {SURF}, b AS (SELECT run_id, brand_key, surface, sum(count) AS count FROM s GROUP BY ALL)
-SELECT *, {R3.format("count / sum(count) OVER (PARTITION BY run_id, brand_key)")} AS share FROM b""")
+SELECT *, {R3.format("count / sum(count) OVER (PARTITION BY run_id, brand_key)")} AS share FROM b""", longs="count")
 def g02b(spark, d):
     return G.surface_breakdown(hosts(spark, d)).drop("first_cited")
 
 
 @query("g02_surface_rollup", f"""WITH {SURF} SELECT run_id, brand_key, NULL AS surface, NULL AS host, sum(count) AS count, 2 AS level FROM s GROUP BY ALL
-UNION ALL SELECT run_id, brand_key, surface, NULL, sum(count), 1 FROM s GROUP BY ALL UNION ALL SELECT run_id, brand_key, surface, host, count, 0 FROM s""")
+UNION ALL SELECT run_id, brand_key, surface, NULL, sum(count), 1 FROM s GROUP BY ALL UNION ALL SELECT run_id, brand_key, surface, host, count, 0 FROM s""", longs="count")
 def g02c(spark, d):
     return G.surface_rollup(hosts(spark, d))
 
 
 @query("g02_top_domains", f"""WITH {SURF}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, brand_key ORDER BY count DESC, first_seen) AS pos FROM s)
-SELECT run_id, brand_key, pos, host, count, surface FROM r WHERE pos <= 25""")
+SELECT run_id, brand_key, pos, host, count, surface FROM r WHERE pos <= 25""", ints="pos")
 def g02d(spark, d):
     return G.top_domains(hosts(spark, d)).drop("first_cited")
 
@@ -232,6 +232,6 @@ def g02d(spark, d):
 @query("g03_outreach_targets", f"""WITH {SURF}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, brand_key ORDER BY count DESC, first_seen) AS pos FROM s WHERE surface NOT IN ('owned', 'competitor'))
 SELECT run_id, brand_key, pos, host, count, surface, CASE surface WHEN 'community' THEN 'Communities' WHEN 'review' THEN 'Reviews and directories'
  WHEN 'editorial' THEN 'Press and editorial' WHEN 'reference' THEN 'Reference works' WHEN 'social' THEN 'Social networks' WHEN 'marketplace' THEN 'Marketplaces' ELSE 'Unclassified' END AS label
-FROM r WHERE pos <= 12""")
+FROM r WHERE pos <= 12""", ints="pos")
 def g03(spark, d):
     return G.outreach_targets(hosts(spark, d)).drop("first_cited")

@@ -29,7 +29,7 @@ def _drain(stream, name):
     return spark.read.parquet(out)
 
 
-@query("n01_stream_score", f"WITH {OUTCOME_SQL} SELECT ord, mentioned, rank, role, own_cited, floor(score * 1000 + 0.5) / 1000 AS score FROM scored")
+@query("n01_stream_score", f"WITH {OUTCOME_SQL} SELECT ord, mentioned, rank, role, own_cited, floor(score * 1000 + 0.5) / 1000 AS score FROM scored", ints="rank")
 def n01(spark, d):
     """Every answer lands twice; the stream scores it once."""
     docs = view(spark, d, "v_docs").withColumns({
@@ -46,7 +46,8 @@ def n01(spark, d):
 SELECT date_trunc('day', ts)::VARCHAR AS day, brand_key, engine, count(*) FILTER (WHERE ok) AS answered, count(*) FILTER (WHERE ok AND mentioned) AS mentions,
  round(count(*) FILTER (WHERE ok AND mentioned) / nullif(count(*) FILTER (WHERE ok), 0), 9) AS rate FROM m GROUP BY ALL""")
 def n02(spark, d):
-    rows = outcomes(spark, d).select("brand_key", "engine", "ts", "status", F.col("brand.mentioned").alias("mentioned"))
+    rows = outcomes(spark, d).select(
+        "brand_key", "engine", F.col("ts").cast("timestamp").alias("ts"), "status", F.col("brand.mentioned").alias("mentioned"))
     # a far later row moves the watermark on, so every window of the data closes in append mode
     late = rows.limit(1).withColumn("ts", F.to_timestamp(F.lit("2031-01-01 00:00:00")))
     folder = _landed(rows, "outcomes")

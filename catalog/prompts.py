@@ -38,7 +38,7 @@ def a03(spark, d):
 
 
 @query("a04_normalise_brands", f"""WITH {PROFILES} SELECT brand_key, name, domain, array_to_string(langs, ',') AS languages, loc AS location, 'c' || k AS aliases,
- array_to_string(comps, ',') AS competitors, CASE WHEN k % 4 = 0 THEN 'www.b.example' ELSE '' END AS competitor_domains, len(extra) AS extra_prompts FROM vb""")
+ array_to_string(comps, ',') AS competitors, CASE WHEN k % 4 = 0 THEN 'www.b.example' ELSE '' END AS competitor_domains, len(extra) AS extra_prompts FROM vb""", ints="extra_prompts")
 def a04(spark, d):
     return valid(spark, d).select(
         "brand_key", "name", "domain", F.array_join("languages", ",").alias("languages"), "location",
@@ -75,7 +75,7 @@ EXPANDED = f"""{PROFILES}, {TEMPLATES}, lg AS (SELECT *, unnest(langs) AS lang,
    FROM tx WHERE (NOT contains(template, '{{aud}}') OR aud IS NOT NULL) AND (NOT contains(template, '{{loc}}') OR loc IS NOT NULL))"""
 
 
-@query("h01_expand_templates", f"WITH {EXPANDED} SELECT * FROM ex")
+@query("h01_expand_templates", f"WITH {EXPANDED} SELECT * FROM ex", ints="lang_ord comp_ord")
 def h01(spark, d):
     return H.expand_templates(valid(spark, d), H.starter_templates(spark), LANGS).select("brand_key", "ord.*", "lang", "intent", "text")
 

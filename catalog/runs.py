@@ -10,13 +10,11 @@ from answerscope.operators import metrics as M
 from answerscope.operators import readiness as I
 from answerscope.operators import recommend as J
 from answerscope.operators import retention as L
-from answerscope.session import scratch_folder
+from answerscope.session import materialise, scratch_folder
 from answerscope.sources import runs as S
 from catalog.base import outcome_entities, outcomes, query, sites, view
 from catalog.metrics import BRANDED, CREDITS, GAPS_SQL
 from catalog.sites import ALL_CHECKS, ASSESS, all_checks
-from catalog.base import as_of as sites_as_of
-from catalog.base import brands, pages
 
 CUT = "2024-01-31 00:00:00"
 
@@ -69,7 +67,8 @@ def a11(spark, d):
 
 
 def checks(spark, d):
-    return all_checks(spark, d).withColumnRenamed("host", "run_id")
+    """26 rows per host, read several times by the fix rules: computed once."""
+    return materialise(all_checks(spark, d)).withColumnRenamed("host", "run_id")
 
 
 def vis(spark, d):
@@ -124,8 +123,8 @@ RECS = f"""{TRIG}, {RULES}, {MEASURED}, br AS (SELECT run_id, fix_id AS rec_id,
  rec AS (SELECT *, {PRIO} AS priority, {BUCKET} AS bucket FROM (SELECT * FROM br UNION ALL SELECT * FROM mm) z)"""
 
 
-def recs(spark, d):
-    return J.recommend(checks(spark, d), blocks(spark, d), vis(spark, d))
+def recs(spark, d, rows=None):
+    return J.recommend(checks(spark, d) if rows is None else rows, blocks(spark, d), vis(spark, d))
 
 
 @query("j05_priority", f"WITH {RECS} SELECT run_id, rec_id, severity, impact, effort, pillar, round(evidence, 6) AS evidence, priority FROM rec")
@@ -159,32 +158,32 @@ _HITS = [
  f AS (SELECT v.*, a.blocked, a.overall, a.technical, a.structure, a.content, a.authority, v.gap_count % 4 AS blocked_critical, coalesce(critical_recs, 0) AS critical_recs FROM v_vis v JOIN asmt a ON a.host = v.run_id LEFT JOIN cr ON cr.run_id = v.run_id),
  hit AS ({" UNION ALL ".join(f"SELECT run_id, {i} AS o, '{c}' AS code, ({v})::DOUBLE AS value, {x} AS detail FROM f WHERE {w}" for i, (c, w, v, x) in enumerate(_HITS))}),
  r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY o) - 1 AS pos FROM hit)
-SELECT run_id, pos, code, round(value, 6) AS value, detail FROM r WHERE pos < 6""")
+SELECT run_id, pos, code, round(value, 6) AS value, detail FROM r WHERE pos < 6""", ints="pos")
 def j07(spark, d):
-    ready = I.assess_readiness(sites(spark, d), pages(spark, d), brands(spark, d), sites_as_of()).select(
+    rows = checks(spark, d)
+    ready = I.assess_readiness(sites(spark, d), rows.withColumnRenamed("run_id", "host")).select(
         F.col("host").alias("run_id"), "blocked", "technical", "structure", "content", "authority")
-    critical = recs(spark, d).groupBy("run_id").agg(F.count_if(F.col("severity") == "critical").alias("critical_recs"))
+    critical = recs(spark, d, rows).groupBy("run_id").agg(F.count_if(F.col("severity") == "critical").alias("critical_recs"))
     facts = vis(spark, d).join(ready, "run_id").join(critical, "run_id", "left").withColumns({
         "critical_recs": F.coalesce("critical_recs", F.lit(0)), "blocked_critical": F.col("gap_count") % 4})
     return J.summary_points(facts).withColumn("value", F.round("value", 6))
 
 
-@query("j08_top_gaps", f"""WITH {GAPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, brand_key ORDER BY sort_key DESC, first_ord) AS pos FROM gaps) SELECT run_id, engine, prompt_id, lost, asked, winners, pos FROM r WHERE pos <= 15""")
+@query("j08_top_gaps", f"""WITH {GAPS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id, brand_key ORDER BY sort_key DESC, first_ord) AS pos FROM gaps) SELECT run_id, engine, prompt_id, lost, asked, winners, pos FROM r WHERE pos <= 15""", ints="pos")
 def j08(spark, d):
-    views = J.report_views(M.find_gaps(outcomes(spark, d)), M.prompt_stability(outcomes(spark, d)),
-                           M.citation_domains(outcomes(spark, d), outcome_entities(spark, d)), checks(spark, d))
-    return views["gaps"].select("run_id", "engine", "prompt_id", "lost", "asked", F.array_join("winners", "|").alias("winners"), "pos")
+    g = J.top_k(M.find_gaps(outcomes(spark, d)), ["run_id", "brand_key"], [F.col("sort_key").desc(), F.col("first_ord")], 15)
+    return g.select("run_id", "engine", "prompt_id", "lost", "asked", F.array_join("winners", "|").alias("winners"), "pos")
 
 
 @query("j08_contested", f"""WITH {BRANDED}, s AS (SELECT run_id, engine, prompt_id, avg(mentioned::INT) AS x, min(ord) AS o FROM a GROUP BY ALL),
- r AS (SELECT *, floor(x * 1000 + 0.5) / 1000 AS rate, row_number() OVER (PARTITION BY run_id ORDER BY floor(x * 1000 + 0.5) / 1000, o) AS pos FROM s WHERE x > 0 AND x < 1) SELECT run_id, engine, prompt_id, rate, pos FROM r WHERE pos <= 15""")
+ r AS (SELECT *, floor(x * 1000 + 0.5) / 1000 AS rate, row_number() OVER (PARTITION BY run_id ORDER BY floor(x * 1000 + 0.5) / 1000, o) AS pos FROM s WHERE x > 0 AND x < 1) SELECT run_id, engine, prompt_id, rate, pos FROM r WHERE pos <= 15""", ints="pos")
 def j08b(spark, d):
     s = M.prompt_stability(outcomes(spark, d)).where("stability = 'contested'")
     return J.top_k(s, ["run_id", "brand_key"], [F.col("rate"), F.col("first_ord")], 15).select("run_id", "engine", "prompt_id", "rate", "pos")
 
 
 @query("j08_outside_domains", f"""WITH {CREDITS}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY count DESC, first_seen) AS p FROM hc),
- q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY p) AS pos FROM r WHERE p <= 25 AND host <> 'own.example') SELECT run_id, host AS domain, count, pos FROM q WHERE pos <= 6""")
+ q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY p) AS pos FROM r WHERE p <= 25 AND host <> 'own.example') SELECT run_id, host AS domain, count, pos FROM q WHERE pos <= 6""", ints="pos")
 def j08c(spark, d):
     dom = M.citation_domains(outcomes(spark, d), outcome_entities(spark, d)).where("NOT is_own").withColumnRenamed("pos", "rank_in_run")
     return J.top_k(dom, ["run_id", "brand_key"], [F.col("rank_in_run")], 6).select("run_id", "domain", "count", "pos")
@@ -291,9 +290,6 @@ def k09(spark, d):
 
 # --- L: retention -----------------------------------------------------------------------------------
 
-_AS_OF = F.lit
-
-
 def as_of():
     return F.lit(CUT).cast("timestamp")
 

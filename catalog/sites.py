@@ -33,19 +33,19 @@ def verdict_sql(path: str, targets: str) -> str:
  vv AS (SELECT host, path, ua, max(n * 2 + CASE kind WHEN 'allow' THEN 1 ELSE 0 END) % 2 = 1 AS allowed FROM vr GROUP BY ALL)"""
 
 
-@query("d01_parse_robots", f"WITH {ROBOTS} SELECT * FROM dir")
+@query("d01_parse_robots", f"WITH {ROBOTS} SELECT * FROM dir", longs="group_id", ints="line_no")
 def d01(spark, d):
     return R.parse_robots(sites(spark, d))
 
 
-@query("d02_group_for", f"WITH {ROBOTS}, {BOTS}, {GROUPS} SELECT host, ua, group_id FROM g")
+@query("d02_group_for", f"WITH {ROBOTS}, {BOTS}, {GROUPS} SELECT host, ua, group_id FROM g", longs="group_id")
 def d02(spark, d):
     return R.group_for(R.parse_robots(sites(spark, d)), R.all_crawlers())
 
 
 @query("d03_path_matches", f"""WITH {ROBOTS}, paths AS (SELECT DISTINCT host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM v_pages)
 SELECT p.host, p.path, r.line_no, CASE WHEN r.value = '' THEN false WHEN r.value = '/' THEN true ELSE regexp_matches(p.path, {PATTERN}) END AS matched
-FROM paths p JOIN dir r ON r.host = p.host AND r.kind <> 'agent'""")
+FROM paths p JOIN dir r ON r.host = p.host AND r.kind <> 'agent'""", ints="line_no")
 def d03(spark, d):
     rules = R.parse_robots(sites(spark, d)).where("kind <> 'agent'")
     path = F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)
@@ -211,4 +211,4 @@ ASSESS = f"""{READY}, bl AS (SELECT host, NOT reachable OR robots_blocked AS blo
 
 @query("i29_assess_readiness", f"WITH {ASSESS} SELECT * FROM asmt")
 def i29(spark, d):
-    return I.assess_readiness(sites(spark, d), pages(spark, d), brands(spark, d), as_of())
+    return I.assess_readiness(sites(spark, d), all_checks(spark, d))
