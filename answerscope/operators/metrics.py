@@ -203,27 +203,27 @@ def prompt_stability(outcomes: DataFrame, samples: int = 2) -> DataFrame:
 def find_gaps(outcomes: DataFrame) -> DataFrame:
     """Questions lost to competitors, with the winners in order of first win (F8).
 
-    Winners are reduced to one row per question and entity before they are gathered, so the
-    gathered list is as long as the competitor list, however many samples a question has.
+    One pass: answers become one row per winner (or a single row without one), reduced by
+    (question, winner) and then by question.  The gathered list of winners is as long as the
+    competitor list, however many samples a question has.
     """
-    brand_absent = ~F.col("brand.mentioned")
     rivals = F.filter("mentions", lambda m: ~m["is_brand"] & m["mentioned"])
+    won_by = F.when(~F.col("brand.mentioned"), F.transform(
+        rivals, lambda m: F.struct(m["name"].alias("name"), m["rank"].alias("rank"))))
     rows = answered(outcomes).select(
-        *QUESTION, "prompt_text", "intent", "weight", "ord",
-        F.when(brand_absent, rivals).otherwise(F.filter("mentions", lambda m: F.lit(False))).alias("won_by"))
-    lost = F.size("won_by") > 0
-    asked = rows.groupBy(*QUESTION).agg(
-        F.min_by(F.struct("prompt_text", "intent", "weight"), "ord").alias("q"),
-        F.count(F.lit(1)).alias("asked"), _n(lost).alias("lost"), F.min("ord").alias("first_ord"),
-    ).where("lost > 0")
-    winners = (
-        rows.where(lost).select(*QUESTION, "ord", F.explode("won_by").alias("m"))
-        .groupBy(*QUESTION, F.col("m.name").alias("name"))
-        .agg(F.min(F.struct("ord", F.col("m.rank").alias("rank"))).alias("first"))
-        .groupBy(*QUESTION).agg(F.array_sort(F.collect_list(F.struct(
-            F.col("first.ord"), F.col("first.rank"), "name"))).alias("w")))
+        *QUESTION, "prompt_text", "intent", "weight", "ord", F.posexplode_outer(won_by).alias("i", "w"))
+    once = F.col("i").isNull() | (F.col("i") == 0)  # one of an answer's rows counts the answer
+    per_winner = rows.groupBy(*QUESTION, F.col("w.name").alias("name")).agg(
+        F.min_by(F.struct("prompt_text", "intent", "weight"), "ord").alias("q"), _n(once).alias("asked"),
+        _n(F.col("i") == 0).alias("lost"), F.min("ord").alias("first_ord"),
+        F.min(F.struct("ord", F.col("w.rank").alias("rank"))).alias("first"))
+    gathered = F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct(
+        F.col("first.ord"), F.col("first.rank"), "name"))))
+    found = per_winner.groupBy(*QUESTION).agg(
+        F.min_by("q", "first_ord").alias("q"), F.sum("asked").alias("asked"), F.sum("lost").alias("lost"),
+        F.min("first_ord").alias("first_ord"), gathered.alias("w")).where("lost > 0")
     loss = round_half_up(ratio(F.col("lost"), F.col("asked")))
-    return asked.join(winners, QUESTION).select(
+    return found.select(
         *QUESTION, "q.prompt_text", "q.intent", "q.weight", "asked", "lost",
         loss.alias("loss_rate"), F.transform("w", lambda x: x["name"]).alias("winners"),
         (F.col("q.weight") * loss).alias("sort_key"), "first_ord")
