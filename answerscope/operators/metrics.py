@@ -130,7 +130,8 @@ def summarise(outcomes: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 def share_of_voice(outcomes: DataFrame, entities: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Mentions of each tracked entity and its share of all mentions."""
     per_entity = (
-        answered(outcomes).select(*RUN, F.explode("mentions").alias("m"))
+        # outer: otherwise Spark infers a size filter and evaluates the mentions twice
+        answered(outcomes).select(*RUN, F.explode_outer("mentions").alias("m"))
         .where("m.mentioned").groupBy(*RUN, F.col("m.entity_ord").alias("entity_ord"))
         .agg(F.count(F.lit(1)).alias("n")))
     base = (runs if runs is not None else outcomes).select(*RUN).distinct()
@@ -257,7 +258,8 @@ def citation_credits(outcomes: DataFrame) -> DataFrame:
     """One credit per host and answer: run, brand, ord, pos, host."""
     hosts = F.array_distinct(F.filter(
         F.transform("citations", lambda u: host_of(u)), lambda h: h != ""))
-    return answered(outcomes).select(*RUN, "ord", F.posexplode(hosts).alias("pos", "host"))
+    return answered(outcomes).select(
+        *RUN, "ord", F.posexplode_outer(hosts).alias("pos", "host")).where("host IS NOT NULL")
 
 
 def host_counts(outcomes: DataFrame) -> DataFrame:

@@ -350,7 +350,7 @@ def _per_host(pages: DataFrame, sites: DataFrame, chosen: list[Check]) -> DataFr
     tokens = F.concat(
         F.array(F.struct(F.lit("page").alias("kind"), F.lit("").alias("value"))),
         *[_token_rows(k, TOKENS[k]()) for k in kinds])
-    wide = rows.select("host", *plain, F.explode(tokens).alias("t"))
+    wide = rows.select("host", *plain, F.explode_outer(tokens).alias("t"))
     on_page = F.col("t.kind") == "page"
     measured = wide.select("host", "t.kind", "t.value", *[
         F.when(on_page, F.col(n)).alias(n) for n in (*sums, *maxima)])
