@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from answerscope import fixed
 from answerscope.functions.core import grade_for, round_half_up
+from answerscope.plans.joins import join_dimension
 
 METRICS = ["composite", "readiness", "visibility", "mention_rate"]
 
@@ -81,7 +82,7 @@ def previous_run(runs: DataFrame) -> DataFrame:
         .where(F.col("pos") <= 2).groupBy("brand_key").agg(
             F.max(F.when(F.col("pos") == 1, F.col("run_id"))).alias("newest"),
             F.max(F.when(F.col("pos") == 2, F.col("run_id"))).alias("second")))
-    return runs.join(two, "brand_key").withColumn(
+    return join_dimension(runs, two, ["brand_key"], spread="run_id").withColumn(
         "previous_id", F.when(F.col("run_id") == F.col("newest"), F.col("second")).otherwise(F.col("newest"))
     ).drop("newest", "second")
 
@@ -163,9 +164,9 @@ def trend_points(runs: DataFrame) -> DataFrame:
         "brand_key", "bucket", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before"))
     ends = trend_summary(runs).where("points >= 2")
     span = F.col("high") - F.col("low")
+    placed = scored.withColumn("i", F.row_number().over(inside) - 1).join(before, ["brand_key", "bucket"])
     return (
-        scored.withColumn("i", F.row_number().over(inside) - 1).join(before, ["brand_key", "bucket"])
-        .join(ends, "brand_key")
+        join_dimension(placed, ends, ["brand_key"], spread="run_id")
         .select("brand_key", "run_id", "created_at",
                 ((F.col("i") + F.col("before")) / (F.col("points") - 1)).alias("x"),
                 ((F.col("composite") - F.col("low")) / F.when(span == 0, 1.0).otherwise(span)).alias("y")))
@@ -183,7 +184,7 @@ def provenance(answers: DataFrame, engines: DataFrame, runs: DataFrame) -> DataF
     readiness, visibility, blocked.
     """
     used = answers.groupBy("run_id", "brand_key", "engine", "prompt_id").agg(F.count(F.lit(1)).alias("n"))
-    facts = used.join(engines, "engine", "left").groupBy("run_id", "brand_key").agg(
+    facts = join_dimension(used, engines, ["engine"], spread="prompt_id", how="left").groupBy("run_id", "brand_key").agg(
         F.array_sort(F.collect_set("engine")).alias("engines"),
         F.min(F.coalesce("offline", F.lit(False))).alias("simulated"),
         F.count_distinct("prompt_id").alias("prompt_count"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from answerscope import fixed
 from answerscope.functions.core import WS, hash_id, lookup, trim_ws
+from answerscope.plans.joins import join_dimension
 from answerscope.sources.brands import text_of
 
 # Our own starter bank; callers pass their own table (lang, intent, template_ord, template).
@@ -62,19 +63,20 @@ def expand_templates(brands: DataFrame, templates: DataFrame, supported: list[st
     ``brands`` is the output of ``normalise_brands``.  Columns: brand_key, ord, lang,
     intent, text.  Templates meet brands through an equi join on the language.
     """
-    per_lang = brands.select(
-        "brand_key", "name", "category", "category_order", "audience", "audience_order", "location",
-        "competitors", F.posexplode(supported_languages(F.col("languages"), supported)).alias("lang_ord", "lang"))
+    # localised texts are resolved once per brand and language, before templates multiply rows
+    per_lang = brands.select("*", F.posexplode(
+        supported_languages(F.col("languages"), supported)).alias("lang_ord", "lang")).select(
+        "brand_key", "name", "location", "competitors", "lang_ord", "lang",
+        text_of(F.col("category"), F.col("category_order"), F.col("lang")).alias("cat"),
+        text_of(F.col("audience"), F.col("audience_order"), F.col("lang")).alias("aud"))
     bank = templates.select("lang", "template_ord", "intent", "template")
-    rows = per_lang.join(bank, "lang")
+    rows = join_dimension(per_lang, bank, ["lang"], spread="brand_key")
     names = F.transform(F.slice("competitors", 1, COMPETITORS_NAMED), lambda c: c["name"])
     asks_rival = F.contains("template", F.lit("{comp}"))
     each = rows.select("*", F.posexplode(F.when(asks_rival, names).otherwise(
         F.array(F.lit(None).cast("string")))).alias("comp_ord", "comp"))
     text = _fill(F.col("template"), {
-        "cat": text_of(F.col("category"), F.col("category_order"), F.col("lang")),
-        "aud": text_of(F.col("audience"), F.col("audience_order"), F.col("lang")),
-        "loc": F.col("location"), "brand": F.col("name"), "comp": F.col("comp")})
+        "cat": F.col("cat"), "aud": F.col("aud"), "loc": F.col("location"), "brand": F.col("name"), "comp": F.col("comp")})
     return each.select(
         "brand_key", F.struct("lang_ord", "template_ord", "comp_ord").alias("ord"), "lang", "intent",
         text.alias("text")).where(F.coalesce("text", F.lit("")) != "")

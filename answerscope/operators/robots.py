@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from answerscope import fixed
 from answerscope.functions.core import rx_quote, trim_ws
 from answerscope.functions.urls import path_of
+from answerscope.plans.joins import join_dimension
 
 
 def crawler_rows() -> Column:
@@ -106,7 +107,7 @@ def is_allowed(targets: DataFrame, directives: DataFrame, agents: list[str]) ->
     """
     wide = targets.withColumn("ua", F.explode(F.array(*map(F.lit, agents))))
     verdicts = rules_for(directives, agents)
-    return wide.join(verdicts, ["host", "ua"], "left").withColumn(
+    return join_dimension(wide, verdicts, ["host", "ua"], spread="path", how="left").withColumn(
         "allowed", F.coalesce(allowed_by(F.col("rules"), F.col("path")), F.lit(True))).drop("rules")
 
 
@@ -129,7 +130,7 @@ def crawl_permission(urls: DataFrame, sites: DataFrame, agent: str) -> DataFrame
     A host's rules travel as one small array to its URLs; rows never multiply by rules.
     """
     verdicts = rules_for(parse_robots(sites), [agent]).drop("ua")
-    joined = urls.join(verdicts, "host", "left")
+    joined = join_dimension(urls, verdicts, ["host"], spread="url", how="left")
     verdict = F.coalesce(allowed_by(F.col("rules"), path_of("url")), F.lit(True))
     site = F.coalesce(allowed_by(F.col("rules"), F.lit("/")), F.lit(True))
     return joined.select(*urls.columns, verdict.alias("allowed"), (~site).alias("site_blocked"))

@@ -15,9 +15,10 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def join_dimension(
-    wide: DataFrame, dim: DataFrame, on: list[str], spread: str, limit: int = BROADCAST_LIMIT
+    wide: DataFrame, dim: DataFrame, on: list[str], spread: str, how: str = "inner",
+    limit: int = BROADCAST_LIMIT,
 ) -> DataFrame:
-    """Inner join of ``wide`` with a dimension that has one row per key.
+    """Inner or left join of ``wide`` with a dimension keyed by ``on``.
 
     A dimension estimated under ``limit`` is broadcast, so wide rows stay where they were
     read.  A larger one is shuffled, each row copied ``SALTS`` times, and a key's wide rows
@@ -25,7 +26,7 @@ def join_dimension(
     third of all rows is shared by SALTS tasks instead of landing on one.
     """
     if estimated_bytes(dim) <= limit:
-        return wide.join(F.broadcast(dim), on)
+        return wide.join(F.broadcast(dim), on, how)
     salted = wide.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

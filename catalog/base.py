@@ -163,15 +163,15 @@ def _closure(names: list[str]) -> list[str]:
     return out
 
 
-TEXT_TABLES = ("documents", "pages", "conversations")
+SPREAD_TABLES = ("documents", "pages", "conversations", "customer", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  A text table that comes as fewer splits than there are cores (one
-    small file) is spread out; on a cluster its many files already are."""
+    """A driver table.  A table with work per row that comes as fewer splits than there are
+    cores (one small file) is spread out; on a cluster its many files already are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and estimated_bytes(df) < cores * 4 * 1024 * 1024:
+    if name in SPREAD_TABLES and estimated_bytes(df) < cores * 4 * 1024 * 1024:
         return df.repartition(cores, df.columns[0])
     return df
 
