@@ -201,6 +201,11 @@ def prompt_stability(outcomes: DataFrame, samples: int = 2) -> DataFrame:
         .when(F.col("named") == F.col("asked"), "locked").otherwise("contested")})
 
 
+def contested_count(stability: DataFrame) -> DataFrame:
+    """Questions per run on which the brand comes and goes."""
+    return stability.groupBy(*RUN).agg(F.count_if(F.col("stability") == "contested").alias("contested"))
+
+
 def find_gaps(outcomes: DataFrame) -> DataFrame:
     """Questions lost to competitors, with the winners in order of first win (F8).
 

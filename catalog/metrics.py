@@ -139,6 +139,12 @@ def f07(spark, d):
     return M.prompt_stability(outcomes(spark, d), samples=5)
 
 
+@query("f07_contested_count", f"""WITH {BRANDED}, s AS (SELECT run_id, brand_key, engine, prompt_id, avg(mentioned::INT) AS x FROM a GROUP BY ALL)
+SELECT run_id, brand_key, count(*) FILTER (WHERE x > 0 AND x < 1) AS contested FROM s GROUP BY run_id, brand_key""")
+def f07c(spark, d):
+    return M.contested_count(M.prompt_stability(outcomes(spark, d), samples=5))
+
+
 GAPS_SQL = f"""{BRANDED}, lostrows AS (SELECT a.*, m.name, m.rank AS mrank FROM a JOIN men m ON m.ord = a.ord AND m.entity_ord > 0 AND m.mentioned WHERE NOT a.mentioned),
  w AS (SELECT run_id, brand_key, engine, prompt_id, name, min(ord * 10 + mrank) AS f FROM lostrows GROUP BY ALL),
  wl AS (SELECT run_id, brand_key, engine, prompt_id, string_agg(name, '|' ORDER BY f) AS winners FROM w GROUP BY ALL),

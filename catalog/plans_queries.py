@@ -98,17 +98,39 @@ def vis(spark, d):
         "run_id", "brand_key", "prompts_run", "prompts_answered", "mentions", "score", "dismissed_count")
 
 
-@query("audit_runs")
-def audit_runs(spark, d):
-    """Whole audit of every host: one row per run with both halves, composite and grade."""
+def _audit_sql() -> str:
+    from catalog.metrics import BRANDED, R3
+    from catalog.sites import ASSESS
+
+    return f"""WITH {BRANDED}, {ASSESS},
+ rs AS (SELECT 'r' || CAST(first_id % 3 AS VARCHAR) AS run_id, min(host) AS host FROM v_sites GROUP BY ALL),
+ vs AS (SELECT run_id, brand_key, {R3.format("sum(score * weight) / sum(weight)")} AS visibility, {R3.format("avg(mentioned::INT)")} AS mention_rate, {R3.format("avg(own_cited::INT)")} AS citation_rate FROM a GROUP BY ALL),
+ hv AS (SELECT vs.*, asmt.overall AS readiness, asmt.blocked FROM rs JOIN vs USING (run_id) JOIN asmt ON asmt.host = rs.host),
+ cp AS (SELECT *, CASE WHEN readiness IS NULL THEN visibility ELSE {R3.format("readiness * 0.55::DOUBLE + visibility * 0.45::DOUBLE")} END AS composite FROM hv)
+SELECT *, CASE WHEN composite >= .85 THEN 'A' WHEN composite >= .7 THEN 'B' WHEN composite >= .55 THEN 'C' WHEN composite >= .4 THEN 'D' ELSE 'F' END AS grade, readiness IS NULL AS partial FROM cp"""
+
+
+def _audit(spark, d):
     from answerscope.plans.audit import audit
     from catalog.base import as_of, brands, outcome_entities, pages, sites
 
-    o = outcomes(spark, d)
     s = sites(spark, d)
-    # each host is audited with the answers of one of the outcome brands
-    run_sites = s.select(
+    # each outcome run audits one host
+    run_sites = s.groupBy(
         F.concat(F.lit("r"), (F.col("first_id") % 3).cast("string")).alias("run_id"),
-        F.concat(F.lit("b"), (F.col("first_id") % 3).cast("string")).alias("brand_key"), "host",
-        F.lit("2024-01-31 00:00:00").cast("timestamp").alias("created_at")).groupBy("run_id", "brand_key", "created_at").agg(F.min("host").alias("host"))
-    return audit(o, outcome_entities(spark, d), s, pages(spark, d), brands(spark, d), run_sites, as_of()).runs
+        F.concat(F.lit("b"), (F.col("first_id") % 3).cast("string")).alias("brand_key")).agg(
+        F.min("host").alias("host")).withColumn("created_at", F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return audit(outcomes(spark, d), outcome_entities(spark, d), s, pages(spark, d), brands(spark, d), run_sites, as_of())
+
+
+@query("audit_runs", _audit_sql())
+def audit_runs(spark, d):
+    """Whole audit: one row per run with both halves, composite and grade."""
+    return _audit(spark, d).runs.select(
+        "run_id", "brand_key", "visibility", "mention_rate", "citation_rate", "readiness", "blocked", "composite", "grade", "partial")
+
+
+@query("audit_recommendations")
+def audit_recommendations(spark, d):
+    """Action plan of every run of the whole audit."""
+    return _audit(spark, d).recommendations

@@ -189,6 +189,28 @@ def j08c(spark, d):
     return J.top_k(dom, ["run_id", "brand_key"], [F.col("rank_in_run")], 6).select("run_id", "domain", "count", "pos")
 
 
+@query("j08_checks_by_pillar", f"""WITH {ALL_CHECKS} SELECT host AS run_id, pillar, check_id, row_number() OVER (PARTITION BY host, pillar ORDER BY score, check_ord) AS pos FROM chk""", ints="pos")
+def j08d(spark, d):
+    # at nine decimals, so that 1 - 2/3 and 1/3 tie in both engines
+    rows = checks(spark, d).withColumn("score", F.round("score", 9))
+    return J.top_k(rows, ["run_id", "pillar"], [F.col("score"), F.col("check_ord")], 26).select(
+        "run_id", "pillar", "check_id", "pos")
+
+
+@query("a10_csv_checks", f"""WITH {ALL_CHECKS} SELECT host AS run_id, pillar, check_id, status, round(score, 6) AS score, weight, fix_id FROM chk""")
+def a10_checks(spark, d):
+    back = _round_trip(checks(spark, d), "checks_csv", S.write_csv, lambda p: spark.read.option("header", True).option(
+        "escape", '"').schema("run_id string, check_ord int, check_id string, pillar string, weight int, score double, status string, fix_id string").csv(p))
+    return back.select("run_id", "pillar", "check_id", "status", F.round("score", 6).alias("score"), "weight", "fix_id")
+
+
+@query("a10_csv_recommendations", f"""WITH {RECS} SELECT run_id, rec_id, severity, impact, effort, pillar, priority FROM rec""")
+def a10_recs(spark, d):
+    cols = recs(spark, d).select("run_id", "rec_id", "severity", "impact", "effort", "pillar", "priority")
+    return _round_trip(cols, "recommendations_csv", S.write_csv, lambda p: spark.read.option("header", True).option(
+        "escape", '"').schema(cols.schema).csv(p))
+
+
 # --- K: history ----------------------------------------------------------------------------------
 
 _COMP = "CASE WHEN readiness IS NOT NULL AND visibility IS NOT NULL THEN floor((readiness * 0.55::DOUBLE + visibility * 0.45::DOUBLE) * 1000 + 0.5) / 1000 ELSE coalesce(readiness, visibility) END"
