@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,8 +57,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4_
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(text)
-        sizes = np.cumsum([len(x) if x.is_valid else 0 for x in column.cast(pa.large_binary())]) if batch.num_rows else []
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             done = sizes[start - 1] if start else 0
