@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import common, packing, pieces
+from answerscope.llm import common, packing, pieces, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def op1(spark, sf_dir):
 @query("op2_packing")
 def op2(spark, sf_dir):
     return packing.pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+@query("op4_line_rules", rules.ORACLE)
+def op4(spark, sf_dir):
+    return rules.verdicts(common.table(spark, sf_dir, "documents"))
