@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """``doc_id`` (long) and ``text`` (null: empty) alone, whatever else the table holds."""
+    importable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, if it is not installed there."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([*paths, root])
+
+
 def held_out(folds: int, doc_id: str = "doc_id") -> Column:
     """True where crc32 of the id as text leaves no remainder (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds == 0
@@ -86,3 +96,41 @@ class Memory(dict):
         new = [w for w in words if w not in self]
         if new:
             self.update(zip(new, self.fill(new)))
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash; forgets all when it holds ``most`` words."""
+
+    def __init__(self, most: int = 400_000):
+        import xxhash
+
+        super().__init__()
+        self.most, self.of = most, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = found = self.of(word)
+        return found
+
+    def __call__(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str, hashes: WordHashes, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` words (A-Z lower-cased); of the whole text if it has fewer."""
+    words = hashes(text.encode().lower().split())
+    if not len(words):
+        return words
+    n, found = max(1, len(words) - width + 1), np.uint64(min(width, len(words)))
+    total = np.full(n, found, np.uint64)
+    for k in range(int(found)):
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + words[k:k + n])
+    return total

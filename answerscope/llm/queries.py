@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import common, packing, pieces, rules
+from answerscope.llm import common, fingerprints, packing, pieces, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,8 @@ def op2(spark, sf_dir):
 @query("op4_line_rules", rules.ORACLE)
 def op4(spark, sf_dir):
     return rules.verdicts(common.table(spark, sf_dir, "documents"))
+
+
+@query("op6_fingerprints")
+def op6(spark, sf_dir):
+    return fingerprints.edits(common.table(spark, sf_dir, "documents"))
