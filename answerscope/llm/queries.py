@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import common, fingerprints, packing, pieces, rules
+from answerscope.llm import common, fingerprints, neardup, packing, pieces, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +40,8 @@ def op4(spark, sf_dir):
 @query("op6_fingerprints")
 def op6(spark, sf_dir):
     return fingerprints.edits(common.table(spark, sf_dir, "documents"))
+
+
+@query("op7_neardup", neardup.ORACLE)
+def op7(spark, sf_dir):
+    return neardup.neardup(common.table(spark, sf_dir, "documents"), width=4)
