@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import common, fingerprints, neardup, packing, pieces, rules
+from answerscope.llm import common, fingerprints, licenses, neardup, packing, pieces, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,13 @@ def op6(spark, sf_dir):
 @query("op7_neardup", neardup.ORACLE)
 def op7(spark, sf_dir):
     return neardup.neardup(common.table(spark, sf_dir, "documents"), width=4)
+
+
+@query("op8_licenses")
+def op8(spark, sf_dir):
+    return licenses.summary(common.table(spark, sf_dir, "documents"))
+
+
+@query("op9_secrets")
+def op9(spark, sf_dir):
+    return secrets.summary(common.table(spark, sf_dir, "documents"))
