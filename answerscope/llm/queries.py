@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import common, fingerprints, licenses, neardup, packing, pieces, rules, secrets
+from answerscope.llm import chat, common, fingerprints, licenses, neardup, packing, pieces, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,8 @@ def op8(spark, sf_dir):
 @query("op9_secrets")
 def op9(spark, sf_dir):
     return secrets.summary(common.table(spark, sf_dir, "documents"))
+
+
+@query("op10_chat")
+def op10(spark, sf_dir):
+    return chat.repair(common.table(spark, sf_dir, "conversations"))
