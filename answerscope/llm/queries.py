@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import chat, common, fingerprints, licenses, neardup, packing, pieces, rules, secrets
+from answerscope.llm import chat, common, fingerprints, licenses, neardup, packing, pieces, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op9(spark, sf_dir):
 @query("op10_chat")
 def op10(spark, sf_dir):
     return chat.repair(common.table(spark, sf_dir, "conversations"))
+
+
+@query("op3_quality")
+def op3(spark, sf_dir):
+    return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
