@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import chat, common, fingerprints, licenses, neardup, packing, pieces, quality, rules, secrets
+from answerscope.llm import chat, common, fingerprints, katz, licenses, neardup, packing, pieces, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op10(spark, sf_dir):
 @query("op3_quality")
 def op3(spark, sf_dir):
     return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+@query("op5_katz")
+def op5(spark, sf_dir):
+    return katz.scores(common.table(spark, sf_dir, "documents"))
