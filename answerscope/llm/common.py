@@ -22,10 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    """``doc_id`` (long) and ``text`` (null: empty) alone, whatever else the table holds."""
+def texts_of(docs: DataFrame, row: bool = False) -> DataFrame:
+    """``doc_id`` (long) and ``text`` (null: empty) alone, whatever else the table holds; all its columns in ``row`` if asked for."""
     importable(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if row else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *whole)
+
+
+def with_text(rows: DataFrame, text: str) -> DataFrame:
+    """The columns held in ``row``, with another text and its length in ``n_chars`` (if there is one)."""
+    names = rows.schema["row"].dataType.names
+    new = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return rows.select(*[new.get(n, F.col("row").getField(n)).alias(n) for n in names])
 
 
 def importable(spark: SparkSession) -> None:

@@ -22,34 +22,31 @@ BOILERPLATE_WORDS = 15
 BOILERPLATE = (r"(?i)(all rights reserved|privacy policy|cookie policy|uses cookies|terms of (use|service)|click here|"
                r"sign (up|in)|log ?in|subscribe|javascript|lorem ipsum|powered by|skip to content|share this)")
 SYMBOL = r"[#*$%&|<>]"
-SEPARATOR = r"[|\x{2022}\x{00BB}\x{203A}>]"
+SEPARATOR = r"[|>\x{2022}\x{00BB}\x{203A}]"
 ENDING = r"[.!?:;,\x{2026}\x{3002}\x{FF01}\x{FF1F}]"
-LETTER, CAPITAL, PUNCTUATION = r"\p{L}", r"\p{Lu}", r"\p{P}"
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line (of any length; one without a word never fails) breaks a rule.
+def line_fails(line: Column, words: Column, symbols: Column, separated: Column) -> Column:
+    """Whether a line of so many words (one without a word never fails) breaks a rule.
 
     symbols: more than one symbol for every three words; navigation: three separators or more,
     at least one for every three words; shouting: five words or more, three fifths of the
     letters capital; boilerplate: a known phrase in a line of few words; punctuation: no letter
-    and no digit, or five words or more without a single mark.
+    and no digit, or five words or more without a single mark.  ``symbols`` and ``separated``
+    tell whether the whole text has any symbol or separator.
     """
-    words = F.regexp_count(line, F.lit(common.WORD))
-    letters = F.regexp_count(line, F.lit(LETTER))
+    # of four letters or more, three fifths are capital only where two follow one another: counting can wait for that
+    maybe_shouted = line.rlike(r"\p{Lu}\P{L}*+\p{Lu}") | ~line.rlike(r"(?:\p{L}\P{L}*+){4}")
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
     return (words > 0) & (
-        (F.regexp_count(line, F.lit(SYMBOL)) * 3 > words)
-        | ((F.regexp_count(line, F.lit(SEPARATOR)) >= 3) & (F.regexp_count(line, F.lit(SEPARATOR)) * 3 >= words))
-        | ((words >= 5) & (F.regexp_count(line, F.lit(CAPITAL)) * 5 > letters * 3))
+        (symbols & (count(SYMBOL) * 3 > words))
+        | (separated & (count(SEPARATOR) >= 3) & (count(SEPARATOR) * 3 >= words))
+        | ((words >= 5) & maybe_shouted & (count(r"\p{Lu}") * 5 > count(r"\p{L}") * 3))
         | ((words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE))
         | ~line.rlike(r"[\p{L}\p{N}]")
         | ((words >= 5) & ~line.rlike(ENDING)))
 
 
-def n_words(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, common.SPACE), ""))
-
-
 def repeated_words(words: Column) -> Column:
     """How many places of the array are covered by three-word windows that occur twice or more.
 
@@ -75,25 +72,28 @@ def bound(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def rules(docs: DataFrame) -> DataFrame:
+def rules(docs: DataFrame, row: bool = False) -> DataFrame:
     """Every document with its counts, its verdict and its text without the failed lines.
 
     Null and empty texts have no word: they fail the base rule.  Repeated rows are judged each;
-    null ids are carried; other columns are ignored (join the result by ``doc_id``).
+    null ids are carried; other columns are ignored, or kept whole in ``row``.
     """
-    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    step = common.texts_of(docs).withColumn("words", F.array_remove(F.split("text", common.SPACE), "")).withColumn("lines", F.split("text", "\n"))
-    step = (step.withColumn("good", F.filter("lines", lambda x: ~line_fails(x)))
-            .withColumn("wordy", F.filter("lines", has_word)))
-    long = F.filter("good", lambda x: n_words(x) >= REPEAT_WORDS)
-    step = step.withColumn("clean", bound(long, lambda x: F.size(x) > F.size(F.array_distinct(x))))
-    step = step.withColumn("clean", F.when(F.col("clean"), F.array_distinct("good")).otherwise(F.col("good")))
+    kept = ["row"] if row else []
+    step = common.texts_of(docs, row).withColumns({
+        "words": F.array_remove(F.split("text", common.SPACE), ""), "n_symbols": F.regexp_count("text", F.lit(SYMBOL)).cast("long"), "separated": F.col("text").rlike(SEPARATOR),
+        "lines": F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(common.WORD)).alias("words")))})
+    step = step.withColumns({
+        "good": F.filter("lines", lambda x: ~line_fails(x["line"], x["words"], F.col("n_symbols") > 0, F.col("separated"))),
+        "wordy": F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["line"])})
+    long = F.transform(F.filter("good", lambda x: x["words"] >= REPEAT_WORDS), lambda x: x["line"])
+    repeats = bound(long, lambda x: F.size(x) > F.size(F.array_distinct(x)))
+    step = step.withColumn("clean", F.when(repeats, F.array_distinct("good")).otherwise(F.col("good")))
     step = step.select(
-        "doc_id", "text", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.regexp_count("text", F.lit(SYMBOL)).cast("long").alias("n_symbols"),
+        "doc_id", *kept, F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("wordy") - F.size(F.array_distinct("wordy"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"), F.array_join("clean", "\n").alias("cleaned"))
-    step = step.withColumn("lost_words", F.col("n_words") - n_words(F.col("cleaned")))
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"), F.array_join(F.transform("clean", lambda x: x["line"]), "\n").alias("cleaned"),
+        F.aggregate("clean", F.lit(0), lambda a, x: a + x["words"]).alias("left"))
+    step = step.withColumn("lost_words", F.col("n_words") - F.col("left")).drop("left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return step.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= LOST * F.col("n_words")))
 
