@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerscope.llm import common
 
@@ -148,14 +149,21 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, sample: int = SAMP
     return train([(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["counts"], np.int32), r["quality"]) for r in found])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``score`` of every whole text.  Null and empty texts get the score of the bias alone."""
+def score(docs: DataFrame, model: Model, row: bool = False) -> DataFrame:
+    """``doc_id``, ``score`` of every whole text, and all its columns in ``row`` if asked for.
+
+    Null and empty texts get the score of the bias alone.
+    """
+    texts = common.texts_of(docs, row)
+    kept = texts.columns[2:]
+
     def work(batches):
         memory = common.Memory(model.sums_by_word, 400_000)
         for batch in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(batch.column("text").to_pylist(), memory), pa.float64())], names=["doc_id", "score"])
+            found = pa.array(model.scores(batch.column("text").to_pylist(), memory), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found, *[batch.column(c) for c in kept]], names=["doc_id", "score", *kept])
 
-    return common.texts_of(docs).mapInArrow(work, "doc_id long, score double")
+    return texts.mapInArrow(work, T.StructType([texts.schema["doc_id"], T.StructField("score", T.DoubleType()), *[texts.schema[c] for c in kept]]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, least: float = 0.3) -> DataFrame:

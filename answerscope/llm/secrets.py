@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerscope.llm import common
 
@@ -118,22 +119,24 @@ def hex_runs(data: bytes, least: int = 32) -> list[tuple[int, int]]:
     return runs
 
 
-SPANS = "doc_id long, text string, spans array<struct<start:long,end:long,kind:string>>"
+SPANS = T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("kind", T.StringType())])))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Each document's text and its secrets: start, end (code points, exclusive) and kind.
+def scan(docs: DataFrame, row: bool = False) -> DataFrame:
+    """Each document's text and its secrets: start, end (code points, exclusive) and kind; all its columns in ``row`` if asked for.
 
     Null and empty texts have none; repeated rows and null ids are carried; other columns are ignored.
     """
+    texts = common.texts_of(docs, row)
+
     def work(batches):
         scanner = Scanner()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
         for batch in common.slices(batches):
             spans = [[dict(zip(("start", "end", "kind"), s)) for s in scanner(t)] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(spans, kind)], names=["doc_id", "text", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, kind)], names=[*batch.schema.names, "spans"])
 
-    return common.texts_of(docs).mapInArrow(work, SPANS)
+    return texts.mapInArrow(work, T.StructType([*texts.schema.fields, SPANS]))
 
 
 def summary(docs: DataFrame) -> DataFrame:
@@ -145,11 +148,12 @@ def summary(docs: DataFrame) -> DataFrame:
         F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, mark: str = "[SECRET]", row: bool = False) -> DataFrame:
     """``doc_id``, ``text`` with every stretch of secrets replaced by ``mark``; overlapping ones are one stretch."""
     joined = F.aggregate(
         "spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.when(s["end"] <= a["at"], a).when(s["start"] < a["at"], F.struct(a["out"].alias("out"), s["end"].alias("at"))).otherwise(
             F.struct(F.concat(a["out"], F.substr("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at"))))
-    return scan(docs).withColumn("cut", F.when(F.size("spans") > 0, joined)).select(
-        "doc_id", F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat("cut.out", F.substr("text", (F.col("cut.at") + 1).cast("int")))).alias("text"))
+    cut = scan(docs, row).withColumn("cut", F.when(F.size("spans") > 0, joined))
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(F.concat("cut.out", F.substr("text", (F.col("cut.at") + 1).cast("int"))))
+    return cut.select("doc_id", text.alias("text"), *(["row"] if row else []))
