@@ -10,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: white space as the contracts define words: the six ASCII characters that ``bytes.split()`` splits on
@@ -62,14 +62,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{named.rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: lineage is cut, columns can be pruned."""
     spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
-    writer = df.write.partitionBy(by) if by else df.write
-    writer.parquet(folder)
+    df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def written_and_told(df: DataFrame, name: str, **told: Column) -> tuple[DataFrame, dict]:
+    """The same, and aggregates of the rows that are observed while they are written."""
+    seen = Observation()
+    return written(df.observe(seen, *[c.alias(k) for k, c in told.items()]), name), seen.get
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``most`` bytes of text, so that memory does not follow the rows' length."""
     for batch in batches:

@@ -5,7 +5,7 @@ signature and empty bins borrow from the first occupied one in a fixed random or
 own (optimal densification).  Documents with equal sets are one node.  Nodes meet in the buckets
 of banded signatures; a bucket yields star-shaped candidate edges (centre to member), which are
 verified on full sets.  Buckets that still hold more than one component get further centres:
-the best linked members first, four times as many each round, until every pair in them that
+the best linked members first, sixteen times as many each round, until every pair in them that
 could join two components has been tested.  No bucket is capped and none is gathered in a task.
 """
 
@@ -80,21 +80,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars (each node hooks its neighbours to its least one); every
     round is a written table, and the number of rounds grows with the logarithm of the longest path.
     """
-    now = common.written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    before = None
+    state = {"n": F.count(F.lit(1)), "hash": F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))}
+    now, before = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), None
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("least"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b")
+        now, after = common.written_and_told(small.where("a <> b").distinct(), "edges", **state)
+        if after == before:
             return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        before = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("least"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = common.written(small.where("a <> b").distinct(), "edges")
+        before = after
 
 
 def linked(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -102,31 +100,31 @@ def linked(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFr
     nodes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"))
     keyed = base.join(nodes, ["doc_id", "high", "low"], "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("bucket", "centre")
-    members = common.written(keyed.join(shared, "bucket").select("bucket", "doc_id", "centre"), "members")
-    if members.isEmpty():
+    members, told = common.written_and_told(keyed.join(shared, "bucket").select("bucket", "doc_id", "centre"), "members", n=F.count(F.lit(1)))
+    if not told["n"]:
         return None
     sets = common.written(fingerprints.shingle_sets(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), width)
                           .groupBy("doc_id", F.xxhash64("shingles")).agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles"), "sets")
     tested = common.written(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     found = common.written(fingerprints.verified(tested, sets, percent).select("a", "b").distinct(), "links")
-    centres = 1
+    members, centres, more = members.drop("centre"), 1, 8
     while True:
-        labels = common.written(components(found), "labels")
+        labels = components(found)
         placed = members.join(labels, members["doc_id"] == labels["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi AND size > 2")
-        open_ = common.written(placed.join(mixed.where(F.col("size") > centres).select("bucket", "size"), "bucket"), "open")
-        if open_.isEmpty():
+        # a bucket stays open while it has several components and members that have not been centres
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > max(2, centres)))
+        open_, told = common.written_and_told(placed.join(mixed.select("bucket"), "bucket"), "open", n=F.count(F.lit(1)))
+        if not told["n"]:
             return labels
-        degree = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).groupBy("doc_id").agg(F.count("*").alias("degree"))
+        centres, more = more, 16 * more
+        degree = found.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
         ranked = open_.join(degree, "doc_id", "left").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.coalesce("degree", F.lit(0)).desc(), "doc_id")))
         chosen = ranked.where(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("c"), F.col("component").alias("of"))
         pairs = (open_.join(chosen, "bucket").where("component <> of").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
                  .join(tested, ["a", "b"], "left_anti"))
         pairs = common.written(pairs, "pairs")
-        new = common.written(fingerprints.verified(pairs, sets, percent).select("a", "b").distinct(), "links")
-        found = common.written(found.unionByName(new), "links")
-        tested = common.written(tested.unionByName(pairs), "pairs")
-        centres *= 4
+        found = found.unionByName(common.written(fingerprints.verified(pairs, sets, percent).select("a", "b").distinct(), "links"))
+        members, tested = open_.select("bucket", "doc_id"), tested.unionByName(pairs)
 
 
 def neardup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
