@@ -26,7 +26,7 @@ def awkward():
     near[60] = "changed"
     return [
         (1, base), (2, base), (3, " ".join(near)), (4, None), (5, ""), (6, " \n\t "), (7, "one"), (7, "one"), (None, prose(rng, 60)), (None, None),
-        (8, prose(rng, 20_000)), (9, "x" * 50_000), (10, "a b c d"), (11, "a b c d"), (12, base.upper()), (13, "日本 \U0001F600 \u2581 <|endoftext|>"),
+        (8, prose(rng, 20_000)), (9, "x" * 50_000), (10, "a b c d"), (11, "a b c d"), (12, "".join(c.upper() if c.isascii() else c for c in base)), (13, "日本 \U0001F600 \u2581 <|endoftext|>"),
         (14, "# $ % & | < >\n" * 40), (15, "the same line of eight words stands here again\n" * 30), (16, prose(rng, 300)),
     ]
 
