@@ -33,6 +33,22 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(items: Column, start: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The states of a fold after each item; ``kind`` is the state's type.
+
+    States are gathered in short lists that are joined at the end, so that appending does not
+    copy everything gathered so far.
+    """
+    def merge(acc: Column, x: Column) -> Column:
+        full = F.size(acc["cur"]) >= 256
+        return bind(step(acc["s"], x), lambda s: F.struct(
+            s.alias("s"), F.when(full, F.array(s)).otherwise(F.concat(acc["cur"], F.array(s))).alias("cur"),
+            F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done")))
+
+    zero = F.struct(start.cast(kind).alias("s"), F.array().cast(f"array<{kind}>").alias("cur"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+    return F.aggregate(items, zero, merge, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["cur"]))))
+
+
 def literals(terms: list[str]) -> Column:
     """Literal array of strings, built in one expression."""
     return F.expr("array(" + ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms) + ")")

@@ -2,18 +2,61 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from answerscope import fixed
 from answerscope.functions.core import NOT_BEFORE_WORD, WS, ColumnOrName, as_col, bind, literals, squash_ws, trim_ws
-from answerscope.functions.text import word_count
 from answerscope.functions.urls import resolve_url
 
 B = NOT_BEFORE_WORD
+# fixed value: elements whose content is no text
+_HIDDEN = ["script", "style", "noscript", "svg", "template"]
 _ENTITY = r"(?i)&(?:#x?[0-9a-f]+|[a-z]+);"
 
 
+#: stands after the bracket of a start tag that is never closed, where no pattern may begin
+_FENCE = "\x01"
+
+
+def _up_to(s: Column, last: str) -> Column:
+    """The text up to and including the last occurrence of a pattern, '' without one."""
+    return F.regexp_extract(s, rf"(?is)\A.*(?:{last})", 0)
+
+
+def _replace_within(s: Column, last: str, pattern: str, by: str) -> Column:
+    """``regexp_replace`` where matches can end only: behind the last ``last`` every try would scan to the end."""
+    return bind(s, lambda t: bind(_up_to(t, last), lambda head: F.concat(
+        F.regexp_replace(head, pattern, by), F.substr(t, F.length(head) + 1))))
+
+
+def fenced(s: Column, tags: list[str]) -> Column:
+    """Start tags after which no end tag of theirs follows, marked so that block patterns skip them.
+
+    A block pattern begun at such a tag scans to the end of the page and fails; thousands of
+    them made a page quadratic.  Before the last bracket ahead of a tag's last end tag every
+    start tag is closed, so each scan ends at a match.  ``unfenced`` restores the text.
+    """
+    def fence(tag: str) -> Callable[[Column], Column]:
+        def mark(t: Column) -> Column:
+            closed = F.regexp_extract(t, rf"(?is)\A(.*)</{tag}>", 1)
+            head = F.regexp_extract(closed, r"(?s)\A.*>", 0)
+            return bind(F.length(head), lambda n: F.concat(
+                F.substr(t, F.lit(1), n), F.regexp_replace(F.substr(t, n + 1), rf"(?i)<(?={tag}{B})", "<" + _FENCE)))
+
+        return lambda t: F.when(t.rlike(rf"(?i)<{tag}{B}"), mark(t)).otherwise(t)
+
+    for tag in tags:
+        s = bind(s, fence(tag))
+    return s
+
+
+def unfenced(s: Column) -> Column:
+    return F.replace(s, F.lit("<" + _FENCE), F.lit("<"))
+
+
 def _html(c: ColumnOrName) -> Column:
     return F.coalesce(as_col(c), F.lit(""))
 
@@ -46,12 +89,12 @@ def decode_entities(s: ColumnOrName) -> Column:
 
 def to_text(html: ColumnOrName) -> Column:
     """Readable text of a page."""
-    s = F.regexp_replace(_html(html), r"(?s)<!--.*?-->", " ")
-    s = F.regexp_replace(
-        s, rf"(?is)<(script|style|noscript|svg|template){B}[^>]*>.*?</\1>", " ")
+    s = _replace_within(_html(html), "-->", r"(?s)<!--.*?-->", " ")
+    s = unfenced(F.regexp_replace(
+        fenced(s, _HIDDEN), rf"(?is)<({'|'.join(_HIDDEN)}){B}[^>]*>.*?</\1>", " "))
     s = F.regexp_replace(s, rf"(?i)</(?:{fixed.BLOCK_TAGS}){WS}*>", "\n")
     s = F.regexp_replace(s, rf"(?i)<br{WS}*/?>", "\n")
-    s = F.regexp_replace(s, "<[^>]+>", " ")
+    s = _replace_within(s, ">", "<[^>]+>", " ")
     s = F.regexp_replace(decode_entities(s), r"[ \t\x{a0}]{2,}|[\t\x{a0}]", " ")
     return trim_ws(F.regexp_replace(s, rf"\n{WS}*\n{WS}*\n+", "\n\n"))
 
@@ -78,12 +121,12 @@ def description(html: ColumnOrName) -> Column:
 
 def headings(html: ColumnOrName) -> Column:
     """Headings in document order as array<struct<level, text>>."""
-    found = F.regexp_extract_all(_html(html), F.lit(rf"(?is)<h([1-6]){B}[^>]*>.*?</h\1>"), 0)
+    found = F.regexp_extract_all(fenced(_html(html), [f"h{k}" for k in range(1, 7)]), F.lit(rf"(?is)<h([1-6]){B}[^>]*>.*?</h\1>"), 0)
     return F.filter(
         F.transform(found, lambda h: F.struct(
             F.substring(h, 3, 1).cast("int").alias("level"),
             trim_ws(squash_ws(to_text(
-                F.regexp_extract(h, rf"(?is)^<h[1-6]{B}[^>]*>(.*)</h[1-6]>$", 1)))).alias("text"))),
+                unfenced(F.regexp_extract(h, rf"(?is)^<h[1-6]{B}[^>]*>(.*)</h[1-6]>$", 1))))).alias("text"))),
         lambda h: h["text"] != "")
 
 
@@ -111,14 +154,15 @@ def looks_client_rendered(html: ColumnOrName, text: Column) -> Column:
 
 def lead_copy(html: ColumnOrName, words: int = 80) -> Column:
     """First ``words`` words of the main copy, without page furniture (C11)."""
-    body = F.regexp_replace(
-        _html(html), rf"(?is)<(header|nav|footer|aside){B}[^>]*>.*?</\1>", " ")
+    furniture = ["header", "nav", "footer", "aside"]
+    body = unfenced(F.regexp_replace(
+        fenced(_html(html), furniture), rf"(?is)<({'|'.join(furniture)}){B}[^>]*>.*?</\1>", " "))
     main_rx = rf"(?is)<(main|article){B}[^>]*>(.*?)</\1>"
 
     def from_source(src: Column) -> Column:
         paras = F.filter(
-            F.transform(F.regexp_extract_all(src, F.lit(rf"(?is)<p{B}[^>]*>(.*?)</p>"), 1),
-                        lambda p: to_text(p)),
+            F.transform(F.regexp_extract_all(fenced(src, ["p"]), F.lit(rf"(?is)<p{B}[^>]*>(.*?)</p>"), 1),
+                        lambda p: to_text(unfenced(p))),
             lambda t: F.size(F.split(t, f"{WS}+")) >= 8)
         return bind(paras, lambda ps: F.when(
             F.size(ps) > 0, F.array_join(ps, " ")).otherwise(to_text(src)))
@@ -127,9 +171,6 @@ def lead_copy(html: ColumnOrName, words: int = 80) -> Column:
         return F.array_join(F.slice(F.split(t, f"{WS}+"), 1, words), " ")
 
     return bind(body, lambda b: bind(
-        F.when(b.rlike(main_rx), F.regexp_extract(b, main_rx, 2)).otherwise(b),
+        bind(fenced(b, ["main", "article"]), lambda f: F.when(f.rlike(main_rx), unfenced(F.regexp_extract(f, main_rx, 2))).otherwise(b)),
         lambda src: bind(from_source(src), cut)))
 
-
-def page_words(text: ColumnOrName) -> Column:
-    return word_count(text)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from answerscope.functions.core import NOT_BEFORE_WORD, WS, ColumnOrName, as_col, bind, trim_ws
 
-MAX_NESTING = 4  # arrays / @graph wrappers inside one another
-
 
 def _parse(body: Column) -> Column:
     clean = F.regexp_replace(trim_ws(body), rf"^{WS}*<!\[CDATA\[", "")
@@ -53,11 +51,15 @@ def nodes(html: ColumnOrName) -> Column:
     h = F.coalesce(as_col(html), F.lit(""))
     script = (rf"(?is)<script{NOT_BEFORE_WORD}[^>]*type\s*=\s*[\"']application/ld\+json[\"']"
               r"[^>]*>(.*?)</script>")
-    parsed = F.filter(F.transform(F.regexp_extract_all(h, F.lit(script), 1), _parse),
-                      lambda v: v.isNotNull())
-    items = F.transform(parsed, lambda v: _tag(v, False))
-    for _ in range(MAX_NESTING):
-        items = F.flatten(F.transform(items, lambda i: _expand(i)))
+
+    def opened(body: Column) -> Column:
+        """The objects of one script; every step unwraps one level until all items are finished."""
+        levels = F.regexp_count(body, F.lit(r"\[")) + 1
+        items = F.filter(F.array(_tag(_parse(body), False)), lambda i: i["node"].isNotNull())
+        return F.aggregate(F.sequence(F.lit(0), levels), items, lambda now, _: F.when(
+            F.exists(now, lambda i: ~i["done"]), F.flatten(F.transform(now, lambda i: _expand(i)))).otherwise(now))
+
+    items = F.flatten(F.transform(F.regexp_extract_all(h, F.lit(script), 1), opened))
     return F.transform(F.filter(items, lambda i: i["done"]), lambda i: i["node"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from answerscope import fixed
 from answerscope.functions.core import (
     NON_WS, NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, ColumnOrName, any_contains, as_col, bind, clamp,
-    count_contains, squash_ws, trim_ws,
+    count_contains, running, squash_ws, trim_ws,
 )
 
 SENTENCE_END = "[.!?]"
@@ -115,6 +115,20 @@ def sentence_at(text: ColumnOrName, idx: ColumnOrName) -> Column:
     return sentence_from_line(before, after)
 
 
+def sentence_starts(text: Column) -> Column:
+    """All sentences of a text, untrimmed, with their offsets: array<struct<idx, part>>."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.transform(
+        F.split(x, f"(?<={SENTENCE_END})(?={WS})"), lambda p, j: F.struct(p.alias("part"), (j == 0).cast("int").alias("gap"))))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["next"] + x["gap"]
+        return F.struct(at.alias("idx"), x["part"].alias("part"), (at + F.length(x["part"])).alias("next"))
+
+    start = F.struct(F.lit(0).alias("idx"), F.lit("").alias("part"), F.lit(-1).alias("next"))
+    return F.transform(running(F.flatten(lines), start, step, "struct<idx:int,part:string,next:int>"),
+                       lambda s: F.struct(s["idx"].alias("idx"), s["part"].alias("part")))
+
+
 def in_list_context(line: Column, sentence: Column) -> Column:
     """Whether a mention sits inside an enumeration."""
     def inside(s: Column) -> Column:

@@ -81,7 +81,7 @@ def fold_dots(path: Column) -> Column:
             .when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
             .otherwise(F.concat(acc, F.array(seg))))
 
-    segments = F.split(F.substring(path, 2, 2_000_000), "/")
+    segments = F.split(F.substr(path, F.lit(2)), "/")
     folded = F.concat(F.lit("/"), F.array_join(
         F.aggregate(segments, F.array().cast("array<string>"), step), "/"))
     trailing = path.rlike(r"/\.{1,2}$") & (folded != "/")

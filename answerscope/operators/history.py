@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from answerscope import fixed
 from answerscope.functions.core import grade_for, round_half_up
-from answerscope.plans.joins import join_dimension
 
 METRICS = ["composite", "readiness", "visibility", "mention_rate"]
 
@@ -43,12 +42,12 @@ DELTA_METRICS = ["composite", "readiness", "visibility", "mention_rate", "citati
 def compute_delta(pairs: DataFrame, strict: bool = False) -> DataFrame:
     """Differences between a run and its previous run (K2).
 
-    ``pairs``: run_id, previous_id, each metric as <m> and previous_<m>, and the
+    ``pairs``: run_id, previous_id, previous_at, each metric as <m> and previous_<m>, and the
     recommendation ids of both as arrays ``recs`` and ``previous_recs`` (a few dozen each).
     Unmeasured counts as 0 unless ``strict``.
     """
     return pairs.select(
-        "run_id", "previous_id",
+        "run_id", "previous_id", "previous_at",
         *[_diff(F.col(m), F.col(f"previous_{m}"), strict).alias(m) for m in DELTA_METRICS],
         F.array_except("previous_recs", "recs").alias("resolved"),
         F.array_except("recs", "previous_recs").alias("introduced"))
@@ -82,20 +81,21 @@ def previous_run(runs: DataFrame) -> DataFrame:
         .where(F.col("pos") <= 2).groupBy("brand_key").agg(
             F.max(F.when(F.col("pos") == 1, F.col("run_id"))).alias("newest"),
             F.max(F.when(F.col("pos") == 2, F.col("run_id"))).alias("second")))
-    return join_dimension(runs, two, ["brand_key"], spread="run_id").withColumn(
+    return runs.join(two, "brand_key").withColumn(
         "previous_id", F.when(F.col("run_id") == F.col("newest"), F.col("second")).otherwise(F.col("newest"))
     ).drop("newest", "second")
 
 
 def _bucketed(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("bucket", F.to_date("created_at"))
+    """Hours: short enough that a backfill of a day is shared by tasks, and few beside the runs."""
+    return runs.withColumn("bucket", F.date_trunc("hour", "created_at"))
 
 
 def lag_run(runs: DataFrame) -> DataFrame:
     """Chronologically preceding run of the same brand (K5): previous_id, previous_at.
 
-    lag() inside a (brand, day) bucket; the first run of a day takes the last run of the
-    brand's preceding day, found over one row per bucket.
+    lag() inside a (brand, hour) bucket; the first run of an hour takes the last run of the
+    brand's preceding bucket, found over one row per bucket.
     """
     rows = _bucketed(runs)
     inside = Window.partitionBy("brand_key", "bucket").orderBy("created_at", "run_id")
@@ -113,17 +113,17 @@ def as_of_run(dates: DataFrame, runs: DataFrame) -> DataFrame:
     """Latest run of a brand at or before each date (K5, as-of form).
 
     ``dates``: brand_key, as_of, and any other columns.  Dates and runs are merged into one
-    stream per (brand, day) and the last run seen so far is carried forward; days without an
-    earlier run in the bucket take the last run of an earlier day.
+    stream per (brand, hour) and the last run seen so far is carried forward; hours without an
+    earlier run in the bucket take the last run of an earlier one.
     """
     extra = [c for c in dates.columns if c != "brand_key"]
     run = F.struct("created_at", "run_id")
     no_run = F.lit(None).cast(runs.select(run.alias("r")).schema["r"].dataType)
     points = dates.select(
-        "brand_key", F.to_date("as_of").alias("bucket"), F.col("as_of").alias("at"), F.lit(1).alias("kind"),
+        "brand_key", F.date_trunc("hour", "as_of").alias("bucket"), F.col("as_of").alias("at"), F.lit(1).alias("kind"),
         no_run.alias("run"), F.struct(*extra).alias("row"))
     stream = points.unionByName(runs.select(
-        "brand_key", F.to_date("created_at").alias("bucket"), F.col("created_at").alias("at"),
+        "brand_key", F.date_trunc("hour", "created_at").alias("bucket"), F.col("created_at").alias("at"),
         F.lit(0).alias("kind"), run.alias("run"),
         F.lit(None).cast(points.schema["row"].dataType).alias("row")))
     inside = Window.partitionBy("brand_key", "bucket").orderBy("at", "kind").rowsBetween(
@@ -166,7 +166,7 @@ def trend_points(runs: DataFrame) -> DataFrame:
     span = F.col("high") - F.col("low")
     placed = scored.withColumn("i", F.row_number().over(inside) - 1).join(before, ["brand_key", "bucket"])
     return (
-        join_dimension(placed, ends, ["brand_key"], spread="run_id")
+        placed.join(ends, "brand_key")
         .select("brand_key", "run_id", "created_at",
                 ((F.col("i") + F.col("before")) / (F.col("points") - 1)).alias("x"),
                 ((F.col("composite") - F.col("low")) / F.when(span == 0, 1.0).otherwise(span)).alias("y")))
@@ -184,7 +184,7 @@ def provenance(answers: DataFrame, engines: DataFrame, runs: DataFrame) -> DataF
     readiness, visibility, blocked.
     """
     used = answers.groupBy("run_id", "brand_key", "engine", "prompt_id").agg(F.count(F.lit(1)).alias("n"))
-    facts = join_dimension(used, engines, ["engine"], spread="prompt_id", how="left").groupBy("run_id", "brand_key").agg(
+    facts = used.join(engines, "engine", "left").groupBy("run_id", "brand_key").agg(
         F.array_sort(F.collect_set("engine")).alias("engines"),
         F.min(F.coalesce("offline", F.lit(False))).alias("simulated"),
         F.count_distinct("prompt_id").alias("prompt_count"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from answerscope import fixed
 from answerscope.functions import text as T
-from answerscope.functions.core import NOT_BEFORE_WORD, bind, clamp, lookup, rx_quote
+from answerscope.functions.core import bind, clamp, lookup, running, rx_quote, trim_ws
 from answerscope.functions.urls import host_of, strip_www
 from answerscope.plans.joins import join_dimension
 
@@ -63,40 +63,77 @@ def entity_index(entities: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list("entity")).alias("entities"))
 
 
-def _positions(low: Column, v: Column) -> Column:
-    """Offsets of one spelling: running lengths of the pieces between its matches."""
-    def step(acc: Column, piece: Column) -> Column:
-        at = acc["next"] + F.length(piece)
-        return F.struct(
-            (at + v["len"]).alias("next"),
-            F.concat(acc["hits"], F.array(
-                F.struct(at.alias("idx"), v["len"].alias("len")))).alias("hits"))
+HIT = "struct<idx:int,len:int,ord:int,old:boolean>"
 
-    start = F.struct(
-        F.lit(0).alias("next"), F.array().cast("array<struct<idx:int,len:int>>").alias("hits"))
-    return bind(F.split(low, v["pattern"], -1), lambda pieces: F.aggregate(
-        F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: acc["hits"]))
 
+def _positions(low: Column, v: Column, i: Column) -> Column:
+    """Hits of one spelling, in order: running lengths of the pieces between its matches."""
+    def hit(at: Column) -> Column:
+        return F.struct(at.alias("idx"), v["len"].alias("len"), i.alias("ord"), F.lit(False).alias("old")).cast(HIT)
 
-def _accepted(hits: Column) -> Column:
-    """Greedy collapse of overlapping spellings, in longest-first order."""
-    def step(acc: Column, h: Column) -> Column:
-        near = F.exists(acc, lambda a: F.abs(a["idx"] - h["idx"])
-                        < F.greatest(h["len"], F.lit(MIN_REACH)))
-        return F.when(near, acc).otherwise(F.concat(acc, F.array(h)))
+    return bind(F.split(low, v["pattern"], -1), lambda pieces: F.transform(
+        running(F.slice(pieces, 1, F.size(pieces) - 1), -v["len"], lambda at, p: at + v["len"] + F.length(p), "int"), hit))
 
-    return F.aggregate(hits, F.array().cast("array<struct<idx:int,len:int>>"), step)
 
+def _accept(accepted: Column, hits: Column) -> Column:
+    """Add the hits of one spelling that no accepted hit is near to, both lists being in order of offset.
 
-def _mention(text: Column, entity: Column, hits: Column, lexicon: dict | None) -> Column:
-    lex = lexicon or {}
+    Accepted hits lie ``MIN_REACH`` or more apart and hits of one spelling its length, so whatever
+    is near a hit stands among its three neighbours on either side.  Only spellings shorter than
+    the reach can be near themselves: those are taken one after another.
+    """
+    reach = lambda x: F.greatest(x["len"], F.lit(MIN_REACH))
+
+    def free(both: Column) -> Column:
+        def near(x: Column, j: Column) -> Column:
+            o = F.get(both, j)
+            return F.coalesce(o["old"] & (F.abs(o["idx"] - x["idx"]) < reach(x)), F.lit(False))
+
+        return F.filter(both, lambda x, j: ~x["old"] & ~(
+            (j > 0) & (near(x, j - 1) | ((x["len"] < MIN_REACH) & (j > 1) & (near(x, j - 2) | ((j > 2) & near(x, j - 3)))))
+            | near(x, j + 1) | ((x["len"] < MIN_REACH) & (near(x, j + 2) | near(x, j + 3)))))
 
-    def sentiment_at(h: Column) -> Column:
-        return T.score_sentiment(T.sentence_at(text, h["idx"]), lex.get("positive"), lex.get("negative"))
+    def apart(fresh: Column) -> Column:
+        lasts = running(fresh, F.lit(-MIN_REACH), lambda last, x: F.when(x["idx"] - last >= MIN_REACH, x["idx"]).otherwise(last), "int")
+        return bind(lasts, lambda at: F.filter(fresh, lambda x, j: F.get(at, j) == x["idx"]))
 
+    short = F.get(hits, F.lit(0))["len"] < MIN_REACH
+    new = bind(bind(F.array_sort(F.concat(accepted, hits)), free), lambda fresh: F.when(short, apart(fresh)).otherwise(fresh))
+    return F.when(F.size(hits) == 0, accepted).otherwise(F.array_sort(F.concat(accepted, F.transform(new, lambda x: x.withField("old", F.lit(True))))))
+
+
+def _tone(text: Column, hits: Column, lexicon: dict) -> Column:
+    """Sum of the sentiment of the sentence around each hit; a sentence is cut and scored once.
+
+    Sentences and hits are merged in order of offset, so every hit follows the sentence it is in.
+    """
+    kind = "struct<hit:boolean,nth:int,part:string>"
+    marks = F.transform(T.sentence_starts(text), lambda s: F.struct(s["idx"].alias("idx"), F.lit(0).alias("kind"), s["part"].alias("part")))
+    found = F.transform(hits, lambda h: F.struct(h["idx"].alias("idx"), F.lit(1).alias("kind"), F.lit("").alias("part")))
+
+    def step(s: Column, x: Column) -> Column:
+        inside = x["kind"] == 1
+        return F.struct(inside.alias("hit"), F.when(inside, s["nth"]).otherwise(s["nth"] + 1).alias("nth"), F.when(inside, s["part"]).otherwise(x["part"]).alias("part")).cast(kind)
+
+    start = F.struct(F.lit(False).alias("hit"), F.lit(-1).alias("nth"), F.lit("").alias("part"))
+    placed = F.filter(running(F.array_sort(F.concat(marks, found)), start, step, kind), lambda s: s["hit"])
+
+    def scored(p: Column) -> Column:
+        firsts = F.filter(F.transform(p, lambda s, j: F.struct(j.alias("j"), s["nth"].alias("nth"), s["part"].alias("part"))),
+                          lambda s: (s["j"] == 0) | (F.get(p, F.greatest(s["j"] - 1, F.lit(0)))["nth"] != s["nth"]))
+        return bind(firsts, lambda f: F.aggregate(F.transform(f, lambda s, j: T.score_sentiment(
+            trim_ws(s["part"]), lexicon.get("positive"), lexicon.get("negative"))
+            * (F.coalesce(F.get(f, j + 1)["j"], F.size(p)) - s["j"])), F.lit(0.0), lambda a, x: a + x))
+
+    return bind(placed, scored)
+
+
+def _mention(text: Column, entity: Column, hits: Column, lexicon: dict | None) -> Column:
+    """``hits`` in order of offset; the role comes from the first hit of the longest spelling found."""
     named = F.size(hits) > 0
-    lead = F.try_element_at(hits, F.lit(1))["idx"]
-    mean = F.aggregate(F.transform(hits, sentiment_at), F.lit(0.0), lambda a, x: a + x) / F.size(hits)
+    by_spelling = F.array_sort(F.transform(hits, lambda h: F.struct(h["ord"].alias("ord"), h["idx"].alias("idx"), h["len"].alias("len"))))
+    lead = F.get(by_spelling, F.lit(0))["idx"]
+    mean = _tone(text, hits, lexicon or {}) / F.size(hits)
 
     def with_sentence(parts: Column, sentence: Column) -> Column:
         line = F.concat(parts["before"], parts["after"])
@@ -111,7 +148,7 @@ def _mention(text: Column, entity: Column, hits: Column, lexicon: dict | None) -
             .otherwise("referenced").alias("role"),
             F.when(named, sentence).otherwise("").alias("role_sentence"),
             (named & in_list).alias("role_in_list"),
-            F.transform(F.slice(hits, 1, fixed.SNIPPETS_KEPT),
+            F.transform(F.slice(by_spelling, 1, fixed.SNIPPETS_KEPT),
                         lambda h: T.snippet(text, h["idx"], h["len"])).alias("snippets")))
 
     def struct_for(parts: Column) -> Column:
@@ -128,10 +165,10 @@ def mention_array(text: Column, entities: Column, lexicon: dict | None = None) -
     body = F.coalesce(text, F.lit(""))
 
     def of_entity(low: Column, e: Column) -> Column:
-        found = F.flatten(F.transform(
-            F.filter(e["variants"], lambda v: F.contains(low, v["low"])),
-            lambda v: _positions(low, v)))
-        return bind(_accepted(found), lambda hits: _mention(body, e, hits, lexicon))
+        present = F.filter(F.transform(e["variants"], lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x: F.contains(low, x["v"]["low"]))
+        hits = F.aggregate(present, F.array().cast(f"array<{HIT}>"), lambda acc, x: bind(
+            _positions(low, x["v"], x["i"]), lambda found: _accept(acc, found)))
+        return bind(hits, lambda h: _mention(body, e, h, lexicon))
 
     plain = bind(fold_case(body), lambda low: F.transform(entities, lambda e: of_entity(low, e)))
     return bind(plain, ranked)
@@ -151,7 +188,7 @@ def ranked(mentions: Column) -> Column:
 def find_mentions(answers: DataFrame, entities: DataFrame, lexicon: dict | None = None) -> DataFrame:
     """Answers with a ``mentions`` array (E1, E2); ``explode_mentions`` gives the long form.
 
-    Answers meet the entity index of their brand: broadcast while its size estimate allows,
+    Answers meet the entity index of their brand: broadcast while its measured size allows,
     else a salted join that spreads a brand with an outsized share of the answers.
     """
     return (
@@ -200,5 +237,5 @@ def score_answers(
         brand_of(F.col("mentions")).alias("brand"),
         own_cited(F.col("citations"), F.col("brand_host")).alias("own_cited"),
         T.excerpt("text").alias("answer_excerpt"))
-    scored = join_dimension(found, p, ["brand_key", "prompt_id"], spread="ord")
+    scored = found.join(p, ["brand_key", "prompt_id"])
     return scored.withColumn("score", outcome_score(F.col("status"), F.col("brand"), F.col("own_cited")))

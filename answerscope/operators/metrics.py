@@ -235,28 +235,35 @@ def find_gaps(outcomes: DataFrame) -> DataFrame:
         (F.col("q.weight") * loss).alias("sort_key"), "first_ord")
 
 
-FOLD_DEPTH = 1000  # a win this far back weighs 2**-1000: nothing is left of it in a double
+#: width in answer order of the ranges within which wins are numbered, so that no window holds a whole question
+WIN_RANGE = 10_000
 
 
 def find_wins(outcomes: DataFrame) -> DataFrame:
     """Questions where the brand is named first.
 
-    The sentiment is a running half-fold s <- (s + x)/2 in answer order, so a win counts
-    2**-k, k wins before the last.  Only the newest FOLD_DEPTH wins of a question can move
-    the result; the group limit keeps just those on the map side, the counts use all.
+    The sentiment is a running half-fold s <- (s + x)/2 in answer order: a weighted sum in which
+    the newest win counts 1/2, the one before 1/4 and so on, the oldest as much as the one after
+    it.  A win's number from the end is its number within a range of answers plus the wins of
+    later ranges; the sum combines map-side, all wins taking part.
     """
-    won = answered(outcomes).where(F.col("brand.mentioned") & (F.col("brand.rank") == 1))
-    facts = won.groupBy(*QUESTION).agg(
+    won = answered(outcomes).where(F.col("brand.mentioned") & (F.col("brand.rank") == 1)).withColumn("part", F.floor(F.col("ord") / WIN_RANGE))
+    parts = won.groupBy(*QUESTION, "part").agg(
         F.min_by(F.struct("prompt_text", "intent"), "ord").alias("q"),
-        F.count(F.lit(1)).alias("won"), F.max("own_cited").alias("cited"), F.min("ord").alias("first_ord"))
-    newest = Window.partitionBy(*QUESTION).orderBy(F.col("ord").desc())
-    tones = (
-        won.select(*QUESTION, "ord", F.col("brand.sentiment").alias("s"))
-        .withColumn("k", F.row_number().over(newest)).where(F.col("k") <= FOLD_DEPTH)
-        .groupBy(*QUESTION).agg(F.array_sort(F.collect_list(F.struct("ord", "s"))).alias("t")))
-    fold = F.aggregate(F.slice("t", 2, FOLD_DEPTH), F.col("t")[0]["s"], lambda s, x: (s + x["s"]) / 2)
+        F.count(F.lit(1)).alias("n"), F.max("own_cited").alias("cited"), F.min("ord").alias("first_ord"))
+    question = Window.partitionBy(*QUESTION)
+    later = question.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"later": F.coalesce(F.sum("n").over(later), F.lit(0)), "won": F.sum("n").over(question)})
+    newest = Window.partitionBy(*QUESTION, "part").orderBy(F.col("ord").desc(), F.col("brand.sentiment").desc())
+    numbered = won.select(*QUESTION, "part", F.col("brand.sentiment").alias("s"), F.row_number().over(newest).alias("k")).join(
+        parts.select(*QUESTION, "part", "later", "won"), [*QUESTION, "part"])
+    back = F.least(F.col("k") + F.col("later"), F.greatest(F.col("won") - 1, F.lit(1)))
+    weight = F.when(F.col("won") == 1, 1.0).otherwise(F.pow(F.lit(2.0), -back))
+    tones = numbered.groupBy(*QUESTION).agg(F.sum(F.col("s") * weight).alias("sentiment"))
+    facts = parts.groupBy(*QUESTION).agg(
+        F.min_by("q", "first_ord").alias("q"), F.sum("n").alias("won"), F.max("cited").alias("cited"), F.min("first_ord").alias("first_ord"))
     return facts.join(tones, QUESTION).select(
-        *QUESTION, "q.prompt_text", "q.intent", "won", fold.alias("sentiment"), "cited", "first_ord")
+        *QUESTION, "q.prompt_text", "q.intent", "won", "sentiment", "cited", "first_ord")
 
 
 def citation_credits(outcomes: DataFrame) -> DataFrame:

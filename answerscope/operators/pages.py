@@ -9,7 +9,8 @@ from answerscope import fixed
 from answerscope.functions import html as H
 from answerscope.functions import jsonld as J
 from answerscope.functions.text import word_count
-from answerscope.functions.urls import host_of, path_of, strip_www
+from answerscope.functions.core import trim_ws
+from answerscope.functions.urls import host_of, normalise_url, path_of, resolve_url, strip_www
 
 SITEMAPS_READ, CHILDREN_PER_INDEX, CHILDREN_READ = 4, 3, 3
 
@@ -97,8 +98,17 @@ def select_pages(
     Tiers: home, pinned, first URL per priority path, then shallowest first.  Every tier is
     reduced to distinct URLs map-side before the per-host top-k, which Spark limits per
     partition, so a host with a third of all URLs ships at most ``limit`` rows per task.
-    ``discovered``: host, ord, url.  ``sites``: host, origin.  ``pinned``: host, ord, url.
+    ``discovered``: host, ord, url.  ``sites``: host, origin.  ``pinned``: host, ord, url (a
+    pinned page may be relative to the origin).  Addresses are compared and returned in their
+    canonical spelling (case of the host, default ports, dot segments).
     """
+    def spelled(df: DataFrame) -> DataFrame:
+        known = df.join(sites.select("host", "origin"), "host")
+        base = F.concat("origin", F.lit("/"))
+        return known.withColumn("url", normalise_url(resolve_url(trim_ws("url"), base))).drop("origin")
+
+    sites = sites.withColumn("origin", F.regexp_replace(normalise_url("origin"), "/$", ""))
+    discovered, pinned = spelled(discovered), None if pinned is None else spelled(pinned)
     internal = discovered.where(host_of("url") == strip_www("host"))
     path = path_of("url")
     depth = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))

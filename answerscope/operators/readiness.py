@@ -34,8 +34,12 @@ COMPARISON = [
 QUESTION = (
     rf"(?i)^(?:how|what|why|when|where|who|which|can|do|does|is|are|should|will){NA}|\?\z"
 )
+# A number with thousands marks: groups of one to three digits, the last of exactly three.  A
+# repeated group of varying length recurses once per repetition in the regex engine, so middle
+# groups of one or two digits are dropped first and the rest is a repetition of fixed length.
+MIDDLE_GROUP = rf"(?<={NB}\d{{1,3}}),\d{{1,2}}(?=,)"
 FIGURES = (
-    rf"(?i){NB}\d{{1,3}}(?:\.\d+)?%|{NB}(?:\d{{1,3}},)+\d{{3}}{NA}"
+    rf"(?i){NB}\d{{1,3}}(?:\.\d+)?%|{NB}\d{{1,3}}(?:,\d{{3}})+{NA}"
     rf"|\$\s?\d[\d,.]*(?:\s?(?:k|m|bn|billion|million))?(?:(?<=[A-Za-z0-9_]){NA}|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
     rf"|{NB}\d+x{NA}"
 )
@@ -44,13 +48,18 @@ STREET = (
     rf"(?i){NB}\d{{1,5}}{WS}+[A-Z][a-zA-Z]+{WS}+"
     rf"(?:street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|suite|ste){NA}"
 )
-EMAIL = r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
+EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 BYLINE = rf"{NB}by{WS}+[A-Z][a-z]+{WS}+[A-Z][a-z]+"
 CANONICAL = rf"(?i)<link{NA}[^>]*rel\s*=\s*[\"']canonical[\"']"
 LANDMARK = rf"(?i)<(?:main|article){NA}"
 FAQ_URL = "(?i)faq|frequently-asked|questions"
 
 
+def count_figures(text: str) -> Column:
+    """Percentages, numbers with thousands marks, amounts and multiples in a text."""
+    return F.regexp_count(F.regexp_replace(text, MIDDLE_GROUP, ""), F.lit(FIGURES))
+
+
 def parse_date(s: Column) -> Column:
     """ISO-8601 dates and times, RFC 2822 dates with the weekday dropped; else null."""
     t = F.regexp_replace(F.trim(s), r"^[A-Za-z]{3,9},\s*", "")
@@ -125,7 +134,7 @@ FEATURES: dict[str, tuple[list[str], Callable[[], Column]]] = {
     "capsule": ([], lambda: T.is_answer_capsule(H.lead_copy("html", 60))),
     "compares": (["title"], _compares),
     "faq_url": ([], lambda: F.col("url").rlike(FAQ_URL)),
-    "quotable": (["text"], lambda: F.regexp_count("text", F.lit(FIGURES)) >= 3),
+    "quotable": (["text"], lambda: count_figures("text") >= 3),
     "newest": (["nodes"], _newest),
     "phone": (["text", "nodes"], lambda: F.col("text").rlike(PHONE) | _node("phone")),
     "street": (["text", "nodes"], lambda: F.col("text").rlike(STREET) | _node("address")),
@@ -219,6 +228,7 @@ def _steps(value: Column, *steps: tuple[float, float], other: float) -> Column:
     return out.otherwise(F.lit(other))
 
 
+# fixed values: ids, pillars, weights, scores and bounds of the checks
 CHECKS: list[Check] = [
     Check("ai-crawler-access", "technical", 10, lambda: _c("critical_allowed"), "unblock-ai-crawlers", 1.0),
     Check("robots-txt", "technical", 3, lambda: F.when(~_c("has_robots"), 0.2)
@@ -377,7 +387,7 @@ def clarity(hosts: DataFrame, brands: DataFrame) -> DataFrame:
     ``hosts`` carries ``home``: '1' or '0' (fetched or not) and the lead after it.
     ``brands``: host, name, category_text, location.
     """
-    lead = F.substring("home", 2, 2_000_000)
+    lead = F.substr("home", F.lit(2))
     words = brands.select(
         "host", F.split(T.normalise("name"), f"{WS}+").alias("names"),
         F.filter(F.split(T.normalise("category_text"), f"{WS}+"), lambda w: F.length(w) > 3).alias("cats"),

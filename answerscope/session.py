@@ -29,22 +29,26 @@ def local_session(app: str = "answerscope", cores: str | None = None) -> SparkSe
     )
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables, under the shared folder the cluster names."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on one machine may leave it out; it then gets a folder of its own.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return f"{named.rstrip('/')}/answerscope-{uuid.uuid4().hex}/{name}"
-    return tempfile.mkdtemp(prefix="answerscope-") + "/" + name
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local["):
+        return tempfile.mkdtemp(prefix="answerscope-")
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one intermediate table."""
+    return f"{shared_folder(spark)}/answerscope-{uuid.uuid4().hex}/{name}"
 
-    ``spark.checkpoint.dir`` wins; only a session without one (tests on one machine)
-    gets a fresh folder of its own.  Checkpoint files survive the loss of executors.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="answerscope-"))
-    return df.checkpoint(eager=True)
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage: the rows as a written table in the shared folder, which survives lost executors."""
+    folder = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,11 +19,37 @@ def save_run(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataF
     return kept.unionByName(incoming)
 
 
+def upsert_runs(incoming: DataFrame, path: str, keys: list[str], version: int, partition: str = "brand_key") -> None:
+    """Write an upsert as a new version (A9): all rows of the brands it touches, and of no others.
+
+    ``version`` grows with every write; one that is repeated after a failure overwrites itself.
+    Older versions stay as they are, so nothing is read and rewritten in the same place.
+    """
+    state = incoming
+    try:
+        stored = read_runs(incoming.sparkSession, path, partition, before=version)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        touched = stored.join(incoming.select(partition).distinct(), partition, "left_semi")
+        state = save_run(touched.select(*incoming.columns), incoming, keys)
+    state.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(f"{path}/version={version}")
+
+
+def read_runs(spark: SparkSession, path: str, partition: str = "brand_key", before: int | None = None) -> DataFrame:
+    """The current runs: of every brand the rows of the newest version that has it."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    if before is not None:
+        rows = rows.where(F.col("version") < before)
+    newest = rows.groupBy(partition).agg(F.max("version").alias("version"))
+    return rows.join(newest, [partition, "version"]).drop("version")
+
+
 def write_runs(table: DataFrame, path: str, partition: str = "brand_key") -> None:
     """Write whole brand partitions; brands not in ``table`` keep their files."""
-    (table.repartition(partition, F.pmod(F.xxhash64(*table.columns[:3]), F.lit(16)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition).parquet(path))
+    (table.hint("rebalance", partition).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
 
 
 def flat(df: DataFrame) -> DataFrame:

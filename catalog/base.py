@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.plans.joins import estimated_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,12 +166,11 @@ SPREAD_TABLES = ("documents", "pages", "conversations", "customer", "events")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.  A table with work per row that comes as fewer splits than there are
-    cores (one small file) is spread out; on a cluster its many files already are."""
+    """A driver table.  On one machine a table with work per row is spread over the cores, as
+    one small file is one split; on a cluster the reader's splits are used as they are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD_TABLES and estimated_bytes(df) < cores * 4 * 1024 * 1024:
-        return df.repartition(cores, df.columns[0])
+    if name in SPREAD_TABLES and spark.sparkContext.master.startswith("local["):
+        return df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
     return df
 
 

@@ -73,10 +73,10 @@ def a06(spark, d):
     return P.kept_pages(pages(spark, d)).select("page_id", "host", "page_ord", "status")
 
 
-@query("a07_plain_body", "SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 3 = 1 THEN substr(html, 30, 500) END AS body FROM pages")
+@query("a07_plain_body", "SELECT page_id, CASE WHEN page_id % 5 <> 0 AND page_id % 3 = 1 THEN substr(html, 30) END AS body FROM pages")
 def a07(spark, d):
     k = F.col("page_id")
-    body = F.when(k % 3 == 1, F.col("html").substr(30, 500)).otherwise(F.substring("html", 1, 500))
+    body = F.when(k % 3 == 1, F.substr("html", F.lit(30))).otherwise(F.col("html"))
     return view(spark, d, "pages").select("page_id", P.plain_body(k % 5 != 0, body).alias("body"))
 
 
@@ -232,7 +232,7 @@ _PRIO = "\n".join(f"WHEN regexp_matches(path, '(?i){rx}') THEN {i}" for i, rx in
 @query("d07_select_pages", """WITH disc AS (SELECT host, page_id AS ord, url, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM v_pages),
  pr AS (SELECT host, k, arg_min(url, ord) AS url FROM disc, (VALUES %s) x(k, rx) WHERE regexp_matches(path, '(?i)' || rx) GROUP BY ALL),
  cand AS (SELECT host, origin AS url, 0 AS tier, 0 AS a, 0 AS b, 0 AS c FROM v_sites
-  UNION ALL SELECT host, origin || '/key?x=1', 1, 0, 0, 0 FROM v_sites
+  UNION ALL SELECT host, origin || k.path, 1, k.n, 0, 0 FROM v_sites, (VALUES (0, '/key'), (1, '/pricing'), (2, '/b/c'), (3, '/up')) k(n, path)
   UNION ALL SELECT host, url, 2, k, 0, 0 FROM pr
   UNION ALL SELECT host, url, 3, len(list_filter(string_split(path, '/'), lambda s: s <> '')), length(url), ord FROM disc),
  cl AS (SELECT host, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/$', '') AS url, tier, a, b, c FROM cand),
@@ -242,5 +242,8 @@ SELECT * FROM r WHERE pick <= 12""" % (", ".join(f"({i}, '{rx}')" for i, rx in e
 def d07(spark, d):
     s = sites(spark, d).select("host", "origin")
     found = view(spark, d, "v_pages").select("host", F.col("page_id").alias("ord"), "url")
-    pinned = s.select("host", F.lit(0).alias("ord"), F.concat("origin", F.lit("/key?x=1")).alias("url"))
+    # spellings of four pages: with a query, relative, with dot segments, capitals and the default port
+    pinned = s.select("host", F.posexplode(F.array(
+        F.concat("origin", F.lit("/key?x=1")), F.lit(" /pricing"), F.concat("origin", F.lit("/a/../b/./c#top")), F.lit("up/"),
+        F.concat(F.upper("origin"), F.when(F.startswith("origin", F.lit("https")), ":443").otherwise(":80"), F.lit("/pricing?again")))).alias("ord", "url"))
     return P.select_pages(s, found, pinned)

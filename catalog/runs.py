@@ -37,7 +37,10 @@ def a09(spark, d):
         again.withColumn("composite", F.col("composite") + 1).withColumn("write_ts", F.lit(2)))
     fresh = stored.where("event_id % 10 = 4").withColumn("run_id", F.concat(F.lit("new"), "run_id"))
     incoming = S.newest_version(versions, ["run_id", "brand_key"]).drop("write_ts").unionByName(fresh)
-    return S.save_run(stored, incoming, ["run_id", "brand_key"])
+    folder = scratch_folder(spark, "runs")
+    S.upsert_runs(stored, folder, ["run_id", "brand_key"], version=1)
+    S.upsert_runs(incoming, folder, ["run_id", "brand_key"], version=2)
+    return S.read_runs(spark, folder).select(*stored.columns)
 
 
 def _round_trip(df, name, write, read):
@@ -226,8 +229,8 @@ def k01(spark, d):
 _REC_IDS = "list_distinct(['fix' || event_id % 5, 'fix' || event_id % 7, 'rule' || event_id % 3])"
 
 
-@query("k02_compute_delta", f"""WITH r AS (SELECT *, {_REC_IDS} AS recs FROM v_runs), p AS (SELECT *, lag(run_id) OVER w AS previous_id, lag(composite) OVER w AS pc, lag(readiness) OVER w AS pr, lag(visibility) OVER w AS pv, lag(mention_rate) OVER w AS pm, lag(recs) OVER w AS precs FROM r WINDOW w AS (PARTITION BY brand_key ORDER BY created_at, run_id))
-SELECT run_id, previous_id, {", ".join(f"floor((coalesce({a}, 0) - coalesce({b}, 0)) * 1000 + 0.5) / 1000 AS {n}" for a, b, n in [("composite", "pc", "composite"), ("readiness", "pr", "readiness"), ("visibility", "pv", "visibility"), ("mention_rate", "pm", "mention_rate")])},
+@query("k02_compute_delta", f"""WITH r AS (SELECT *, {_REC_IDS} AS recs FROM v_runs), p AS (SELECT *, lag(run_id) OVER w AS previous_id, (lag(created_at) OVER w)::VARCHAR AS previous_at, lag(composite) OVER w AS pc, lag(readiness) OVER w AS pr, lag(visibility) OVER w AS pv, lag(mention_rate) OVER w AS pm, lag(recs) OVER w AS precs FROM r WINDOW w AS (PARTITION BY brand_key ORDER BY created_at, run_id))
+SELECT run_id, previous_id, previous_at, {", ".join(f"floor((coalesce({a}, 0) - coalesce({b}, 0)) * 1000 + 0.5) / 1000 AS {n}" for a, b, n in [("composite", "pc", "composite"), ("readiness", "pr", "readiness"), ("visibility", "pv", "visibility"), ("mention_rate", "pm", "mention_rate")])},
  array_to_string(list_sort(list_filter(precs, lambda x: NOT list_contains(recs, x))), '|') AS resolved, array_to_string(list_sort(list_filter(recs, lambda x: NOT list_contains(precs, x))), '|') AS introduced FROM p WHERE previous_id IS NOT NULL""")
 def k02(spark, d):
     e = F.col("event_id")
@@ -239,7 +242,7 @@ def k02(spark, d):
     before = r.select(F.col("run_id").alias("previous_id"), *[F.col(m).alias(f"previous_{m}") for m in mine])
     pairs = K.lag_run(r).where("previous_id IS NOT NULL").join(before, "previous_id")
     return K.compute_delta(pairs).select(
-        "run_id", "previous_id", "composite", "readiness", "visibility", "mention_rate",
+        "run_id", "previous_id", F.col("previous_at").cast("string").alias("previous_at"), "composite", "readiness", "visibility", "mention_rate",
         F.array_join(F.array_sort("resolved"), "|").alias("resolved"), F.array_join(F.array_sort("introduced"), "|").alias("introduced"))
 
 
@@ -298,11 +301,12 @@ def k08(spark, d):
     return K.below_threshold(runs(spark, d)).select("run_id", "composite")
 
 
-@query("k09_provenance", """WITH u AS (SELECT run_id, brand_key, string_agg(DISTINCT engine, '|' ORDER BY engine) AS engines, bool_and(engine IN ('e0', 'e1')) AS simulated, count(DISTINCT prompt_id) AS prompt_count FROM v_outcomes WHERE ord % 3 < 2 OR engine IN ('e0', 'e1') GROUP BY ALL)
+@query("k09_provenance", """WITH u AS (SELECT run_id, brand_key, string_agg(DISTINCT engine || run_id, '|' ORDER BY engine || run_id) AS engines, bool_and(run_id = 'r0' OR engine IN ('e0', 'e1')) AS simulated, count(DISTINCT prompt_id) AS prompt_count FROM v_outcomes GROUP BY ALL)
 SELECT run_id, brand_key, engines, simulated, run_id = 'r1' AS partial, run_id = 'r2' AS crawl_blocked, prompt_count FROM u""")
 def k09(spark, d):
-    o = view(spark, d, "v_outcomes").where("ord % 3 < 2 OR engine IN ('e0', 'e1')")
-    engines = o.select("engine").distinct().withColumn("offline", F.col("engine").isin("e0", "e1"))
+    # each run has engines of its own: all of run r0's are offline, and some of the others'
+    o = view(spark, d, "v_outcomes").withColumn("engine", F.concat("engine", "run_id"))
+    engines = o.select("engine").distinct().withColumn("offline", F.col("engine").rlike("r0$|^e[01]"))
     one = F.lit(0.5)
     r = o.select("run_id", "brand_key").distinct().select(
         "run_id", "brand_key", F.when(F.col("run_id") != "r1", one).alias("readiness"), one.alias("visibility"),

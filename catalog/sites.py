@@ -44,14 +44,16 @@ def d02(spark, d):
 
 
 @query("d03_path_matches", f"""WITH {ROBOTS}, paths AS (SELECT DISTINCT host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM v_pages)
-SELECT p.host, p.path, r.line_no, CASE WHEN r.value = '' THEN false WHEN r.value = '/' THEN true ELSE regexp_matches(p.path, {PATTERN}) END AS matched
-FROM paths p JOIN dir r ON r.host = p.host AND r.kind <> 'agent'""", ints="line_no")
+SELECT p.host, p.path, count(r.line_no) AS rules, coalesce(string_agg(r.line_no::VARCHAR, ',' ORDER BY r.line_no) FILTER (WHERE CASE WHEN r.value = '' THEN false WHEN r.value = '/' THEN true ELSE regexp_matches(p.path, {PATTERN}) END), '') AS matched
+FROM paths p JOIN dir r ON r.host = p.host AND r.kind <> 'agent' GROUP BY p.host, p.path""", ints="rules")
 def d03(spark, d):
-    rules = R.parse_robots(sites(spark, d)).where("kind <> 'agent'")
+    # the few rules of a host travel as one array, so paths are not multiplied by them
+    rules = R.parse_robots(sites(spark, d)).where("kind <> 'agent'").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("rules"))
     path = F.regexp_extract("url", "^https?://[^/?#]*([^?#]*)", 1)
     paths = view(spark, d, "v_pages").select("host", path.alias("path")).distinct()
     return paths.join(rules, "host").select(
-        "host", "path", "line_no", R.path_matches(F.col("value"), F.col("path")).alias("matched"))
+        "host", "path", F.size("rules").alias("rules"), F.array_join(F.transform(F.filter(
+            "rules", lambda r: R.path_matches(r["value"], F.col("path"))), lambda r: r["line_no"].cast("string")), ",").alias("matched"))
 
 
 @query("d04_is_allowed", f"""WITH {ROBOTS}, {BOTS}, {GROUPS}, targets AS (SELECT DISTINCT host, regexp_extract(url || '/', '^https?://[^/?#]*([^?#]*)', 1) AS path FROM v_pages),

@@ -90,7 +90,7 @@ def b06(spark, d):
 
 
 @query("b07_classify_role", r"""
-WITH q AS (SELECT doc_id, trim(substr(text, 1, 200)) AS base, doc_id % 6 AS k FROM documents),
+WITH q AS (SELECT doc_id, trim(text) AS base, doc_id % 6 AS k FROM documents),
 s AS (SELECT doc_id, k, CASE k WHEN 0 THEN 'We avoid this: ' || base WHEN 1 THEN 'Rather than Acme, ' || base
    WHEN 2 THEN 'An excellent choice. ' || base WHEN 3 THEN 'Unlike ' || repeat('z', 60) || ' Acme ' || base
    WHEN 4 THEN '' ELSE base END AS t FROM q),
@@ -101,7 +101,7 @@ SELECT doc_id, CASE WHEN f = '' THEN 'referenced'
   WHEN regexp_matches(f, 'best|top pick|top choice|i recommend|we recommend|recommended|i would recommend|go with|ideal|excellent choice|strongest|winner|my pick|the standout|first choice|well suited|great choice|good choice|worth choosing|i would choose|preferred') THEN 'recommended'
   WHEN doc_id % 2 = 0 THEN 'listed' ELSE 'referenced' END AS role FROM n""")
 def b07(spark, d):
-    k, base = F.col("doc_id") % 6, F.trim(F.substring("text", 1, 200))
+    k, base = F.col("doc_id") % 6, F.trim("text")
     t = (F.when(k == 0, F.concat(F.lit("We avoid this: "), base)).when(k == 1, F.concat(F.lit("Rather than Acme, "), base))
          .when(k == 2, F.concat(F.lit("An excellent choice. "), base))
          .when(k == 3, F.concat(F.lit("Unlike " + "z" * 60 + " Acme "), base)).when(k == 4, "").otherwise(base))

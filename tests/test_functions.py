@@ -1,5 +1,9 @@
 """Literal rows for the text, URL, HTML and JSON-LD functions."""
 
+import random
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +12,7 @@ from answerscope.functions import html as H
 from answerscope.functions import jsonld as J
 from answerscope.functions import text as T
 from answerscope.functions import urls as U
+from answerscope.operators.readiness import EMAIL, count_figures
 
 L = F.lit
 
@@ -134,3 +139,63 @@ def test_slug_hash_grade(one):
     assert one(C.slug(L("My Shop.example/"))) == "my-shop-example"
     assert one(C.hash_id(L("x"), 8)) == "2d711642"
     assert [one(C.grade_for(L(v).cast("double"))) for v in (0.85, 0.7, 0.55, 0.4, 0.1, None)] == ["A", "B", "C", "D", "F", "N/A"]
+
+
+def quickly(spark, value, column, seconds=4.0):
+    """The column over one long text, which must not take time that grows faster than it."""
+    df = spark.createDataFrame([(value,)], "html string")
+    df = df.select(column.alias("x"))
+    df.collect()
+    start = time.perf_counter()
+    got = df.collect()[0]["x"]
+    assert time.perf_counter() - start < seconds
+    return got
+
+
+@pytest.mark.parametrize("text,n", [
+    ("1,234", 1), ("1,234,abc", 1), ("1,2,3", 0), ("1,23,456 x 7,890", 2), ("1,1,1,234,5,6", 1), ("12345,12,345", 1), ("1234,567,890", 1), ("1,,234", 0), ("1,234y", 0), ("1,234x", 1), ("1,234,567x", 2),
+    ("a1,23,456", 1), ("1.5,2,300", 1), ("$1,1,1,234", 1), ("5% 3.5% 10x $2 million 1,000", 5), ("1,23%", 1), ("1,2345,678", 0), ("1,234567,890", 0), ("1,22,333,4,555,66", 1), ("111,222", 1)])
+def test_figures(spark, text, n):
+    """Counts of the pattern with a repeated group of any width, worked out by hand."""
+    plain = re.compile(r"(?i)(?<![A-Za-z0-9_])\d{1,3}(?:\.\d+)?%|(?<![A-Za-z0-9_])(?:\d{1,3},)+\d{3}(?![A-Za-z0-9_])|\$\s?\d[\d,.]*(?:\s?(?:k|m|bn|billion|million))?\b|(?<![A-Za-z0-9_])\d+x(?![A-Za-z0-9_])")
+    assert len(plain.findall(text)) == n
+    assert spark.createDataFrame([(text,)], "t string").select(count_figures("t").alias("n")).first()["n"] == n
+
+
+def test_figures_of_random_numbers(spark):
+    plain, rng = re.compile(r"(?<![A-Za-z0-9_])(?:\d{1,3},)+\d{3}(?![A-Za-z0-9_])"), random.Random(6)
+    texts = ["".join(rng.choice(["1", "22", "333", "4444", ",", ",", ",", " ", "a"]) for _ in range(14)) for _ in range(3000)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", count_figures("t").alias("n")).collect()
+    assert {r["t"]: r["n"] for r in got} == {t: len(plain.findall(t)) for t in texts}
+
+
+def test_long_pages_take_time_in_proportion(spark):
+    assert quickly(spark, "1," * 200_000, count_figures("html")) == 0
+    assert quickly(spark, "1," * 200_000 + "234", count_figures("html")) == 1
+    assert quickly(spark, "x" * 1_000_000, F.col("html").rlike(EMAIL)) is False
+    for tag in ("svg", "script"):
+        assert quickly(spark, f"a <{tag} " * 20_000, F.length(H.to_text("html"))) > 0
+        assert quickly(spark, f"a <{tag}>b" * 20_000, H.to_text("html")).split() == ["a", "ba"] + ["ba"] * 19_998 + ["b"]
+    assert quickly(spark, "a < " * 20_000, F.length(H.to_text("html"))) > 0
+    assert quickly(spark, "<h2>a" * 20_000, F.size(H.headings("html"))) == 0
+    assert quickly(spark, "<h2>a" * 20_000 + "</h2>", F.size(H.headings("html"))) == 1
+    assert quickly(spark, "<p>a" * 20_000, F.length(H.lead_copy("html"))) > 0
+
+
+@pytest.mark.parametrize("page", [
+    "<svg>a</svg>b<svg>c", "<svg <svg>a</svg>b", "<script>x</style>y</script>z<style>", "a<!-- b --> c <!-- d", "<svg></script><script></svg>t</script>u",
+    "<SVG a=1>x</svg>y</SVG><svg>", "x</svg><svg>a", "<script </script>a</script>b", "1 < 2 <b>c</b> 3 <", "<template><svg></template>a</svg>b"])
+def test_marked_start_tags_change_nothing(one, page):
+    """Against the plain patterns."""
+    s = re.sub(r"(?s)<!--.*?-->", " ", page)
+    s = re.sub(r"(?is)<(script|style|noscript|svg|template)(?![A-Za-z0-9_])[^>]*>.*?</\1>", " ", s)
+    s = re.sub("<[^>]+>", " ", s)
+    assert one(H.to_text(F.lit(page))).split() == s.split()
+
+
+@pytest.mark.parametrize("depth", range(1, 9))
+def test_nested_json_ld(spark, depth):
+    body = "[" * depth + '{"@type":"A"},{"@graph":[[{"@type":"B"}],{"@graph":[{"@type":"C"}]}]}' + "]" * depth
+    page = f'<script type="application/ld+json">{body}</script><script type="application/ld+json">[]</script>'
+    got = spark.createDataFrame([(page,)], "h string").select(F.transform(J.nodes("h"), lambda n: F.to_json(n)).alias("x")).first()["x"]
+    assert got == ['{"@type":"A"}', '{"@type":"B"}', '{"@type":"C"}']

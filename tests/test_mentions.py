@@ -1,6 +1,7 @@
 """Mentions, ranks, outcomes and the metrics on hand-made answers."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,12 +155,25 @@ def test_salted_join_equals_broadcast(spark, monkeypatch):
     a, e = answers(spark, TEXTS * 20), entities(spark)
     keys = ["ord", "entity_ord", "count", "rank", "role"]
     small = M.explode_mentions(M.find_mentions(a, e), ["ord"]).select(keys).collect()
-    monkeypatch.setattr(M, "join_dimension", lambda w, d, on, spread: joins.join_dimension(w, d, on, spread, limit=0))
+    assert joins.is_small(e) and not joins.is_small(e, rows=1) and not joins.is_small(e, size=10)
+    monkeypatch.setattr(joins, "is_small", lambda dim: False)
     salted = M.explode_mentions(M.find_mentions(a, e), ["ord"]).select(keys)
-    assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, salted.collect())) == sorted(map(str, small))
 
 
+def test_many_hits_in_one_answer_take_time_in_proportion(spark):
+    took = []
+    for n in (500, 4000):
+        text = "Acme rocks, they say. " * n
+        df = M.explode_mentions(M.find_mentions(answers(spark, [text]), entities(spark)), ["ord"]).select("entity_ord", "count")
+        df.collect()
+        start = time.perf_counter()
+        got = {r["entity_ord"]: r["count"] for r in df.collect()}
+        took.append(time.perf_counter() - start)
+        assert got[0] == n
+    assert took[1] < 8 * took[0] + 2
+
+
 def test_brands_in_one_job_equal_brands_alone(spark):
     rows = ENTITIES + [("c", 0, "Beta", "beta.example", [], True), ("c", 1, "Acme", "acme.example", [], False)]
     a = answers(spark, TEXTS)
