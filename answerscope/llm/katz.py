@@ -156,8 +156,8 @@ def send(blocks: DataFrame, buckets: int, bits: int) -> DataFrame:
     return blocks.mapInArrow(work, SENT)
 
 
-def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every entry its key's total and whether it is the first that has some; the totals of distinct keys."""
+def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every entry its key's total and whether it is the first that has some; the distinct keys and their totals."""
     key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
     order = np.argsort(key, kind="stable")
     first = np.diff(key[order], prepend=key[order[:1]] ^ np.uint64(1)) != 0 if len(key) else np.empty(0, bool)
@@ -168,29 +168,34 @@ def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     total, owner = np.empty(len(key), np.int64), np.zeros(len(key), bool)
     total[order] = sums[group]
     owner[order[some[owners]]] = True
-    return total, owner, sums
+    return total, owner, key[order][starts], sums
 
 
-ANSWERED = "bucket int, block long, word_totals binary, pair_totals binary, stats array<long>"
+ANSWERED = "bucket int, block long, word_totals binary, pair_totals binary, words binary, pairs binary, stats array<long>"
 
 
 def answer(sent: DataFrame) -> DataFrame:
-    """Totals for every block in its own order, the lowest bit of a pair's marking its owner; per bucket one row of statistics."""
+    """Totals for every block in its own order, the lowest bit of a pair's marking its owner.
+
+    One row per bucket (block null) is its part of the model: the n-grams, their counts and the
+    counts of counts.  These rows are the partitioned tables of the model.
+    """
     def work(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-        out, stats, answers = [], [], []
+        out, stats, answers, model = [], [], [], []
         for name in ("word", "pair"):
             keys = [expand_sorted(r[f"{name}s"]) for r in rows]
-            total, owner, sums = totals(keys, [expand(r[f"{name}_counts"], np.uint32) for r in rows])
-            sums = sums[sums > 0]
+            total, owner, distinct, sums = totals(keys, [expand(r[f"{name}_counts"], np.uint32) for r in rows])
+            distinct, sums = distinct[sums > 0], sums[sums > 0]
+            model += [squeeze(sums.astype(np.uint64)), squeeze_sorted(distinct)]
             stats += [len(sums), int(sums.sum()), *np.bincount(sums[sums <= LARGEST + 1], minlength=LARGEST + 2)[1:].tolist()]
             value = total if name == "word" else total << 1 | owner
             answers.append(np.split(value.astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1]))
         for r, w, p in zip(rows, *answers):
-            out.append((r["bucket"], r["block"], squeeze(w), squeeze(p), None))
-        out.append((rows[0]["bucket"], None, None, None, stats))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "block", "word_totals", "pair_totals", "stats"])
+            out.append((r["bucket"], r["block"], squeeze(w), squeeze(p), None, None, None))
+        out.append((rows[0]["bucket"], None, model[0], model[2], model[1], model[3], stats))
+        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.list_(pa.int64()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "block", "word_totals", "pair_totals", "words", "pairs", "stats"])
 
     return sent.groupBy("bucket").applyInArrow(work, ANSWERED)
 
@@ -246,12 +251,12 @@ class Model:
 
 
 SCORED = ("kind string, block long, bucket int, doc_ids array<long>, held array<boolean>, sizes array<int>, known array<long>, base array<double>, score array<double>, "
-          "keys binary, masses binary, asked binary, events binary")
+          "keys binary, masses binary, numbers binary, asked binary, events binary")
 
 
 def _scored(kind, block, bucket=None, **more):
     kinds = {"kind": pa.string(), "block": pa.int64(), "bucket": pa.int32(), "doc_ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int32()), "known": pa.list_(pa.int64()),
-             "base": pa.list_(pa.float64()), "score": pa.list_(pa.float64()), "keys": pa.binary(), "masses": pa.binary(), "asked": pa.binary(), "events": pa.binary()}
+             "base": pa.list_(pa.float64()), "score": pa.list_(pa.float64()), "keys": pa.binary(), "masses": pa.binary(), "numbers": pa.binary(), "asked": pa.binary(), "events": pa.binary()}
     row = {"kind": kind, "block": block, "bucket": bucket} | more
     return pa.RecordBatch.from_arrays([pa.array([row.get(k)], t) for k, t in kinds.items()], names=list(kinds))
 
@@ -279,8 +284,6 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, model: Model, buckets: i
         doc_of = np.repeat(np.arange(len(b.sizes)), b.sizes)[waiting]
         ahead = b.before[at[waiting]]
         asked, place = np.unique(b.words[ahead], return_inverse=True)
-        number = np.empty(len(asked), np.int64)
-        number[place] = counts[ahead]
         out.append(_scored("docs", row["block"], doc_ids=row["doc_ids"], held=row["held"], sizes=row["sizes"], known=add((counts[b.tokens] > 0).astype(np.int64)).tolist(),
                            base=add(base[b.tokens]).tolist(), score=add(gain[at]).tolist(), events=squeeze(doc_of.astype(np.uint32)), asked=squeeze(place.astype(np.uint32))))
         # masses of owned pairs, by the word before
@@ -291,39 +294,39 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, model: Model, buckets: i
         for k in range(buckets):
             own = order[to[k]:to[k + 1]]
             if len(own) or ask[k] < ask[k + 1]:
-                out.append(_scored("masses", row["block"], k, keys=squeeze_sorted(b.words[own]), masses=squeeze(np.concatenate([p_sum[own], d_sum[own]])),
-                                   asked=squeeze_sorted(asked[ask[k]:ask[k + 1]]), events=squeeze(number[ask[k]:ask[k + 1]].astype(np.uint64))))
+                out.append(_scored("masses", row["block"], k, keys=squeeze_sorted(b.words[own]), masses=squeeze(np.concatenate([p_sum[own], d_sum[own]])), numbers=squeeze(counts[own].astype(np.uint64)),
+                                   asked=squeeze_sorted(asked[ask[k]:ask[k + 1]])))
         return pa.Table.from_batches(out)
 
-    return blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").groupBy("block")).applyInArrow(work, SCORED)
+    return blocks.groupBy("block").cogroup(answers.where("block IS NOT NULL").select("bucket", "block", "word_totals", "pair_totals").groupBy("block")).applyInArrow(work, SCORED)
 
 
-ALPHAS = "bucket int, block long, alphas binary, words binary, followers binary"
+ALPHAS = "bucket int, block long, alphas binary, words binary"
 
 
 def alphas(scored: DataFrame) -> DataFrame:
-    """log10 alpha of the words each block asked for, in its order; per bucket (block null) the backoff table of those words."""
+    """log10 alpha of the words each block asked for, in its order.
+
+    One row per bucket (block null) is its part of the backoff table: all words and their alphas.
+    """
     def work(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["block"])
-        keys = [expand_sorted(r["keys"]) for r in rows]
+        keys = np.concatenate([expand_sorted(r["keys"]) for r in rows])
         halves = [expand(r["masses"], np.float64).reshape(2, -1) for r in rows]
-        word, place = np.unique(np.concatenate(keys), return_inverse=True)
+        word, first, place = np.unique(keys, return_index=True, return_inverse=True)
         p_sum, d_sum = (np.bincount(place, np.concatenate([h[k] for h in halves]), len(word)) for k in range(2))
+        number = np.concatenate([expand(r["numbers"], np.uint64) for r in rows])[first].astype(np.float64)
+        value = np.log10((1 - d_sum / number) / (1 - p_sum))
         out = []
-        asked = [expand_sorted(r["asked"]) for r in rows]
-        number = [expand(r["events"], np.uint64).astype(np.float64) for r in rows]
-        for r, a, c in zip(rows, asked, number):
-            if len(a):
-                k = np.searchsorted(word, a)
-                out.append((r["bucket"], r["block"], squeeze(np.log10((1 - d_sum[k] / c) / (1 - p_sum[k]))), None, None))
-        known, first = np.unique(np.concatenate(asked), return_index=True)
-        k = np.searchsorted(word, known)
-        table = np.log10((1 - d_sum[k] / np.concatenate(number)[first]) / (1 - p_sum[k]))
-        out.append((rows[0]["bucket"], None, squeeze(table), squeeze_sorted(known), squeeze(p_sum[k])))
-        kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 3)
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "block", "alphas", "words", "followers"])
-
-    return scored.where("kind = 'masses'").select("bucket", "block", "keys", "masses", "asked", "events").groupBy("bucket").applyInArrow(work, ALPHAS)
+        for r in rows:
+            asked = expand_sorted(r["asked"])
+            if len(asked):
+                out.append((r["bucket"], r["block"], squeeze(value[np.searchsorted(word, asked)]), None))
+        out.append((rows[0]["bucket"], None, squeeze(value), squeeze_sorted(word)))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["bucket", "block", "alphas", "words"])
+
+    return scored.where("kind = 'masses'").select("bucket", "block", "keys", "masses", "numbers", "asked").groupBy("bucket").applyInArrow(work, ALPHAS)
 
 
 FINAL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

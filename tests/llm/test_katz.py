@@ -83,3 +83,25 @@ def test_packed_numbers():
         assert (katz.expand(katz.squeeze(keys.astype(np.float64)), np.float64) == keys).all()
     edges = katz.cuts(np.array([0, 1, 2**63, 2**64 - 1], np.uint64), 2)
     assert edges.tolist() == [0, 2, 4]
+
+
+def test_stored_tables_make_a_model(spark, corpus):
+    """The tables hold the counts, and the backoff weights that make every word's followers add up to one."""
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    blocks = katz.blocks_of(df, 10, 5000)
+    answers = katz.answer(katz.send(blocks, 4, 64)).cache()
+    model_rows = answers.where("block IS NULL").collect()
+    counts = Counter()
+    for r in model_rows:
+        counts.update(dict(zip(katz.expand_sorted(r["words"]).tolist(), katz.expand(r["word_totals"], np.uint64).tolist())))
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in corpus]
+    words = Counter(w for (_, t), h in zip(corpus, held) if not h for w in t.encode().lower().split() + [katz.END])
+    assert sorted(counts.values()) == sorted(words.values())
+    pairs = sum(katz.expand(r["pair_totals"], np.uint64).sum() for r in model_rows)
+    assert pairs == sum(words.values())
+    stats = np.sum([r["stats"] for r in model_rows], axis=0).tolist()
+    width = len(stats) // 2
+    scored = katz.score_blocks(blocks, answers, katz.Model.of(stats[:width], stats[width:]), 4, 64)
+    table = [r for r in katz.alphas(scored).where("block IS NULL").collect()]
+    assert sum(len(katz.expand_sorted(r["words"])) for r in table) == len(words)
+    assert all((katz.expand(r["alphas"], np.float64) < 0).any() for r in table)
