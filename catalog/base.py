@@ -74,6 +74,10 @@ VIEWS: dict[str, str] = {
         (length(host) * 7) % 20 AS n_sitemap,
         length(host) % 11 <> 3 AS reachable, length(host) % 13 = 4 AS robots_blocked
         FROM v_hosts""",
+    # every host audited by a run of its own: outcomes are dealt over the pages' hosts
+    "v_host_runs": """SELECT o.ord, p.host AS run_id, 'b' || CAST(s.first_id % 3 AS STRING) AS brand_key
+        FROM (SELECT ord, ord % (SELECT count(*) FROM pages) AS page_id FROM v_outcomes) o
+        JOIN v_pages p ON p.page_id = o.page_id JOIN v_sites s ON s.host = p.host""",
     # documents as captured answers, one brand per source
     "v_docs": """SELECT 'run-' || lang AS run_id, source AS brand_key, 'e' || CAST(doc_id % 4 AS STRING) AS engine,
         CAST(doc_id % 4 AS INT) AS engine_ord, CAST(doc_id % 40 AS STRING) AS prompt_id,
@@ -149,7 +153,7 @@ VIEWS |= {
         first_id % 8 AS total_citations, CAST(first_id % 10 AS DOUBLE) / 10 AS off_site_share, CASE WHEN first_id % 4 = 0 THEN NULL ELSE CAST(first_id % 6 AS DOUBLE) / 5 END AS branded_rate,
         CAST(first_id % 13 AS DOUBLE) / 13 AS brand_share, first_id % 2 = 0 AS leader_is_brand, first_id % 12 <> 0 AS visibility_run FROM v_hosts""",
 }
-NEEDS = {"v_vis": ["v_hosts"], "v_rich": ["v_pages", "v_hosts"], "v_sites": ["v_hosts"], "v_entities": ["v_brand_keys"],
+NEEDS = {"v_host_runs": ["v_outcomes", "v_pages", "v_sites"], "v_vis": ["v_hosts"], "v_rich": ["v_pages", "v_hosts"], "v_sites": ["v_hosts"], "v_entities": ["v_brand_keys"],
          "v_mentions": ["v_outcomes"]}
 
 

@@ -98,16 +98,37 @@ def vis(spark, d):
         "run_id", "brand_key", "prompts_run", "prompts_answered", "mentions", "score", "dismissed_count")
 
 
-def _audit_sql() -> str:
-    from catalog.metrics import BRANDED, R3
+def _audit_sql(body: str) -> str:
+    """The whole audit: outcomes of every host's run, checks of every host, and ``body`` over both."""
+    from catalog.metrics import CREDITS, GAPS_SQL, R3, SURF
+    from catalog.runs import BUCKET, MEASURED, PRIO, RULES, SEV
     from catalog.sites import ASSESS
 
-    return f"""WITH {BRANDED}, {ASSESS},
- rs AS (SELECT 'r' || CAST(first_id % 3 AS VARCHAR) AS run_id, min(host) AS host FROM v_sites GROUP BY ALL),
- vs AS (SELECT run_id, brand_key, {R3.format("sum(score * weight) / sum(weight)")} AS visibility, {R3.format("avg(mentioned::INT)")} AS mention_rate, {R3.format("avg(own_cited::INT)")} AS citation_rate FROM a GROUP BY ALL),
- hv AS (SELECT vs.*, asmt.overall AS readiness, asmt.blocked FROM rs JOIN vs USING (run_id) JOIN asmt ON asmt.host = rs.host),
+    def of_hosts(sql: str) -> str:
+        return sql.replace("FROM v_outcomes", "FROM ho")
+
+    n = "count(*) FILTER (WHERE {})"
+    answered = n.format("status = 'answered'")
+    return f"""WITH {ASSESS},
+ ho AS (SELECT v.* REPLACE (h.run_id AS run_id, h.brand_key AS brand_key) FROM v_outcomes v JOIN v_host_runs h ON h.ord = v.ord),
+ {of_hosts(GAPS_SQL)}, {of_hosts(SURF)},
+ sm AS (SELECT run_id, brand_key, {answered} AS prompts_answered, {R3.format("sum(score * weight) FILTER (WHERE status = 'answered') / sum(weight) FILTER (WHERE status = 'answered')")} AS visibility,
+  {R3.format(n.format("mentioned") + " / " + answered)} AS mention_rate, {R3.format(n.format("own_cited AND status = 'answered'") + " / " + answered)} AS citation_rate,
+  {n.format("role = 'dismissed'")} AS dismissed_count, {R3.format(n.format("role = 'recommended'") + " / " + n.format("mentioned"))} AS influence_ratio FROM o GROUP BY ALL),
+ br_ AS (SELECT run_id, {R3.format("avg(mentioned::INT)")} AS branded_rate FROM a WHERE intent = 'branded' GROUP BY run_id),
+ gc AS (SELECT run_id, count(*) AS gap_count FROM gaps GROUP BY run_id),
+ ct AS (SELECT run_id, sum(count) AS total_citations, {R3.format("sum(count) FILTER (WHERE surface <> 'owned') / sum(count)")} AS off_site_share FROM s GROUP BY run_id),
+ vf AS (SELECT sm.*, coalesce(gap_count, 0) AS gap_count, branded_rate, total_citations, coalesce(off_site_share, 0) AS off_site_share
+  FROM sm LEFT JOIN br_ USING (run_id) LEFT JOIN gc USING (run_id) LEFT JOIN ct USING (run_id)),
+ tr AS (SELECT host AS run_id, fix_id, min(score) AS score, arg_min(check_id, score * 1000000 + check_ord) AS check_id, min(check_ord) AS first_ord
+  FROM chk JOIN bl USING (host) WHERE fix_id IS NOT NULL AND NOT blocked GROUP BY host, fix_id),
+ {RULES}, {MEASURED.replace("v_vis", "vf")},
+ br AS (SELECT run_id, fix_id AS rec_id, {SEV} AS severity, impact, effort, pillar, score AS evidence, first_ord AS ord
+  FROM (SELECT run_id, fix_id, score, first_ord FROM tr UNION ALL SELECT * FROM mt) t JOIN rl ON rule_id = fix_id),
+ rec AS (SELECT *, {PRIO} AS priority, {BUCKET} AS bucket FROM (SELECT * FROM br UNION ALL SELECT * FROM mm) z),
+ hv AS (SELECT sm.run_id, sm.brand_key, visibility, mention_rate, citation_rate, asmt.overall AS readiness, asmt.blocked FROM sm JOIN asmt ON asmt.host = sm.run_id),
  cp AS (SELECT *, CASE WHEN readiness IS NULL THEN visibility ELSE {R3.format("readiness * 0.55::DOUBLE + visibility * 0.45::DOUBLE")} END AS composite FROM hv)
-SELECT *, CASE WHEN composite >= .85 THEN 'A' WHEN composite >= .7 THEN 'B' WHEN composite >= .55 THEN 'C' WHEN composite >= .4 THEN 'D' ELSE 'F' END AS grade, readiness IS NULL AS partial FROM cp"""
+{body}"""
 
 
 def _audit(spark, d):
@@ -115,22 +136,22 @@ def _audit(spark, d):
     from catalog.base import as_of, brands, outcome_entities, pages, sites
 
     s = sites(spark, d)
-    # each outcome run audits one host
-    run_sites = s.groupBy(
-        F.concat(F.lit("r"), (F.col("first_id") % 3).cast("string")).alias("run_id"),
-        F.concat(F.lit("b"), (F.col("first_id") % 3).cast("string")).alias("brand_key")).agg(
-        F.min("host").alias("host")).withColumn("created_at", F.lit("2024-01-31 00:00:00").cast("timestamp"))
-    return audit(outcomes(spark, d), outcome_entities(spark, d), s, pages(spark, d), brands(spark, d), run_sites, as_of())
+    run_sites = s.select(
+        F.col("host").alias("run_id"), F.concat(F.lit("b"), (F.col("first_id") % 3).cast("string")).alias("brand_key"), "host",
+        F.lit("2024-01-31 00:00:00").cast("timestamp").alias("created_at"))
+    of_hosts = outcomes(spark, d).drop("run_id", "brand_key").join(view(spark, d, "v_host_runs"), "ord")
+    return audit(of_hosts, outcome_entities(spark, d), s, pages(spark, d), brands(spark, d), run_sites, as_of())
 
 
-@query("audit_runs", _audit_sql())
+@query("audit_runs", _audit_sql("SELECT *, CASE WHEN composite >= .85 THEN 'A' WHEN composite >= .7 THEN 'B' WHEN composite >= .55 THEN 'C' WHEN composite >= .4 THEN 'D' ELSE 'F' END AS grade, readiness IS NULL AS partial FROM cp"))
 def audit_runs(spark, d):
-    """Whole audit: one row per run with both halves, composite and grade."""
+    """Whole audit of every host: one row per run with both halves, composite and grade."""
     return _audit(spark, d).runs.select(
         "run_id", "brand_key", "visibility", "mention_rate", "citation_rate", "readiness", "blocked", "composite", "grade", "partial")
 
 
-@query("audit_recommendations")
+@query("audit_recommendations", _audit_sql("SELECT run_id, rec_id, severity, impact, effort, pillar, round(evidence, 6) AS evidence, priority, bucket FROM rec"))
 def audit_recommendations(spark, d):
     """Action plan of every run of the whole audit."""
-    return _audit(spark, d).recommendations
+    return _audit(spark, d).recommendations.select(
+        "run_id", "rec_id", "severity", "impact", "effort", "pillar", F.round("evidence", 6).alias("evidence"), "priority", "bucket")
