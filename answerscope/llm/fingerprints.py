@@ -126,12 +126,11 @@ def edits(docs: DataFrame) -> DataFrame:
     heads = sorted(((r["part"], r["doc_id"]) for r in ids.collect()))
     if not heads:
         return spark.createDataFrame([], EDITS)
-    before = {heads[k][0]: heads[k - 1][0] for k in range(len(heads))}  # the range that is handed the head of this one
+    # which range is handed the head of which: one small row a range
+    handed = spark.createDataFrame([(part, doc_id, heads[k - 1][0]) for k, (part, doc_id) in enumerate(heads)], "of int, head long, to int")
     dealt = texts.mapInArrow(deal, "part int, doc_id long, text string")
-    named = [h for _, h in heads if h is not None]
-    guests = dealt.where(F.col("doc_id").isin(named) | F.col("doc_id").isNull()).groupBy("part", "doc_id").agg(F.min("text").alias("text"))
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    guests = guests.select(F.element_at(to, F.col("part")).alias("part"), F.lit(1).alias("guest"), "doc_id", "text")
+    guests = dealt.join(F.broadcast(handed), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("head")))
+    guests = guests.groupBy("to", "doc_id").agg(F.min("text").alias("text")).select(F.col("to").alias("part"), F.lit(1).alias("guest"), "doc_id", "text")
     rows = dealt.select("part", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
     rows = rows.repartition(F.col("part")).sortWithinPartitions("part", "guest", F.col("doc_id").desc_nulls_last(), "text")
 

@@ -373,3 +373,28 @@ def scores(docs: DataFrame, folds: int = 10, block_bytes: int = BLOCK_BYTES, buc
     scored = common.written(score_blocks(blocks, answers, model, buckets, bits), "lm-scored")
     found = common.written(alphas(scored), "lm-alphas")
     return finish(scored, found, model)
+
+
+#: the same model and scores over ``documents`` in DuckDB, with words instead of hashes; crc32 is spelled out bit by bit
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295) % 10 = 0 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w FROM documents),
+t AS (SELECT doc_id, held_out, w[i] AS w, CASE WHEN i = 1 THEN chr(10) ELSE w[i - 1] END AS v FROM (SELECT doc_id, held_out, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT w, count(*) AS n FROM t WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS n FROM t WHERE NOT held_out GROUP BY v, w),
+few AS (SELECT 'w' AS k, [(count(*) FILTER (WHERE n = 1))::DOUBLE, (count(*) FILTER (WHERE n = 2))::DOUBLE, (count(*) FILTER (WHERE n = 3))::DOUBLE, (count(*) FILTER (WHERE n = 4))::DOUBLE, (count(*) FILTER (WHERE n = 5))::DOUBLE, (count(*) FILTER (WHERE n = 6))::DOUBLE] AS n FROM c1 UNION ALL SELECT 'p', [(count(*) FILTER (WHERE n = 1))::DOUBLE, (count(*) FILTER (WHERE n = 2))::DOUBLE, (count(*) FILTER (WHERE n = 3))::DOUBLE, (count(*) FILTER (WHERE n = 4))::DOUBLE, (count(*) FILTER (WHERE n = 5))::DOUBLE, (count(*) FILTER (WHERE n = 6))::DOUBLE] FROM c2),
+gt AS (SELECT k, n, 6 * n[6] / n[1] AS tail FROM few),
+dk AS (SELECT k, n, list_transform([1, 2, 3, 4, 5], lambda r: ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail)) AS d,
+  list_transform([1, 2, 3, 4, 5], lambda r: (r - least(greatest(n[1] / (n[1] + 2 * n[2]), 0.1), 0.9)) / r) AS other FROM gt),
+ds AS (SELECT k, CASE WHEN len(list_filter(d, lambda x: x > 0 AND x < 1)) = 5 THEN d ELSE other END AS d FROM dk),
+m1 AS (SELECT w, n, CASE WHEN n > 5 THEN n - 0.01 ELSE n * ds.d[n] END AS mass FROM c1, ds WHERE k = 'w'),
+tot AS (SELECT sum(n)::BIGINT AS tokens, count(*) AS words, sum(mass) AS mass, greatest(1 - sum(mass) / sum(n), 1 / (sum(n) + count(*) + 1)) AS unknown FROM m1),
+p AS (SELECT w, m1.n, (1 - unknown) * m1.mass / tot.mass AS p FROM m1, tot),
+m2 AS (SELECT v, c2.w, CASE WHEN c2.n > 5 THEN c2.n - 0.01 ELSE c2.n * ds.d[c2.n] END AS mass, p.p FROM c2 JOIN p ON p.w = c2.w, ds WHERE k = 'p'),
+al AS (SELECT v, log10((1 - sum(mass) / any_value(c1.n)) / (1 - sum(m2.p))) AS alpha FROM m2 JOIN c1 ON c1.w = m2.v GROUP BY v),
+e AS (SELECT t.*, p.n, CASE WHEN m2.mass IS NOT NULL THEN log10(m2.mass) - log10(cv.n) ELSE coalesce(alpha, 0) + log10(coalesce(p.p, unknown)) END AS s,
+  log10((coalesce(p.n, 0) + 0.1) / (tokens + 0.1 * (words + 1))) AS b
+  FROM t LEFT JOIN p ON p.w = t.w LEFT JOIN m2 ON m2.v = t.v AND m2.w = t.w LEFT JOIN c1 cv ON cv.w = t.v LEFT JOIN al ON al.v = t.v, tot)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(n) AS n_known, any_value(tokens) AS train_tokens, sum(b) AS base_score, sum(s) AS score FROM e, tot GROUP BY doc_id, held_out"""

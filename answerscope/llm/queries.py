@@ -67,6 +67,6 @@ def op3(spark, sf_dir):
     return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
-@query("op5_katz")
+@query("op5_katz", katz.ORACLE)
 def op5(spark, sf_dir):
     return katz.scores(common.table(spark, sf_dir, "documents"))
