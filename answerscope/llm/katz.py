@@ -35,7 +35,7 @@ from answerscope.llm import common
 LARGEST = 5
 #: what larger counts give up, so that no word is left without mass for unseen followers
 SLIGHT = 0.01
-BLOCK_BYTES, BUCKET_ENTRIES = 32_000_000, 3_000_000
+BLOCK_BYTES, BUCKET_ENTRIES = 16_000_000, 3_000_000
 END = b"\n"  # no word: words have no white space
 
 
