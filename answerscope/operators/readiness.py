@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerscope import fixed
@@ -447,6 +447,30 @@ def run_checks(
     return base.select("host", F.inline_outer(F.array(*[row(c) for c in chosen])))
 
 
+#: checks of single pages: the features they read and when a page fails
+PAGE_FAILS: dict[str, tuple[list[str], Callable[[], Column]]] = {
+    "server-rendering": (["shell", "words"], lambda: _c("shell") | (_c("words") < 120)),
+    **{c: ([f], lambda f=f: ~_c(f)) for c, f in {
+        "canonical": "canonical", "jsonld-present": "has_ld", "heading-hierarchy": "good_outline", "semantic-html": "landmark",
+        "meta-description": "described", "answer-capsule": "capsule", "quotable-stats": "quotable"}.items()},
+}
+
+
+def failing_pages(pages: DataFrame, only: list[str] | None = None, keep: int = 5) -> DataFrame:
+    """Evidence of the checks of single pages: host, check_id, URLs of the first fetched pages that fail.
+
+    One pass over the pages; the group limit keeps ``keep`` rows a host and check on the map side.
+    """
+    chosen = [c for c in PAGE_FAILS if only is None or c in only]
+    names = list(dict.fromkeys(["ok", *(f for c in chosen for f in PAGE_FAILS[c][0])]))
+    rows = page_features(pages, names).where("ok").select("host", "page_ord", "url", F.explode_outer(F.array_compact(F.array(
+        *[F.when(F.coalesce(PAGE_FAILS[c][1](), F.lit(False)), c) for c in chosen]))).alias("check_id")).where("check_id IS NOT NULL")
+    first = Window.partitionBy("host", "check_id").orderBy("page_ord", "url")
+    kept = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= keep)
+    listed = F.array_sort(F.collect_list(F.struct("place", "url")))
+    return kept.groupBy("host", "check_id").agg(F.transform(listed, lambda x: x["url"]).alias("evidence"))
+
+
 def score_readiness(checks: DataFrame) -> DataFrame:
     """Pillar and overall scores per host (I28) in a single aggregate."""
     sums = []

@@ -150,35 +150,66 @@ CHECK_SQL: dict[str, str] = {
 }
 
 
-def check_row(check: I.Check) -> str:
+# fixed values, stated apart from the library's: id, pillar, weight, fix and the score below which it is raised
+EXPECTED = [
+    ("ai-crawler-access", "technical", 10, "unblock-ai-crawlers", 1.0),
+    ("robots-txt", "technical", 3, "ship-robots-txt", 1.0),
+    ("llms-txt", "technical", 4, "publish-llms-txt", 1.0),
+    ("sitemap", "technical", 3, "ship-sitemap", 0.8),
+    ("https", "technical", 3, "enable-https", 1.0),
+    ("server-rendering", "technical", 8, "server-render-content", 0.9),
+    ("response-speed", "technical", 2, "speed-up-origin", 0.8),
+    ("canonical", "technical", 2, "add-canonical", 0.8),
+    ("jsonld-present", "structure", 7, "add-jsonld", 0.8),
+    ("entity-schema", "structure", 6, "add-entity-schema", 1.0),
+    ("faq-schema", "structure", 5, "add-faq-schema", 1.0),
+    ("offer-schema", "structure", 4, "add-offer-schema", 1.0),
+    ("heading-hierarchy", "structure", 4, "fix-headings", 0.8),
+    ("question-headings", "structure", 5, "question-headings", 0.8),
+    ("semantic-html", "structure", 2, "semantic-landmarks", 0.8),
+    ("meta-description", "structure", 2, "write-meta-descriptions", 0.8),
+    ("answer-capsule", "content", 7, "write-answer-capsules", 0.8),
+    ("comparison-content", "content", 8, "build-comparison-pages", 0.75),
+    ("faq-content", "content", 6, "add-faq-content", 0.75),
+    ("content-depth", "content", 4, "deepen-content", 0.8),
+    ("quotable-stats", "content", 5, "add-quotable-stats", 0.7),
+    ("freshness", "content", 4, "add-freshness-signals", 0.75),
+    ("third-party-signals", "authority", 6, "build-third-party-presence", 0.75),
+    ("contact-signals", "authority", 4, "publish-nap", 1.0),
+    ("authorship", "authority", 3, "add-authorship", 0.7),
+    ("entity-clarity", "content", 5, "clarify-entity", 0.8),
+]
+
+
+def check_row(check: tuple) -> str:
     """(host, check_id, score, status, fix_id) of one check from its ``sc``."""
-    raised = f"score < {check.fix_below} AND n_ok > 0"
-    if check.id == "ai-crawler-access":
+    check_id, _, _, fix, below = check
+    raised = f"score < {below} AND n_ok > 0"
+    if check_id == "ai-crawler-access":
         raised = "n_ok > 0"
-    return f"""SELECT host, '{check.id}' AS check_id, round(greatest(0, least(1, score))::DOUBLE, 9) AS score, CASE WHEN score >= 0.8 THEN 'pass' WHEN score >= 0.45 THEN 'warn' ELSE 'fail' END AS status,
- CASE WHEN {raised} THEN '{check.fix}' END AS fix_id FROM sc"""
+    return f"""SELECT host, '{check_id}' AS check_id, round(greatest(0, least(1, score))::DOUBLE, 9) AS score, CASE WHEN score >= 0.8 THEN 'pass' WHEN score >= 0.45 THEN 'warn' ELSE 'fail' END AS status,
+ CASE WHEN {raised} THEN '{fix}' END AS fix_id FROM sc"""
 
 
-def _register(n: int, check: I.Check) -> None:
-    @query(f"i{n:02d}_{check.id.replace('-', '_')}", f"WITH {CHECK_SQL[check.id]} {check_row(check)}")
-    def run(spark, d, check=check):
-        rows = I.run_checks(sites(spark, d), pages(spark, d), brands(spark, d), as_of(), only=[check.id])
+def _register(n: int, check: tuple) -> None:
+    @query(f"i{n:02d}_{check[0].replace('-', '_')}", f"WITH {CHECK_SQL[check[0]]} {check_row(check)}")
+    def run(spark, d, check_id=check[0]):
+        rows = I.run_checks(sites(spark, d), pages(spark, d), brands(spark, d), as_of(), only=[check_id])
         return rows.select("host", "check_id", F.round("score", 9).alias("score"), "status", "fix_id")
 
 
 # numbered as the inventory numbers them: clarity is 23 there, last in the suite
-_ORDER = [c.id for c in I.CHECKS[:22]] + ["entity-clarity"] + [c.id for c in I.CHECKS[22:25]]
-for _n, _id in enumerate(_ORDER, 1):
-    _register(_n, I.BY_ID[_id])
+for _n, _check in enumerate([*EXPECTED[:22], EXPECTED[25], *EXPECTED[22:25]], 1):
+    _register(_n, _check)
 
 
 def _all_checks_sql() -> str:
-    parts = [f"SELECT * FROM (WITH {CHECK_SQL[c.id]} {check_row(c)}) c{i}" for i, c in enumerate(I.CHECKS)]
+    parts = [f"SELECT * FROM (WITH {CHECK_SQL[c[0]]} {check_row(c)}) c{i}" for i, c in enumerate(EXPECTED)]
     return " UNION ALL ".join(parts)
 
 
 SPEC = "spec(check_id, check_ord, pillar, weight) AS (VALUES {})".format(", ".join(
-    f"('{c.id}', {i}, '{c.pillar}', {c.weight})" for i, c in enumerate(I.CHECKS)))
+    f"('{c[0]}', {i}, '{c[1]}', {c[2]})" for i, c in enumerate(EXPECTED)))
 ALL_CHECKS = f"allc AS ({_all_checks_sql()}), {SPEC}, chk AS (SELECT allc.*, check_ord, pillar, weight FROM allc JOIN spec USING (check_id))"
 
 
@@ -191,6 +222,19 @@ def i27(spark, d):
     return all_checks(spark, d).withColumn("score", F.round("score", 9))
 
 
+_FAILS = {
+    "canonical": """NOT contains(html, 'rel="canonical"')""", "jsonld-present": "page_id % 9 IN (4, 7, 8)",
+    "semantic-html": r"NOT regexp_matches(html, '(?i)<(main|article)\b')", "meta-description": f"length({DESCRIPTION}) < 60",
+    "quotable-stats": f"len(regexp_extract_all({TEXT}, '{FIG_RX}')) < 3"}
+
+
+@query("i27_evidence", "WITH f AS ({}), r AS (SELECT *, row_number() OVER (PARTITION BY host, check_id ORDER BY page_ord, url) AS k FROM f) SELECT host, check_id, string_agg(url, ' ' ORDER BY k) AS evidence FROM r WHERE k <= 5 GROUP BY ALL".format(
+    " UNION ALL ".join(f"SELECT host, '{c}' AS check_id, page_ord, url FROM v_rich WHERE {OKP} AND {cond}" for c, cond in _FAILS.items())))
+def i27_evidence(spark, d):
+    """Which pages fail a check of pages, the first five of each host."""
+    return I.failing_pages(pages(spark, d), list(_FAILS)).withColumn("evidence", F.array_join("evidence", " "))
+
+
 READY = f"""{ALL_CHECKS}, pil AS (SELECT host, pillar, sum(score * weight) / sum(weight) AS v FROM chk GROUP BY ALL),
  rdy AS (SELECT host, floor(sum(v * CASE pillar WHEN 'technical' THEN 0.3 WHEN 'structure' THEN 0.25 WHEN 'content' THEN 0.3 ELSE 0.15 END) * 1000 + 0.5) / 1000 AS overall,
   floor(max(v) FILTER (WHERE pillar = 'technical') * 1000 + 0.5) / 1000 AS technical, floor(max(v) FILTER (WHERE pillar = 'structure') * 1000 + 0.5) / 1000 AS structure,
