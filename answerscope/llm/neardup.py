@@ -5,8 +5,9 @@ signature and empty bins borrow from the first occupied one in a fixed random or
 own (optimal densification).  Documents with equal sets are one node.  Nodes meet in the buckets
 of banded signatures; a bucket yields star-shaped candidate edges (centre to member), which are
 verified on full sets.  Buckets that still hold more than one component get further centres:
-the best linked members first, sixteen times as many each round, until every pair in them that
-could join two components has been tested.  No bucket is capped and none is gathered in a task.
+the best linked members first (1, 8, 128, ...), until every pair in them that could join two
+components has been tested or is ruled out by shingles that no other open document has.  No
+bucket is capped and none is gathered in a task.
 """
 
 from __future__ import annotations
@@ -107,16 +108,19 @@ def linked(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFr
                           .groupBy("doc_id", F.xxhash64("shingles")).agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles"), "sets")
     tested = common.written(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
     found = common.written(fingerprints.verified(tested, sets, percent).select("a", "b").distinct(), "links")
-    members, centres, more = members.drop("centre"), 1, 8
+    members, centres, steps = members.drop("centre"), 1, iter([1, *(8 * 16**k for k in range(12))])
     while True:
+        more = next(steps)
         labels = components(found)
         placed = members.join(labels, members["doc_id"] == labels["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         # a bucket stays open while it has several components and members that have not been centres
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > max(2, centres)))
         open_, told = common.written_and_told(placed.join(mixed.select("bucket"), "bucket"), "open", n=F.count(F.lit(1)))
+        if told["n"] and more > 1:
+            open_, told = common.written_and_told(can_link(open_, sets, percent), "open", n=F.count(F.lit(1)))
         if not told["n"]:
             return labels
-        centres, more = more, 16 * more
+        centres = more
         degree = found.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
         ranked = open_.join(degree, "doc_id", "left").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.coalesce("degree", F.lit(0)).desc(), "doc_id")))
         chosen = ranked.where(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("c"), F.col("component").alias("of"))
@@ -127,6 +131,32 @@ def linked(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFr
         members, tested = open_.select("bucket", "doc_id"), tested.unionByName(pairs)
 
 
+def can_link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (bucket, doc_id, component) that may still have a link in their bucket to another component.
+
+    A link to a set of m shingles takes percent / (100 + percent) x (n + m) common ones.  Shingles
+    that no other open document has are common with none, and no partner is smaller than percent
+    of n or than the bucket's least set: documents left with too few can have no link there.
+    """
+    def work(batches):
+        for batch in batches:
+            for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), batch.column("shingles").to_pylist()):
+                own = np.frombuffer(shingles, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc_id)), pa.array(own)], names=["doc_id", "shingle"])
+
+    own = sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    single = own.mapInArrow(work, "doc_id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
+    single = single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("single"))
+    size = (F.octet_length("shingles") / 8).cast("long")
+    facts = own.select("doc_id", size.alias("n")).join(single, "doc_id", "left").groupBy("doc_id").agg(
+        F.min("n").alias("n"), F.max(F.col("n") - F.coalesce("single", F.lit(0))).alias("common"))
+    rows = members.join(facts, "doc_id")
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "bucket").where(F.col("common") * 100 * (100 + percent) >= percent * (100 * F.col("n") + F.greatest(100 * F.col("least"), percent * F.col("n"))))
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return rows.join(mixed.select("bucket"), "bucket").select("bucket", "doc_id", "component")
+
+
 def neardup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row.
 
