@@ -83,7 +83,9 @@ def rules(docs: DataFrame, row: bool = False) -> DataFrame:
         "words": F.array_remove(F.split("text", common.SPACE), ""), "n_symbols": F.regexp_count("text", F.lit(SYMBOL)).cast("long"), "separated": F.col("text").rlike(SEPARATOR),
         "lines": F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(common.WORD)).alias("words")))})
     step = step.withColumns({
-        "good": F.filter("lines", lambda x: ~line_fails(x["line"], x["words"], F.col("n_symbols") > 0, F.col("separated"))),
+        # what holds for the whole text is bound: inlined into the lambda it would be worked out for every line
+        "good": bound(F.struct((F.col("n_symbols") > 0).alias("symbols"), F.col("separated").alias("separated")), lambda f: F.filter(
+            "lines", lambda x: ~line_fails(x["line"], x["words"], f["symbols"], f["separated"]))),
         "wordy": F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["line"])})
     long = F.transform(F.filter("good", lambda x: x["words"] >= REPEAT_WORDS), lambda x: x["line"])
     repeats = bound(long, lambda x: F.size(x) > F.size(F.array_distinct(x)))
