@@ -120,7 +120,7 @@ def test_composite(one, r, v, want):
 def test_delta_null_is_zero_unless_strict(spark):
     cols = ", ".join(f"{m} double, previous_{m} double" for m in K.DELTA_METRICS)
     vals = [v for _ in K.DELTA_METRICS for v in (0.5, None)]
-    pair = spark.createDataFrame([("r", "p", *vals, ["x", "y"], ["y", "z"])], f"run_id string, previous_id string, {cols}, recs array<string>, previous_recs array<string>")
+    pair = spark.createDataFrame([("r", "p", "2024-01-01", *vals, ["x", "y"], ["y", "z"])], f"run_id string, previous_id string, previous_at string, {cols}, recs array<string>, previous_recs array<string>")
     d = K.compute_delta(pair).collect()[0]
     assert d["composite"] == 0.5 and d["resolved"] == ["z"] and d["introduced"] == ["x"]
     assert K.compute_delta(pair, strict=True).collect()[0]["composite"] is None
@@ -192,3 +192,15 @@ def test_answers_stream_equals_batch(spark, tmp_path):
     N.run_once(live.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out")))
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert len(got) > 0 and sorted(map(tuple, got)) == sorted(map(tuple, batch))
+
+
+def test_upserts_are_versions_of_the_brands_they_touch(spark, tmp_path):
+    path, keys = str(tmp_path / "store"), ["run_id", "brand_key"]
+    stored = spark.createDataFrame([("r1", "a", 1.0), ("r2", "a", 2.0), ("r1", "b", 3.0)], "run_id string, brand_key string, composite double")
+    S.upsert_runs(stored, path, keys, version=1)
+    change = spark.createDataFrame([("r2", "a", 5.0), ("r9", "a", 6.0)], stored.schema)
+    for _ in range(2):  # a write that is repeated changes nothing
+        S.upsert_runs(change, path, keys, version=2)
+        got = sorted((r["run_id"], r["brand_key"], r["composite"]) for r in S.read_runs(spark, path).collect())
+        assert got == [("r1", "a", 1.0), ("r1", "b", 3.0), ("r2", "a", 5.0), ("r9", "a", 6.0)]
+    assert {p.name for p in (tmp_path / "store" / "version=2").iterdir() if p.is_dir()} == {"brand_key=a"}
