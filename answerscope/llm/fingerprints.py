@@ -53,18 +53,55 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return common.texts_of(docs).mapInArrow(work, "doc_id long, fingerprint string")
 
 
+MARKED = "doc_id long, n_shingles long, digest string, fingerprint string"
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """Every document's set size, SHA-256 of its sorted set of shingles, and fingerprint."""
+    def work(batches):
+        hashes, (a, b) = common.WordHashes(), family()
+        for batch in common.slices(batches):
+            sets = [np.unique(common.shingles(t, hashes, WIDTH)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.sha256(s.tobytes()).hexdigest() for s in sets], pa.string()),
+                                              pa.array([fingerprint(s, a, b).astype(">u4").tobytes().hex() for s in sets], pa.string())], names=["doc_id", "n_shingles", "digest", "fingerprint"])
+
+    return common.texts_of(docs).mapInArrow(work, MARKED)
+
+
 def similar(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """Pairs (a < b) of documents whose five-word shingle sets have Jaccard similarity ``least`` or more.
+    """Pairs of documents whose five-word shingle sets have Jaccard similarity ``least`` or more.
+
+    ``a``, ``b``, ``similarity`` and the digests of the two sets, ``a_set`` and ``b_set``.  Documents
+    of equal sets are a class, named by its least id.  Different sets are paired by those ids, and
+    each such pair stands for all members of both classes; every other member has one row with its
+    class's least id (similarity 1, the same digest twice).  Sets are told apart by their digest,
+    never by their fingerprint: long texts that differ in a word mostly share all of it.
 
-    Equal fingerprints are collapsed to their least id before bands are joined; a pair stands for
-    all copies.  Texts without a word pair with nothing.
+    ``a`` < ``b``; they are equal only where an id is repeated with different texts.  Texts without
+    a word and rows without an id pair with nothing.
     """
-    marks = fingerprints(docs).where(F.col("fingerprint") != "f" * 8 * PERMUTATIONS).groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
+    percent = round(least * 100)
+    rows = common.written(marked(docs).where("n_shingles > 0 AND doc_id IS NOT NULL"), "marks")
+    classes = rows.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("doc_id", "n_shingles", "fingerprint")])
+    classes = common.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     step = 8 * ROWS
-    bands = common.written(marks.select("doc_id", F.posexplode(F.expr(f"transform(sequence(0, {PERMUTATIONS // ROWS - 1}), i -> substring(fingerprint, i * {step} + 1, {step}))")).alias("band", "value")), "bands")
-    pairs = bands.alias("x").join(bands.alias("y"), ["band", "value"]).where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    sets = shingle_sets(docs, WIDTH)
-    return verified(pairs, sets, round(least * 100))
+    bands = classes.select("node", "n_shingles", F.posexplode(F.expr(f"transform(sequence(0, {PERMUTATIONS // ROWS - 1}), i -> substring(fingerprint, i * {step} + 1, {step}))")).alias("band", "value"))
+    bands = common.written(bands, "bands")
+    # sets whose sizes alone keep them below the bound are not paired
+    near = 100 * F.least("x.n_shingles", "y.n_shingles") >= percent * F.greatest("x.n_shingles", "y.n_shingles")
+    pairs = bands.alias("x").join(bands.alias("y"), ["band", "value"]).where((F.col("x.node") < F.col("y.node")) & near)
+    pairs = common.written(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "pairs")
+    paired = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    # an id may stand for several sets: those of the classes are picked by digest
+    sets = shingle_sets(common.texts_of(docs).join(paired.select("doc_id").distinct(), "doc_id", "left_semi"), WIDTH).withColumn("digest", F.sha2("shingles", 256))
+    sets = sets.join(paired.select("digest", "node"), "digest").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    links = verified(pairs, sets.withColumnRenamed("node", "doc_id"), percent)
+    end = lambda c: classes.select(F.col("node").alias(c), F.struct("doc_id", "digest").alias(f"{c}_end"))
+    links = links.join(end("a"), "a").join(end("b"), "b").select(F.least("a_end", "b_end").alias("x"), F.greatest("a_end", "b_end").alias("y"), "similarity")
+    heads = classes.select("digest", F.col("doc_id").alias("head"))
+    copies = rows.select("doc_id", "digest").distinct().join(heads, "digest").where("doc_id > head").select(
+        F.struct(F.col("head").alias("doc_id"), "digest").alias("x"), F.struct("doc_id", "digest").alias("y"), F.lit(1.0).alias("similarity"))
+    return links.unionByName(copies).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "similarity", F.col("x.digest").alias("a_set"), F.col("y.digest").alias("b_set"))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:

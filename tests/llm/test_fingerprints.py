@@ -48,3 +48,27 @@ def test_similar_pairs(spark, corpus):
         assert abs(value - want[pair]) < 1e-9 and value >= 0.8
     strong = [p for p, v in want.items() if 0.85 <= v < 1]
     assert sum(p in got for p in strong) >= 0.95 * len(strong)
+
+
+def test_similar_keeps_long_near_copies_and_members(spark):
+    mark = lambda t: fingerprints.fingerprint(common.shingles(t, common.WordHashes(), 5), *fingerprints.family())
+    words = [f"w{k}" for k in range(2000)]
+    long = " ".join(words)
+    # a text that differs in one word and has the same 64 least values
+    near = next(t for k in range(20, 1980) for t in [" ".join([*words[:k], "other", *words[k + 1:]])] if (mark(t) == mark(long)).all())
+    small = " ".join(words[:60])
+    rows = [(1, long), (2, near), (3, long), (4, near), (5, near), (6, small), (6, long), (7, small), (7, small), (8, "alone"), (None, long), (9, None)]
+    got = fingerprints.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {t: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for t in (long, near) for w in [t.split()]}
+    value = len(sets[long] & sets[near]) / len(sets[long] | sets[near])
+    assert sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in got) == sorted(
+        [(1, 2, round(value, 9)), (1, 3, 1.0), (1, 6, 1.0), (2, 4, 1.0), (2, 5, 1.0), (6, 7, 1.0)])
+    assert all((r["a_set"] == r["b_set"]) == (r["similarity"] == 1) for r in got)
+
+
+def test_similar_of_one_id_with_two_texts(spark):
+    words = [f"w{k}" for k in range(200)]
+    one, two = " ".join(words), " ".join([*words[:199], "other"])
+    got = fingerprints.similar(spark.createDataFrame([(1, one), (1, two), (2, one), (3, two)], "doc_id long, text string")).collect()
+    assert sorted((r["a"], r["b"], r["similarity"] == 1) for r in got) == [(1, 1, False), (1, 2, True), (1, 3, True)]
+    assert len({r["a_set"] for r in got if r["similarity"] == 1}) == 2
