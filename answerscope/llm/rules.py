@@ -67,6 +67,17 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < 3, 0).when(some, covered(pairs)).otherwise(0)
 
 
+def without_repeats(lines: Column) -> Column:
+    """The lines in order, less those of ``REPEAT_WORDS`` words or more that equal an earlier one.
+
+    Sorting (long line, place) puts equal long lines side by side; shorter lines have no key and stay.
+    """
+    keyed = F.transform(lines, lambda x, i: F.struct(F.when(x["words"] >= REPEAT_WORDS, x["line"]).alias("key"), i.alias("place"), x.alias("line")))
+    firsts = lambda s: F.filter(s, lambda x, j: x["key"].isNull() | ~F.get(s, j - 1)["key"].eqNullSafe(x["key"]))
+    placed = lambda s: F.array_sort(F.transform(firsts(s), lambda x: F.struct(x["place"], x["line"])))
+    return F.transform(bound(F.array_sort(keyed), placed), lambda x: x["line"])
+
+
 def bound(value: Column, f) -> Column:
     """``f`` of a value that is computed once, whatever number of times ``f`` names it."""
     return F.transform(F.array(value), f)[0]
@@ -89,7 +100,7 @@ def rules(docs: DataFrame, row: bool = False) -> DataFrame:
         "wordy": F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["line"])})
     long = F.transform(F.filter("good", lambda x: x["words"] >= REPEAT_WORDS), lambda x: x["line"])
     repeats = bound(long, lambda x: F.size(x) > F.size(F.array_distinct(x)))
-    step = step.withColumn("clean", F.when(repeats, F.array_distinct("good")).otherwise(F.col("good")))
+    step = step.withColumn("clean", F.when(repeats, without_repeats(F.col("good"))).otherwise(F.col("good")))
     step = step.select(
         "doc_id", *kept, F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("wordy") - F.size(F.array_distinct("wordy"))).cast("long").alias("n_dup_lines"),

@@ -36,3 +36,21 @@ def test_verdicts_and_cleaned_text(spark):
     assert [k for k, r in got.items() if r["kept"]] == [1, 2, 5, 8]
     assert got[1]["cleaned"] == body and got[2]["cleaned"] == body and got[5]["cleaned"] == body and got[8]["cleaned"] == body + "\n"
     assert got[7]["base_failed"] and not got[6]["base_failed"] and got[4]["base_failed"]
+
+
+def test_repeats_are_judged_line_by_line(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("aeiou") + rng.choice("dnrst") for _ in range(3)) for _ in range(n)) + "."
+    long, seven, eight = line(12), line(7), line(8)
+    body = [line(12) for _ in range(20)]
+    cases = {
+        1: [*body, "Yes.", "", long, "Yes.", "", "Yes.", long, seven, seven, "", long, eight, "Yes.", eight],  # long lines go, short and blank ones stay
+        2: [x for _ in range(30) for x in (line(4), "Yes.", "", "No.")] + [body[0], body[0]],  # kept: 12 of 204 words go, with the short lines they would be 70
+        3: [*body, long, "", "Yes.", "Yes.", ""],
+    }
+    got = {r["doc_id"]: r for r in rules.rules(spark.createDataFrame([(k, "\n".join(v)) for k, v in cases.items()], "doc_id long, text string")).collect()}
+    for k, lines in cases.items():
+        stays = [x for i, x in enumerate(lines) if len(x.split()) < rules.REPEAT_WORDS or x not in lines[:i]]
+        assert got[k]["cleaned"] == "\n".join(stays)
+        assert got[k]["lost_words"] == sum(len(x.split()) for x in lines) - sum(len(x.split()) for x in stays)
+    assert got[1]["lost_words"] == 32 and got[2]["lost_words"] == 12 and got[2]["kept"]
