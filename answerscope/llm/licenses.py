@@ -3,7 +3,9 @@
 A template is wording with two kinds of markup: ``[[ ... ]]`` may be left out, and ``<<n>>``
 stands for at most n words of any kind.  Templates compile to token automata, which run from
 every place where their first word stands; a label is given when all mandatory wording stands
-there word by word.  Texts that lack the longest mandatory word of every phrase and template
+there word by word.  Templates of licence texts run to the end of their mandatory wording,
+conditions and disclaimer included, so a text that opens like one and goes on otherwise has no
+label; short notices and identifiers that name a licence are templates of their own.  Texts that lack the longest mandatory word of every phrase and template
 are counted but not cut into words.
 """
 
@@ -22,19 +24,49 @@ from answerscope.llm import common
 # fixed values: the base phrases and their labels
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions [[1]] the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall <<12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise "
+    "arising from out of or in connection with the software or the use or other dealings in the software")
+_ISC = (
+    "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and <<12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+    "in no event shall <<12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+    "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software")
+_APACHE = (
+    "licensed under the apache license version 2 0 [[the license]] you may not use this file except in compliance with the license you may obtain a copy of the license at <<12>> "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license")
+# the conditions of the BSD forms: source, binary, advertising, endorsement
+_SOURCE = "[[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+_BINARY = ("[[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer "
+           "in the documentation and or other materials provided with the distribution")
+_ADVERTISING = ("[[3]] [[c]] all advertising materials mentioning features or use of this software must display the following acknowledgement "
+                "this product includes software developed by <<20>>")
+_ENDORSEMENT = "neither the name of <<16>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+
+
+def _bsd(*conditions: str) -> str:
+    """A BSD licence: the grant, its conditions and the disclaimer."""
+    return " ".join([
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", *conditions,
+        "this software is provided by <<12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall <<12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services "
+        "loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage"])
+
+
 #: label -> templates (wording of public licences and of the notices that name them)
 TEMPLATES: dict[str, list[str]] = {
-    "apache-2.0": [
-        "licensed under [[the terms of]] the apache [[software]] license [[,]] version 2 0",
-        "[[you may obtain a copy of the license at <<12>>]] unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-        "spdx license identifier apache 2 0",
-    ],
-    "mit": [
-        "released under the [[terms of the]] mit license", "licensed under the mit license", "spdx license identifier mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    ],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "spdx license identifier bsd <<1>> clause"],
+    "apache-2.0": ["licensed under [[the terms of]] the apache [[software]] license [[,]] version 2 0", _APACHE, "spdx license identifier apache 2 0"],
+    "mit": ["released under the [[terms of the]] mit license", "licensed under the mit license", "spdx license identifier mit", _MIT],
+    "isc": [_ISC, "spdx license identifier isc"],
+    "bsd-2-clause": [_bsd(_SOURCE, _BINARY), "spdx license identifier bsd 2 clause"],
+    "bsd-3-clause": [_bsd(_SOURCE, _BINARY, f"[[3]] [[c]] {_ENDORSEMENT}"), "spdx license identifier bsd 3 clause"],
+    "bsd-4-clause": [_bsd(_SOURCE, _BINARY, _ADVERTISING, f"[[4]] [[d]] {_ENDORSEMENT}"), "spdx license identifier bsd 4 clause"],
     "gpl-3.0": ["licensed under the gnu general public license [[,]] version 3", "spdx license identifier gpl 3 0 [[only]] [[or later]]"],
     "gpl-notice": ["this program is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] general public license as published by the free software foundation either version <<2>> of the license or at your option any later version"],
     "cc-by-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],

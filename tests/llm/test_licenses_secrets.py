@@ -36,6 +36,43 @@ def test_license_summary(spark, docs, none):
     assert licenses.summary(none).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+ADVERTISING = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by Some Lab and its contributors.\n"
+ENDORSEMENT = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+
+
+@pytest.mark.parametrize("text,label", [
+    (MIT, "mit"), (ISC, "isc"), (GRANT + SOURCE + BINARY + DISCLAIMER, "bsd-2-clause"), (GRANT + SOURCE + BINARY + "3. " + ENDORSEMENT + DISCLAIMER, "bsd-3-clause"),
+    (GRANT + SOURCE + BINARY + ADVERTISING + "4. " + ENDORSEMENT + DISCLAIMER, "bsd-4-clause"), (GRANT.replace("1. ", "* ") + SOURCE.replace("1. ", "* ") + BINARY.replace("2. ", "* ") + DISCLAIMER, "bsd-2-clause"),
+    (APACHE, "apache-2.0")])
+def test_whole_licences(text, label):
+    n, found = licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)("Copyright 2020 A. Name\n\n" + text)
+    assert {x for x, *_ in found} == {label} and (4, n) in {(first, end) for _, first, end, _ in found}
+
+
+@pytest.mark.parametrize("text", [
+    MIT.replace("of the Software.\n\nTHE", "of the Software.\n\nThe Software shall be used for Good, not Evil.\n\nTHE"),  # the JSON licence
+    MIT.split("\n\n")[0], MIT.rsplit(",", 1)[0], MIT.replace("all copies or", "no copies or"), ISC.split("\n\n")[0], ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", ""),
+    GRANT, GRANT + SOURCE + BINARY, GRANT + SOURCE + DISCLAIMER, GRANT + SOURCE + BINARY + "3. No use in weapons.\n" + DISCLAIMER, GRANT + SOURCE + BINARY + ADVERTISING + DISCLAIMER,
+    APACHE.replace("the Apache License, Version 2.0", "the Educational Community License, Version 2.0")])
+def test_near_miss_licences(text):
+    assert licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)(text)[1] == []
+
+
 def checked(prefix, body):
     digits, n = "", zlib.crc32(body.encode())
     for _ in range(6):
