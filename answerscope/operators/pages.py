@@ -28,7 +28,8 @@ def plain_body(ok: Column, body: Column) -> Column:
 def sitemap_urls(sites: DataFrame, bodies: DataFrame) -> DataFrame:
     """URLs listed by a site's sitemaps (A8): host, url, first place found.
 
-    ``sites``: host, origin, robots_txt.  ``bodies``: host, url, body (null when not ok).
+    ``sites``: host, origin, robots_txt.  ``bodies``: host, url, body (null when not ok).  A large
+    file may come in several bodies, a row each: all are read, and places count within a body.
     """
     default = F.array(F.concat("origin", F.lit("/sitemap.xml")), F.concat("origin", F.lit("/sitemap_index.xml")))
     declared = F.regexp_extract_all(

@@ -80,11 +80,18 @@ def a07(spark, d):
     return view(spark, d, "pages").select("page_id", P.plain_body(k % 5 != 0, body).alias("body"))
 
 
+#: page ids a body of a sitemap covers at most
+BODY_IDS = 10_000
+
+
 def _sitemap_bodies(spark, d):
-    """Sitemap files of every host, built from its pages: an index with children, or URLs."""
+    """Sitemap files of every host, built from its pages: an index with children, or URLs.
+
+    A file has one body per ``BODY_IDS`` page ids, so that no row holds all URLs of a host.
+    """
     p = view(spark, d, "v_pages").select("host", "page_id", "url")
     loc = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url>"))
-    own = p.groupBy("host", (F.col("page_id") % 3).alias("part")).agg(
+    own = p.groupBy("host", (F.col("page_id") % 3).alias("part"), F.expr(f"page_id div {BODY_IDS}").alias("block")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", loc.alias("x")))), lambda s: s["x"]), "\n").alias("body"))
     s = sites(spark, d).select("host", "origin", F.length("host").alias("n"))
     kids = own.join(s, "host").select("host", F.concat("origin", F.lit("/child"), F.col("part").cast("string"), F.lit(".xml")).alias("url"), "body")

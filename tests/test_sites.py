@@ -1,5 +1,6 @@
 """robots.txt, sitemaps, page choice and readiness checks on literal sites."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from answerscope.functions.core import as_col
 from answerscope.operators import pages as P
 from answerscope.operators import readiness as I
 from answerscope.operators import robots as R
+from catalog import ORACLES, QUERIES, html_queries
 
 BOTS = ["GPTBot", "ClaudeBot"]
 
@@ -67,6 +69,19 @@ def test_sitemaps(spark):
     assert {r["url"] for r in got} == {"https://h/1", "https://h/2", "https://h/k0", "https://h/k1", "https://h/k2"}
 
 
+def test_sitemap_bodies_are_bounded(spark, tmp_path):
+    # one host with 40,000 pages: no body holds more than its share of the ids, and no URL is lost
+    rows = spark.range(40_000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://hot.example/p/"), F.col("id").cast("string")).alias("url"), F.lit("").alias("html"))
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    bodies = html_queries._sitemap_bodies(spark, str(tmp_path)).withColumn("n", F.regexp_count("body", F.lit("<url>")))
+    assert 0 < bodies.agg(F.max("n")).first()[0] <= html_queries.BODY_IDS / 2
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLES["a08_sitemap_urls"]).fetchall()
+    got = [tuple(r) for r in QUERIES["a08_sitemap_urls"](spark, str(tmp_path)).collect()]
+    assert len(want) > 13_000 and sorted(got) == sorted(want)
+
+
 def test_select_pages(spark):
     sites = spark.createDataFrame([("h.example", "https://h.example")], "host string, origin string")
     urls = ["https://h.example/blog/deep/x", "https://h.example/file.pdf", "https://other.example/", "https://www.h.example/pricing?x=1",
