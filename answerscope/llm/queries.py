@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from answerscope.llm import chat, common, fingerprints, katz, licenses, neardup, packing, pieces, quality, rules, secrets
+from answerscope.llm import chat, common, fingerprints, katz, lexical, licenses, nearest, neardup, negatives, packing, pieces, quality, rules, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -70,3 +70,20 @@ def op3(spark, sf_dir):
 @query("op5_katz", katz.ORACLE)
 def op5(spark, sf_dir):
     return katz.scores(common.table(spark, sf_dir, "documents"))
+
+
+@query("op11_nearest")
+def op11(spark, sf_dir):
+    rows = common.table(spark, sf_dir, "embeddings")
+    return nearest.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
+@query("op12_negatives", negatives.ORACLE)
+def op12(spark, sf_dir):
+    rows = common.table(spark, sf_dir, "embeddings")
+    return negatives.hard_negatives(rows, negatives.ANCHORS, negatives.noisy_label()).drop("anchor_key", "positive_key")
+
+
+@query("op13_lexical", lexical.ORACLE)
+def op13(spark, sf_dir):
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))

@@ -17,7 +17,7 @@ def plain(v):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "conversations"):
+    for t in ("documents", "labels", "conversations", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
@@ -40,6 +40,9 @@ COLUMNS = {
     "op8_licenses": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint", "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
     "op9_secrets": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
     "op10_chat": {"conv_id": "bigint"},
+    "op11_nearest": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
+    "op12_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+    "op13_lexical": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
 }
 
 
