@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from answerscope.operators.mentions import score_answers
 from answerscope.sources.answers import ANSWERS, clean_answers
+from answerscope.sources.store import CHANGES_KEPT, RunStore
 
 JOB_KEYS = ["run_id", "brand_key", "engine", "prompt_id", "sample"]
 
@@ -74,6 +75,20 @@ def read_history(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
 
 
+def upsert_store(stream: DataFrame, store: RunStore, name: str, checkpoint: str, keep: int = CHANGES_KEPT) -> DataStreamWriter:
+    """Sink for run rows (N3) into a store: each micro-batch is one published change of the stream ``name``.
+
+    A batch replayed after a failure finds itself published and changes nothing.  When more than
+    ``keep`` changes lie on the base they are folded into a new one, so a reader meets one base and
+    at most ``keep`` changes however long the stream runs; old files stay until ``store.vacuum``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if len(store.upsert(batch, name, batch_id).changes) > keep:
+            store.compact()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
 def run_once(writer: DataStreamWriter, done: Callable[[], None] | None = None) -> None:
     """Drain everything available and stop (tests, scheduled jobs)."""
     q = writer.trigger(availableNow=True).start()

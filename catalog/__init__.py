@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from catalog import answers, html_queries, metrics, plans_queries, prompts, runs, sites, text_queries
+from catalog import answers, html_queries, metrics, plans_queries, prompts, runs, sites, store, text_queries
 from catalog.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "answers", "html_queries", "metrics", "plans_queries", "prompts",
-           "runs", "sites", "text_queries"]
+           "runs", "sites", "store", "text_queries"]
