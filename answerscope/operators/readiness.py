@@ -24,6 +24,7 @@ from answerscope.functions.core import (
     NOT_AFTER_WORD as NB, NOT_BEFORE_WORD as NA, WS, clamp, literals, ratio, round_half_up, status_for,
 )
 from answerscope.functions.urls import host_of, path_or_self, strip_www
+from answerscope.operators.contact import across_pages
 from answerscope.operators.robots import audit_ai_access
 
 # --- fixed values: patterns of the checks ---
@@ -52,6 +53,7 @@ EMAIL = r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 BYLINE = rf"{NB}by{WS}+[A-Z][a-z]+{WS}+[A-Z][a-z]+"
 CANONICAL = rf"(?i)<link{NA}[^>]*rel\s*=\s*[\"']canonical[\"']"
 LANDMARK = rf"(?i)<(?:main|article){NA}"
+STAMP = rf"(?i)<time{NA}[^>]*datetime\s*=\s*[\"']([^\"']+)[\"']"
 FAQ_URL = "(?i)faq|frequently-asked|questions"
 
 
@@ -90,7 +92,7 @@ def _compares() -> Column:
 
 
 def _newest() -> Column:
-    stamp = F.regexp_extract("html", rf"(?i)<time{NA}[^>]*datetime\s*=\s*[\"']([^\"']+)[\"']", 1)
+    stamp = F.regexp_extract("html", STAMP, 1)
     listed = F.flatten(F.transform("nodes", lambda n: n["dates"]))
     dates = F.concat(listed, F.when(stamp != "", F.array(stamp)).otherwise(F.array().cast("array<string>")))
     return F.array_max(F.transform(dates, parse_date))
@@ -420,6 +422,11 @@ def run_checks(
         base = base.withColumns(
             {c: F.coalesce(F.col(c), F.lit(0)) for c in facts.columns if c.startswith("n_")}
             | {c: F.coalesce(F.col(c), F.lit(False)) for c in facts.columns if c.startswith("any_")})
+    if "contact-signals" in need:
+        seams = across_pages(pages).select("host", F.col("phone").alias("seam_phone"), F.col("street").alias("seam_street"))
+        held = lambda c: F.coalesce(F.col(c), F.lit(False))
+        base = base.join(seams, "host", "left").withColumns({
+            "any_phone": held("any_phone") | held("seam_phone"), "any_street": held("any_street") | held("seam_street")})
     if "freshness" in need:
         base = base.withColumn("age_days", F.floor(
             (F.col("as_of").cast("double") - F.col("newest").cast("double")) / 86400))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from answerscope import fixed
+from answerscope.operators import evidence as E
 from answerscope.operators import readiness as I
 from answerscope.operators import robots as R
 from catalog.base import AS_OF, as_of, brands, pages, query, sites, view
@@ -140,8 +141,8 @@ CHECK_SQL: dict[str, str] = {
     "third-party-signals": f"{NODES}, {LINKS}, pf AS (SELECT host, 'linkedin.com' AS p FROM nd WHERE k = 0 UNION SELECT host, 'social.example' FROM nd WHERE k = 0 "
                            r"UNION SELECT host, regexp_extract(u, '^https?://(?:www[.])?(?:[^/]*[.])?((?:g2|reddit)[.]com)(?:/|$)', 1) FROM links), "
                            "c AS (SELECT host, count(*) AS n FROM pf WHERE p <> '' GROUP BY host), sc AS (SELECT s.host, " + steps("coalesce(n, 0)", [(5, 1), (3, 0.75), (1, 0.45)], 0.05) + " AS score, 1 AS n_ok FROM v_sites s LEFT JOIN c ON c.host = s.host)",
-    "contact-signals": rf"t AS (SELECT host, page_id % 9 AS k, {TEXT} AS t FROM v_rich), c AS (SELECT host, bool_or(k = 3 OR regexp_matches(t, '\+?\d[\d\s().-]{{7,}}\d')) AS p, bool_or(k = 3 OR regexp_matches(t, '(?i)\b\d{{1,5}}\s+[A-Z][a-zA-Z]+\s+(street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|suite|ste)\b')) AS a, "
-                       r"bool_or(regexp_matches(t, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')) AS e FROM t GROUP BY host), sc AS (SELECT host, (p::INT + a::INT + e::INT) / 3 AS score, 1 AS n_ok FROM c)",
+    "contact-signals": rf"t AS (SELECT host, bool_or(page_id % 9 = 3) AS k, string_agg({TEXT}, chr(10) ORDER BY page_ord, url) AS t FROM v_rich GROUP BY host), c AS (SELECT host, k OR regexp_matches(t, '\+?\d[\d\s().-]{{7,}}\d') AS p, k OR regexp_matches(t, '(?i)\b\d{{1,5}}\s+[A-Z][a-zA-Z]+\s+(street|st|avenue|ave|road|rd|boulevard|blvd|lane|ln|drive|dr|suite|ste)\b') AS a, "
+                       r"regexp_matches(t, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}') AS e FROM t), sc AS (SELECT host, (p::INT + a::INT + e::INT) / 3 AS score, 1 AS n_ok FROM c)",
     "authorship": rf"t AS (SELECT host, page_id % 9 = 2 AS ld, {meta_sql('author')} <> '' AS m, regexp_matches(substr({TEXT}, 1, 4000), '\bby\s+[A-Z][a-z]+\s+[A-Z][a-z]+') AS b FROM v_rich), "
                   "sc AS (SELECT host, CASE WHEN bool_or(ld) THEN 1 WHEN bool_or(m) THEN 0.7 WHEN bool_or(b) THEN 0.45 ELSE 0.1 END AS score, 1 AS n_ok FROM t GROUP BY host)",
     "entity-clarity": f"{lead_sql(120)}, hm AS (SELECT v.host, v.status, split_part(v.host, '.', 1) AS nm, lower(strip_accents({TITLE} || ' ' || {DESCRIPTION} || ' ' || l.lead)) AS t FROM v_rich v JOIN lead l ON l.page_id = v.page_id WHERE v.page_ord = 0), "
@@ -235,6 +236,45 @@ def i27_evidence(spark, d):
     return I.failing_pages(pages(spark, d), list(_FAILS)).withColumn("evidence", F.array_join("evidence", " "))
 
 
+@query("i27_evidence_sites", rf"""WITH {ACCESS}, e AS (
+ SELECT host, 'robots-txt' AS check_id, 'lines ' || len(string_split(replace(robots_txt, chr(13), ''), chr(10))) AS evidence FROM v_sites WHERE robots_txt <> ''
+ UNION ALL SELECT host, 'llms-txt', 'lines ' || len(string_split(llms_txt, chr(10))) || ' | links ' || len(regexp_extract_all(llms_txt, '\]\(')) FROM v_sites WHERE llms_txt <> ''
+ UNION ALL SELECT host, 'sitemap', 'urls ' || n_sitemap FROM v_sites WHERE n_sitemap > 0
+ UNION ALL SELECT host, 'https', origin FROM v_sites
+ UNION ALL SELECT host, 'ai-crawler-access', string_agg(label, ' | ' ORDER BY crawler_ord) FROM acc WHERE NOT allowed GROUP BY host) SELECT * FROM e""")
+def i27_evidence_sites(spark, d):
+    return E.site_evidence(sites(spark, d)).withColumn("evidence", F.array_join("evidence", " | "))
+
+
+_LISTED = rf"""{LINKS}, types(k, nth, t) AS (VALUES (0, 0, 'Organization'), (1, 0, 'Product'), (1, 1, 'Service'), (1, 2, 'Thing'), (2, 0, 'FAQPage'), (2, 1, 'Article'), (3, 0, 'LocalBusiness'), (5, 0, 'QAPage'), (6, 0, 'Dentist')),
+ seen AS (SELECT host, 'jsonld-present' AS check_id, t AS value, 0 AS tier, page_ord AS at, nth FROM v_rich JOIN types ON k = page_id % 9
+  UNION ALL SELECT host, 'entity-schema', t, 0, page_ord, nth FROM v_rich JOIN types ON k = page_id % 9 WHERE t IN ('Organization', 'LocalBusiness', 'Dentist')
+  UNION ALL SELECT host, 'comparison-content', url, 0, page_ord, 0 FROM v_rich WHERE regexp_matches(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '{COMPARE_RX}')
+  UNION ALL SELECT host, 'comparison-content', origin || '/compare/' || i, 1, i, 0 FROM (SELECT host, origin, unnest(range(1, n_sitemap + 1)) AS i FROM v_sites) t WHERE i % 8 = 5
+  UNION ALL SELECT l.host, 'third-party-signals', regexp_extract(u, '^https?://(?:www[.])?(?:[^/]*[.])?((?:g2|reddit)[.]com)(?:/|$)', 1), 0, page_ord, i FROM links l JOIN v_rich USING (page_id)
+  UNION ALL SELECT host, 'third-party-signals', unnest(['linkedin.com', 'social.example']), 1, page_ord, unnest([0, 1]) FROM v_rich WHERE page_id % 9 = 0),
+ once AS (SELECT host, check_id, value, min(tier * 1000000000000 + at * 100000 + nth) AS place FROM seen WHERE value <> '' GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY host, check_id ORDER BY place) AS k FROM once)"""
+
+
+@query("i27_evidence_listed", f"WITH {_LISTED} SELECT host, check_id, string_agg(value, ' | ' ORDER BY k) AS evidence FROM r WHERE k <= CASE check_id WHEN 'comparison-content' THEN 6 WHEN 'third-party-signals' THEN 10 ELSE 12 END GROUP BY ALL")
+def i27_evidence_listed(spark, d):
+    """The first types, comparison URLs and profiles of each host, distinct, in order."""
+    return E.listed_evidence(sites(spark, d), pages(spark, d)).withColumn("evidence", F.array_join("evidence", " | "))
+
+
+@query("i27_evidence_measured", rf"""WITH {lead_sql(25)}, w AS (SELECT host, {WORDS} AS words FROM v_rich WHERE {OKP}),
+ dts AS (SELECT host, CASE page_id % 9 WHEN 2 THEN TIMESTAMP '2023-11-05' WHEN 5 THEN TIMESTAMP '2024-01-10 08:00:00' END AS at FROM v_rich
+  UNION ALL SELECT host, CAST('2024-01-' || CAST(10 + page_id % 20 AS VARCHAR) AS TIMESTAMP) FROM v_rich WHERE page_id % 7 = 3)
+ SELECT host, 'response-speed' AS check_id, 'ms ' || floor(avg(latency_ms) + 0.5)::BIGINT || ' | pages ' || count(*) AS evidence FROM v_rich WHERE {OKP} AND latency_ms > 0 GROUP BY host
+ UNION ALL SELECT host, 'content-depth', 'median ' || list_sort(list(words))[CAST(floor(count(*) / 2) AS INTEGER) + 1] || ' | under 300 ' || count(*) FILTER (WHERE words < 300) FROM w GROUP BY host
+ UNION ALL SELECT host, 'freshness', 'newest ' || strftime(max(at), '%Y-%m-%d') || ' | dates ' || count(at) FROM dts GROUP BY host HAVING count(at) > 0
+ UNION ALL SELECT v.host, 'entity-clarity', lead FROM v_rich v JOIN lead l ON l.page_id = v.page_id WHERE v.page_ord = 0 AND {OKP}""")
+def i27_evidence_measured(spark, d):
+    """Figures behind the scores of each host: response time, depth, dates, the home page's first words."""
+    return E.measured_evidence(pages(spark, d)).withColumn("evidence", F.array_join("evidence", " | "))
+
+
 READY = f"""{ALL_CHECKS}, pil AS (SELECT host, pillar, sum(score * weight) / sum(weight) AS v FROM chk GROUP BY ALL),
  rdy AS (SELECT host, floor(sum(v * CASE pillar WHEN 'technical' THEN 0.3 WHEN 'structure' THEN 0.25 WHEN 'content' THEN 0.3 ELSE 0.15 END) * 1000 + 0.5) / 1000 AS overall,
   floor(max(v) FILTER (WHERE pillar = 'technical') * 1000 + 0.5) / 1000 AS technical, floor(max(v) FILTER (WHERE pillar = 'structure') * 1000 + 0.5) / 1000 AS structure,
