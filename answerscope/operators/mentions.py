@@ -9,6 +9,10 @@ per row than any other, and the same expression runs on a stream.
 
 from __future__ import annotations
 
+import json
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +23,11 @@ from answerscope.functions.urls import host_of, strip_www
 from answerscope.plans.joins import join_dimension
 
 MIN_REACH = 4  # two hits closer than max(variant length, this) are one mention
+#: from so many first words on, a text's words are looked up among them instead of searching the text for each spelling
+INDEXED_FROM = 24
+#: so many hits find their sentence one by one; more are merged with the sentences in order
+FEW_HITS = 8
+_WORD = "[a-z0-9_-]+"
 
 
 def fold_case(text: Column) -> Column:
@@ -43,24 +52,32 @@ def entity_variants(entities: DataFrame) -> DataFrame:
         F.posexplode(T.name_variants("name", "aliases", "domain")).alias("variant_ord", "variant"))
 
 
-def entity_index(entities: DataFrame) -> DataFrame:
-    """One row per brand with its entities and their search patterns, longest spelling first.
+def spelled_entities(entities: DataFrame) -> DataFrame:
+    """Entities with their spellings and search patterns, longest spelling first: brand_key, domain, entity.
 
-    The array holds one brand profile (brand plus listed competitors), never answers.
+    ``anchor`` is a spelling's first word: it can only stand where that is a whole word of the text.
+    Spellings that start with another character have none.
     """
-    spellings = F.transform(T.name_variants("name", "aliases", "domain"), lambda v: F.struct(
-        F.length(v).alias("len"), fold_case(v).alias("low"),
-        spelling_pattern(fold_case(v)).alias("pattern")))
+    spellings = F.transform(T.name_variants("name", "aliases", "domain"), lambda v: bind(fold_case(v), lambda low: F.struct(
+        F.length(v).alias("len"), low.alias("low"), spelling_pattern(low).alias("pattern"), F.regexp_extract(low, f"^{_WORD}", 0).alias("anchor"))))
     # array_sort is stable, so equal lengths keep the order of definition
     longest_first = F.array_sort(
         F.transform(spellings, lambda v, i: F.struct(v["len"].alias("len"), i.alias("i"), v.alias("v"))),
         lambda a, b: F.when(a["len"] != b["len"], b["len"] - a["len"]).otherwise(a["i"] - b["i"]))
-    per_entity = entities.select("brand_key", "domain", F.struct(
+    return entities.select("brand_key", "domain", F.struct(
         "entity_ord", "name", "is_brand",
         F.transform(longest_first, lambda x: x["v"]).alias("variants")).alias("entity"))
-    return per_entity.groupBy("brand_key").agg(
+
+
+def entity_index(entities: DataFrame) -> DataFrame:
+    """One row per brand with its entities and the first words of all their spellings (``anchors``).
+
+    The arrays hold one brand profile (brand plus listed competitors), never answers.
+    """
+    index = spelled_entities(entities).groupBy("brand_key").agg(
         F.max(F.when(F.col("entity.is_brand"), strip_www("domain"))).alias("brand_host"),
         F.array_sort(F.collect_list("entity")).alias("entities"))
+    return index.withColumn("anchors", F.array_distinct(F.flatten(F.transform("entities", lambda e: F.transform(e["variants"], lambda v: v["anchor"])))))
 
 
 HIT = "struct<idx:int,len:int,ord:int,old:boolean>"
@@ -99,79 +116,94 @@ def _accept(accepted: Column, hits: Column) -> Column:
 
     short = F.get(hits, F.lit(0))["len"] < MIN_REACH
     new = bind(bind(F.array_sort(F.concat(accepted, hits)), free), lambda fresh: F.when(short, apart(fresh)).otherwise(fresh))
-    return F.when(F.size(hits) == 0, accepted).otherwise(F.array_sort(F.concat(accepted, F.transform(new, lambda x: x.withField("old", F.lit(True))))))
+    kept = lambda found: F.transform(found, lambda x: x.withField("old", F.lit(True)))
+    return (F.when(F.size(hits) == 0, accepted)
+            # the first spelling found: its hits lie its length apart
+            .when((F.size(accepted) == 0) & ~short, kept(hits))
+            .otherwise(F.array_sort(F.concat(accepted, kept(new)))))
 
 
-def _tone(text: Column, hits: Column, lexicon: dict) -> Column:
-    """Sum of the sentiment of the sentence around each hit; a sentence is cut and scored once.
+def _tone(marks: Column, hits: Column, lexicon: dict) -> Column:
+    """Sum of the sentiment of the sentence around each hit; a sentence is scored once.
 
-    Sentences and hits are merged in order of offset, so every hit follows the sentence it is in.
+    ``marks`` are the text's sentences with their offsets.
     """
-    kind = "struct<hit:boolean,nth:int,part:string>"
-    marks = F.transform(T.sentence_starts(text), lambda s: F.struct(s["idx"].alias("idx"), F.lit(0).alias("kind"), s["part"].alias("part")))
-    found = F.transform(hits, lambda h: F.struct(h["idx"].alias("idx"), F.lit(1).alias("kind"), F.lit("").alias("part")))
+    nth = F.transform(hits, lambda h: F.size(F.filter(marks, lambda s: s["idx"] <= h["idx"])) - 1)
+    few = bind(nth, lambda ns: F.transform(F.array_distinct(ns), lambda n: F.struct(n.alias("nth"), F.size(F.filter(ns, lambda x: x == n)).alias("n"))))
+    counted = F.when(F.size(hits) <= FEW_HITS, few).otherwise(_merged(marks, hits))
+    return F.aggregate(counted, F.lit(0.0), lambda acc, x: acc + x["n"] * T.score_sentiment(
+        trim_ws(F.get(marks, x["nth"])["part"]), lexicon.get("positive"), lexicon.get("negative")))
 
-    def step(s: Column, x: Column) -> Column:
-        inside = x["kind"] == 1
-        return F.struct(inside.alias("hit"), F.when(inside, s["nth"]).otherwise(s["nth"] + 1).alias("nth"), F.when(inside, s["part"]).otherwise(x["part"]).alias("part")).cast(kind)
 
-    start = F.struct(F.lit(False).alias("hit"), F.lit(-1).alias("nth"), F.lit("").alias("part"))
-    placed = F.filter(running(F.array_sort(F.concat(marks, found)), start, step, kind), lambda s: s["hit"])
+def _merged(marks: Column, hits: Column) -> Column:
+    """How many of many hits each sentence holds: sentences and hits in one order of offset, counted in one pass."""
+    ends = F.concat(F.transform(marks, lambda s: F.struct(s["idx"].alias("idx"), F.lit(0).alias("hit"))), F.transform(hits, lambda h: F.struct(h["idx"].alias("idx"), F.lit(1).alias("hit"))))
 
-    def scored(p: Column) -> Column:
-        firsts = F.filter(F.transform(p, lambda s, j: F.struct(j.alias("j"), s["nth"].alias("nth"), s["part"].alias("part"))),
-                          lambda s: (s["j"] == 0) | (F.get(p, F.greatest(s["j"] - 1, F.lit(0)))["nth"] != s["nth"]))
-        return bind(firsts, lambda f: F.aggregate(F.transform(f, lambda s, j: T.score_sentiment(
-            trim_ws(s["part"]), lexicon.get("positive"), lexicon.get("negative"))
-            * (F.coalesce(F.get(f, j + 1)["j"], F.size(p)) - s["j"])), F.lit(0.0), lambda a, x: a + x))
+    def step(s: Column, x: Column) -> Column:
+        return F.struct((s["nth"] + 1 - x["hit"]).alias("nth"), F.when(x["hit"] == 1, s["n"] + 1).otherwise(0).alias("n")).cast("struct<nth:int,n:int>")
 
-    return bind(placed, scored)
+    counts = running(F.array_sort(ends), F.struct(F.lit(-1).alias("nth"), F.lit(0).alias("n")), step, "struct<nth:int,n:int>")
+    # the last state of each sentence that holds a hit
+    return bind(counts, lambda c: F.filter(c, lambda x, j: (x["n"] > 0) & (F.coalesce(F.get(c, j + 1)["n"], F.lit(0)) <= x["n"])))
 
 
-def _mention(text: Column, entity: Column, hits: Column, lexicon: dict | None) -> Column:
+def _mention(text: Column, entity: Column, hits: Column, marks: Column, lexicon: dict | None) -> Column:
     """``hits`` in order of offset; the role comes from the first hit of the longest spelling found."""
-    named = F.size(hits) > 0
     by_spelling = F.array_sort(F.transform(hits, lambda h: F.struct(h["ord"].alias("ord"), h["idx"].alias("idx"), h["len"].alias("len"))))
-    lead = F.get(by_spelling, F.lit(0))["idx"]
-    mean = _tone(text, hits, lexicon or {}) / F.size(hits)
+    mean = _tone(marks, hits, lexicon or {}) / F.size(hits)
 
-    def with_sentence(parts: Column, sentence: Column) -> Column:
+    def mention(named: bool, first: Column, count: Column, sentiment: Column, role: Column, sentence: Column, in_list: Column, snippets: Column) -> Column:
+        return F.struct(
+            entity["entity_ord"].alias("entity_ord"), entity["name"].alias("name"), entity["is_brand"].alias("is_brand"), F.lit(named).alias("mentioned"),
+            first.alias("first_index"), count.alias("count"), sentiment.alias("sentiment"), role.alias("role"),
+            sentence.alias("role_sentence"), in_list.alias("role_in_list"), snippets.alias("snippets"))
+
+    def with_sentence(parts: Column, sentence: Column, spots: Column) -> Column:
         line = F.concat(parts["before"], parts["after"])
-        return bind(T.in_list_context(line, sentence), lambda in_list: F.struct(
-            entity["entity_ord"].alias("entity_ord"), entity["name"].alias("name"),
-            entity["is_brand"].alias("is_brand"), named.alias("mentioned"),
-            F.when(named, F.array_min(F.transform(hits, lambda h: h["idx"])))
-            .otherwise(-1).alias("first_index"),
-            F.size(hits).alias("count"),
-            F.when(named, clamp(mean, -1.0, 1.0)).otherwise(0.0).alias("sentiment"),
-            F.when(named, T.classify_role(sentence, entity["name"], in_list))
-            .otherwise("referenced").alias("role"),
-            F.when(named, sentence).otherwise("").alias("role_sentence"),
-            (named & in_list).alias("role_in_list"),
-            F.transform(F.slice(by_spelling, 1, fixed.SNIPPETS_KEPT),
-                        lambda h: T.snippet(text, h["idx"], h["len"])).alias("snippets")))
-
-    def struct_for(parts: Column) -> Column:
-        return bind(T.sentence_from_line(parts["before"], parts["after"]),
-                    lambda sentence: with_sentence(parts, sentence))
-
-    before, after = T.line_around(text, lead)
-    return bind(F.struct(F.when(named, before).alias("before"), F.when(named, after).alias("after")),
-                struct_for)
-
-
-def mention_array(text: Column, entities: Column, lexicon: dict | None = None) -> Column:
-    """All entities of one answer as an array of mention structs, ranked (E1 + E2)."""
-    body = F.coalesce(text, F.lit(""))
+        return bind(T.in_list_context(line, sentence), lambda in_list: mention(
+            True, F.array_min(F.transform(hits, lambda h: h["idx"])), F.size(hits), clamp(mean, -1.0, 1.0),
+            T.classify_role(sentence, entity["name"], in_list), sentence, in_list,
+            F.transform(F.slice(spots, 1, fixed.SNIPPETS_KEPT), lambda h: T.snippet(text, h["idx"], h["len"]))))
 
-    def of_entity(low: Column, e: Column) -> Column:
-        present = F.filter(F.transform(e["variants"], lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda x: F.contains(low, x["v"]["low"]))
-        hits = F.aggregate(present, F.array().cast(f"array<{HIT}>"), lambda acc, x: bind(
+    def found(spots: Column) -> Column:
+        before, after = T.line_around(text, F.get(spots, F.lit(0))["idx"])
+        return bind(F.struct(before.alias("before"), after.alias("after")), lambda parts: bind(
+            T.sentence_from_line(parts["before"], parts["after"]), lambda sentence: with_sentence(parts, sentence, spots)))
+
+    absent = mention(False, F.lit(-1), F.lit(0), F.lit(0.0), F.lit("referenced"), F.lit(""), F.lit(False), F.array().cast("array<string>"))
+    return F.when(F.size(hits) == 0, absent).otherwise(bind(by_spelling, found))
+
+
+def mention_array(text: Column, entities: Column, lexicon: dict | None = None, anchors: Column | None = None) -> Column:
+    """All entities of one answer as an array of mention structs, ranked (E1 + E2).
+
+    With ``anchors`` (of ``entity_index``) a brand of many spellings costs a text one split into words
+    and one look-up of these; only spellings whose first word the text holds are searched for.
+    """
+    body = F.coalesce(text, F.lit(""))
+    words = F.lit(None).cast("array<string>") if anchors is None else F.when(
+        F.size(anchors) >= INDEXED_FROM, F.array_intersect(F.split(F.regexp_replace(fold_case(body), "[^a-z0-9_-]+", " "), " "), anchors))
+
+    def hits_of(low: Column, met: Column, e: Column) -> Column:
+        worth = lambda v: F.coalesce((v["anchor"] == "") | F.array_contains(met, v["anchor"]), F.lit(True))
+        spellings = F.transform(e["variants"], lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+        present = F.filter(spellings, lambda x: worth(x["v"]) & F.contains(low, x["v"]["low"]) if anchors is not None else F.contains(low, x["v"]["low"]))
+        return F.aggregate(present, F.array().cast(f"array<{HIT}>"), lambda acc, x: bind(
             _positions(low, x["v"], x["i"]), lambda found: _accept(acc, found)))
-        return bind(hits, lambda h: _mention(body, e, h, lexicon))
 
-    plain = bind(fold_case(body), lambda low: F.transform(entities, lambda e: of_entity(low, e)))
-    return bind(plain, ranked)
+    def mentions(hits: Column) -> Column:
+        # the text is cut into sentences once, and only if something stands in it
+        none = F.array().cast("array<struct<idx:int,part:string>>")
+        marks = F.when(F.exists(hits, lambda h: F.size(h) > 0), T.sentence_starts(body)).otherwise(none)
+        return bind(marks, lambda m: F.transform(entities, lambda e, i: _mention(body, e, F.get(hits, i), m, lexicon)))
+
+    def searched(met: Column) -> Column:
+        # none of many first words stands in the text, and no spelling does without one
+        nothing = F.coalesce((F.size(met) == 0) & ~F.array_contains(anchors, ""), F.lit(False)) if anchors is not None else F.lit(False)
+        return bind(fold_case(body), lambda low: F.transform(entities, lambda e: F.when(
+            nothing, F.array().cast(f"array<{HIT}>")).otherwise(hits_of(low, met, e))))
+
+    return bind(bind(bind(words, searched), mentions), ranked)
 
 
 def ranked(mentions: Column) -> Column:
@@ -192,9 +224,15 @@ def find_mentions(answers: DataFrame, entities: DataFrame, lexicon: dict | None
     else a salted join that spreads a brand with an outsized share of the answers.
     """
     return (
-        join_dimension(answers, entity_index(entities), ["brand_key"], spread="ord")
-        .withColumn("mentions", mention_array(F.col("text"), F.col("entities"), lexicon))
-        .drop("entities"))
+        join_dimension(answers, entity_index(entities), ["brand_key"], spread="ord", measure=spelled_entities(entities))
+        .withColumn("mentions", _search(SparkContext._active_spark_context.applicationId, json.dumps(lexicon, sort_keys=True)))
+        .drop("entities", "anchors"))
+
+
+@lru_cache(maxsize=16)
+def _search(application: str, lexicon: str) -> Column:
+    """The search over the columns of a joined answer, built once a session: it takes longer to spell than to plan."""
+    return mention_array(F.col("text"), F.col("entities"), json.loads(lexicon), F.col("anchors"))
 
 
 def explode_mentions(with_mentions: DataFrame, keys: list[str]) -> DataFrame:

@@ -96,43 +96,43 @@ def select_pages(
 ) -> DataFrame:
     """Which pages of a host to read (D7): host, url, pick.
 
-    Tiers: home, pinned, first URL per priority path, then shallowest first.  Every tier is
-    reduced to distinct URLs map-side before the per-host top-k, which Spark limits per
-    partition, so a host with a third of all URLs ships at most ``limit`` rows per task.
-    ``discovered``: host, ord, url.  ``sites``: host, origin.  ``pinned``: host, ord, url (a
-    pinned page may be relative to the origin).  Addresses are compared and returned in their
-    canonical spelling (case of the host, default ports, dot segments).
+    Tiers: home, pinned, first URL per priority path, then shallowest first.  Discovered URLs are
+    read and spelled once: each gives a row for itself and one per priority path it matches, and
+    both are reduced map-side, so a host with a third of all URLs ships at most ``limit`` rows per
+    task to the per-host top-k.  ``discovered``: host, ord, url.  ``sites``: host, origin.
+    ``pinned``: host, ord, url (a pinned page may be relative to the origin).  Addresses are compared
+    and returned in their canonical spelling (case of the host, default ports, dot segments).
     """
+    sites = sites.withColumn("origin", F.regexp_replace(normalise_url("origin"), "/$", ""))
+    zero = F.lit(0).cast("long")
+
     def spelled(df: DataFrame) -> DataFrame:
+        # resolving an address spells it canonically
         known = df.join(sites.select("host", "origin"), "host")
-        base = F.concat("origin", F.lit("/"))
-        return known.withColumn("url", normalise_url(resolve_url(trim_ws("url"), base))).drop("origin")
+        return known.withColumn("url", resolve_url(trim_ws("url"), F.concat("origin", F.lit("/")))).drop("origin")
+
+    def own(url: Column) -> Column:
+        """Whether a canonical address is one of the host's."""
+        return strip_www(F.regexp_extract(url, "^[a-z]+://(?:[^/?#]*@)?([^/?#]*)", 1)) == strip_www("host")
+
+    def place(tier: int | Column, a: Column, b: Column, c: Column) -> Column:
+        tier = F.lit(tier) if isinstance(tier, int) else tier
+        return F.struct(tier.cast("int").alias("tier"), a.cast("long").alias("a"), b.cast("long").alias("b"), c.cast("long").alias("c"))
 
-    sites = sites.withColumn("origin", F.regexp_replace(normalise_url("origin"), "/$", ""))
-    discovered, pinned = spelled(discovered), None if pinned is None else spelled(pinned)
-    internal = discovered.where(host_of("url") == strip_www("host"))
     path = path_of("url")
     depth = F.size(F.filter(F.split(path, "/"), lambda s: s != ""))
-    zero = F.lit(0).cast("long")
-
-    def tier(df: DataFrame, n: int, a: Column, b: Column, c: Column, url: str = "url") -> DataFrame:
-        return df.select("host", F.col(url).alias("url"), F.struct(
-            F.lit(n).alias("tier"), a.cast("long").alias("a"), b.cast("long").alias("b"),
-            c.cast("long").alias("c")).alias("place"))
-
-    firsts = internal.groupBy("host").agg(F.array(*[
-        F.min(F.when(path.rlike("(?i)" + rx), F.struct("ord", "url"))) for rx in fixed.PRIORITY_PATHS
-    ]).alias("hits"))
-    priority = firsts.select("host", F.posexplode("hits").alias("p", "hit")).where(
-        F.col("hit").isNotNull()).select("host", "p", F.col("hit.url").alias("url"))
-    candidates = (
-        tier(sites, 0, zero, zero, zero, "origin")
-        .unionByName(tier(priority, 2, F.col("p"), zero, zero))
-        .unionByName(tier(internal, 3, depth, F.length("url"), F.col("ord"))))
+    itself = F.struct(F.lit(-1).alias("p"), place(3, depth, F.length("url"), F.col("ord")).alias("place"))
+    # of the addresses that match a priority path the first one counts
+    matches = F.array_compact(F.array(*[F.when(path.rlike("(?i)" + rx), F.struct(
+        F.lit(p).alias("p"), place(2, F.col("ord"), zero, zero).alias("place"))) for p, rx in enumerate(fixed.PRIORITY_PATHS)]))
+    rows = spelled(discovered).where(own(F.col("url"))).select("host", "url", F.explode_outer(F.concat(F.array(itself), matches)).alias("e"))
+    found = rows.groupBy("host", "e.p", F.when(F.col("e.p") < 0, F.col("url")).alias("key")).agg(F.min(F.struct("e.place", "url")).alias("first"))
+    # among themselves the priority paths stand in their own order
+    candidates = found.select("host", "first.url", F.when(F.col("p") < 0, F.col("first.place")).otherwise(place(2, F.col("p"), zero, zero)).alias("place"))
+    candidates = candidates.unionByName(sites.select("host", F.col("origin").alias("url"), place(0, zero, zero, zero).alias("place")))
     if pinned is not None:
-        candidates = candidates.unionByName(tier(pinned, 1, F.col("ord"), zero, zero))
-    clean = candidates.withColumn("url", clean_page_url(F.col("url"))).where(
-        (host_of("url") == strip_www("host")) & ~F.col("url").rlike("(?i)" + fixed.ASSET_PATTERN))
+        candidates = candidates.unionByName(spelled(pinned).select("host", "url", place(1, F.col("ord"), zero, zero).alias("place")))
+    clean = candidates.withColumn("url", clean_page_url(F.col("url"))).where(own(F.col("url")) & ~F.col("url").rlike("(?i)" + fixed.ASSET_PATTERN))
     distinct = clean.groupBy("host", "url").agg(F.min("place").alias("place"))
     w = Window.partitionBy("host").orderBy("place", "url")
     return distinct.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= limit).drop("place")

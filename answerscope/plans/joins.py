@@ -22,6 +22,7 @@ def is_small(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_B
 
 def join_dimension(
     wide: DataFrame, dim: DataFrame, on: list[str], spread: str, how: str = "inner", small: bool | None = None,
+    measure: DataFrame | None = None,
 ) -> DataFrame:
     """Inner or left join of rows that carry text with a dimension keyed by ``on``.
 
@@ -29,9 +30,10 @@ def join_dimension(
     one is shuffled, each row copied ``SALTS`` times, and a key's wide rows are dealt over the
     copies by ``spread`` (a high-cardinality column): a key holding a third of all rows is
     shared by SALTS tasks instead of landing on one.  Joins of narrow rows need none of this:
-    they are left to adaptive execution.
+    they are left to adaptive execution.  ``measure`` are rows that hold all the dimension holds and
+    are cheaper to get, such as the ones it gathers.
     """
-    if is_small(dim) if small is None else small:
+    if is_small(dim if measure is None else measure) if small is None else small:
         return wide.join(F.broadcast(dim), on, how)
     salted = wide.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -171,7 +171,8 @@ def test_many_hits_in_one_answer_take_time_in_proportion(spark):
         got = {r["entity_ord"]: r["count"] for r in df.collect()}
         took.append(time.perf_counter() - start)
         assert got[0] == n
-    assert took[1] < 8 * took[0] + 2
+    # eight times the hits: sixteen times is slack for a busy machine, in the square it would be sixty-four
+    assert took[1] < 16 * took[0] + 4
 
 
 def test_brands_in_one_job_equal_brands_alone(spark):
@@ -181,3 +182,33 @@ def test_brands_in_one_job_equal_brands_alone(spark):
     together = M.explode_mentions(M.find_mentions(both, entities(spark, rows)), ["brand_key", "ord"])
     alone = M.explode_mentions(M.find_mentions(a, entities(spark)), ["brand_key", "ord"])
     assert sorted(map(str, together.where("brand_key = 'b'").collect())) == sorted(map(str, alone.collect()))
+
+
+def test_brands_of_many_spellings(spark, monkeypatch):
+    """Looking words up gives what searching for every spelling gives, and texts without a hit cost little."""
+    rng = random.Random(5)
+    parts = ["Acme", "Bolt", "co-op", "x_1", "Ünal", ".net", "A.B", "日本", "Delta", "42", "Zed"]
+    names = sorted({rng.choice(["", " ", "-", "."]).join(rng.choice(parts) + (str(rng.randint(0, 60)) if rng.random() < .7 else "") for _ in range(rng.randint(1, 3))) for _ in range(1200)})
+    names = [n for n in names if len(n) > 1][:1000]
+    rows = [("b", 0, "Own Brand", None, names[:900], True), ("b", 1, "Rival", "rival.example", names[900:], False)]
+    texts = [" ".join(rng.choice([rng.choice(names), rng.choice(parts), "and", "so.", "(" + rng.choice(names) + ")", rng.choice(names) + "."]) for _ in range(rng.randint(0, 14))) for _ in range(120)]
+    keys = ["ord", "entity_ord", "count", "first_index", "rank", "role", "sentiment"]
+    run = lambda: sorted(map(tuple, M.explode_mentions(M.find_mentions(answers(spark, texts), entities(spark, rows)), ["ord"]).select(keys).collect()))
+    looked_up = run()
+    M._search.cache_clear()
+    monkeypatch.setattr(M, "INDEXED_FROM", 10**9)
+    assert run() == looked_up and sum(r[2] for r in looked_up) > 300
+    M._search.cache_clear()
+
+
+def test_many_and_few_hits_have_the_same_tone(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["Acme Tools is excellent.", "avoid Acme!", "Beta works", "\n", "and Beta and Acme;", "Nothing here.", "terrible Gamma.io?"]) for _ in range(rng.randint(1, 40))) for _ in range(80)]
+    run = lambda: sorted((r["ord"], r["entity_ord"], r["count"], round(r["sentiment"], 9)) for r in M.explode_mentions(M.find_mentions(answers(spark, texts), entities(spark)), ["ord"]).collect())
+    both = run()
+    for few in (0, 10**6):
+        M._search.cache_clear()
+        monkeypatch.setattr(M, "FEW_HITS", few)
+        assert run() == both
+    M._search.cache_clear()
+    assert len({r[3] for r in both}) > 10
