@@ -49,6 +49,17 @@ def running(items: Column, start: Column, step: Callable[[Column, Column], Colum
     return F.aggregate(items, zero, merge, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["cur"]))))
 
 
+def char_class(code_points: list[int]) -> str:
+    """Regex class of the given code points, neighbours merged into ranges."""
+    runs: list[list[int]] = []
+    for cp in sorted(code_points):
+        if runs and cp == runs[-1][1] + 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
 def literals(terms: list[str]) -> Column:
     """Literal array of strings, built in one expression."""
     return F.expr("array(" + ", ".join("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms) + ")")

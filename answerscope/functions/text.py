@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from answerscope import fixed
 from answerscope.functions.core import (
-    NON_WS, NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, ColumnOrName, any_contains, as_col, bind, clamp,
+    NON_WS, NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, ColumnOrName, any_contains, as_col, bind, char_class, clamp,
     count_contains, running, squash_ws, trim_ws,
 )
 
@@ -20,27 +20,16 @@ _CONNECTIVE = f"(?i){NOT_AFTER_WORD}(?:{'|'.join(fixed.CONNECTIVES)}){NOT_BEFORE
 _LIST_MARKER = rf"^{WS}*(?:\d{{1,2}}{WS}*[.)]|[-*•]){WS}+"
 
 
-def _char_class(code_points: list[int]) -> str:
-    """Regex class of the given code points, neighbours merged into ranges."""
-    runs: list[list[int]] = []
-    for cp in sorted(code_points):
-        if runs and cp == runs[-1][1] + 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
-    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
-
-
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, dict[str, str], str]:
     """Accent-folding tables derived from the Unicode database by rule.
 
     One-to-one folds and deletions feed ``translate``; the few one-to-many folds
     (ligatures, fractions ...) feed a map that is consulted only when one occurs.
-    Hangul syllables are left composed on both sides of every comparison.
+    Hangul syllables are left to ``_jamo``; surrogates and private planes fold to themselves.
     """
     src, dst, dropped, many = [], [], [], {}
-    for cp in [*range(0x80, 0x10000), *range(0x1D400, 0x1D800)]:
+    for cp in range(0x80, 0xF0000):
         if 0xD800 <= cp <= 0xF8FF or 0xAC00 <= cp <= 0xD7A3:
             continue
         ch = chr(cp)
@@ -55,12 +44,30 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
             dst.append(out)
         else:
             many[ch] = out
-    members = _char_class([ord(c) for c in many])
+    members = char_class([ord(c) for c in many])
     return "".join(src + dropped), "".join(dst), many, members
 
 
+_SYLLABLES = "[\uac00-\ud7a3]"
+
+
+def _jamo(text: Column) -> Column:
+    """Hangul syllables as their two or three letters, by the arithmetic of their block: 19 x 21 x 28 syllables."""
+    lead, vowel, tail = ("".join(map(chr, range(a, a + n))) for a, n in ((0x1100, 19), (0x1161, 21), (0x11A7, 28)))
+
+    def letters(c: Column) -> Column:
+        nth = lambda table, k: F.substr(F.lit(table), (k + 1).cast("int"), F.lit(1))
+        # without a third letter the remainder is 0
+        return bind(F.ascii(c) - 0xAC00, lambda k: F.concat(nth(lead, F.floor(k / 588)), nth(vowel, F.floor(k % 588 / 28)), F.when(k % 28 == 0, "").otherwise(nth(tail, k % 28))))
+
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.when(c.rlike(_SYLLABLES), letters(c)).otherwise(c)), "")
+
+
 def normalise(s: ColumnOrName) -> Column:
-    """Compatibility-decompose, drop combining accents, lowercase (B1)."""
+    """Compatibility-decompose, drop combining accents, lowercase (B1).
+
+    Every character folds as in NFKD; marks that stay keep the order they have in the text.
+    """
     src, dst, many, members = _fold_tables()
     # one literal that the optimizer folds to a map, instead of thousands of literals
     pairs = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
@@ -70,8 +77,9 @@ def normalise(s: ColumnOrName) -> Column:
             c.rlike(members), F.try_element_at(pairs, c)).otherwise(c)), "")
         rare = text.rlike(r"[^\x00-\x{17f}]|[\x{bc}-\x{be}\x{132}\x{133}\x{13f}\x{140}\x{149}]")
         expanded = F.when(rare & text.rlike(members), unpacked).otherwise(text)
-        return F.lower(F.when(
-            text.rlike(r"[^\x00-\x7f]"), F.translate(expanded, src, dst)).otherwise(text))
+        # the translation never makes a syllable, so the two can follow one another
+        plain = bind(F.translate(expanded, src, dst), lambda t: F.when(t.rlike(_SYLLABLES), _jamo(t)).otherwise(t))
+        return F.lower(F.when(text.rlike(r"[^\x00-\x7f]"), plain).otherwise(text))
 
     return bind(F.coalesce(as_col(s), F.lit("")), folded)
 

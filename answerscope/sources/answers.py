@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerscope.functions.urls import extract_urls
+from answerscope.functions.urls import ascii_url, extract_urls
 
 ANSWERS = (
     "run_id STRING, brand_key STRING, engine STRING, engine_ord INT, prompt_id STRING, sample INT, "
@@ -20,7 +20,8 @@ def clean_answers(rows: DataFrame) -> DataFrame:
         "text": F.coalesce("text", F.lit("")),
         "citations": F.array_distinct(F.filter(
             F.coalesce("citations", F.array().cast("array<string>")),
-            lambda c: F.coalesce(c, F.lit("")) != ""))})
+            lambda c: F.coalesce(c, F.lit("")) != ""))}).withColumn(
+        "citations", F.transform("citations", lambda c: ascii_url(c)))
 
 
 def read_answers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

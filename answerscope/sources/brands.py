@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerscope.functions.urls import ascii_host
 from answerscope.functions.core import slug, trim_ws
 
 def parse_profiles(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -85,7 +86,7 @@ def normalise_brands(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.struct(
             F.when(plain, F.try_variant_get(c, "$", "string"))
             .otherwise(F.try_variant_get(c, "$.name", "string")).alias("name"),
-            F.when(~plain, F.nullif(bare_domain(_string(c, "$.domain")), F.lit(""))).alias("domain"),
+            F.when(~plain, F.nullif(ascii_host(bare_domain(_string(c, "$.domain"))), F.lit(""))).alias("domain"),
             F.when(plain, F.array().cast("array<string>")).otherwise(_strings(c, "$.aliases")).alias("aliases"))
 
     rivals = F.filter(
@@ -96,7 +97,7 @@ def normalise_brands(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     languages = (
         F.when(F.size(_strings(v, "$.languages")) > 0, listed)
         .when(kind == "OBJECT", F.col("category_keys")).otherwise(F.array(F.lit("en"))))
-    domain = F.regexp_replace(bare_domain(trim_ws(_string(v, "$.domain"))), r"^www\.", "")
+    domain = ascii_host(F.regexp_replace(bare_domain(trim_ws(_string(v, "$.domain"))), r"^www\.", ""))
     valid = good.select(
         slug(domain).alias("brand_key"), trim_ws(_string(v, "$.name")).alias("name"),
         domain.alias("domain"), _strings(v, "$.aliases").alias("aliases"),

@@ -185,6 +185,22 @@ def f11(spark, d):
     return M.distinct_counts(outcomes(spark, d))
 
 
+@query("f11_distinct_sketches", f"""WITH {CREDITS}, h AS (SELECT brand_key, count(DISTINCT host) AS unique_domains FROM hc GROUP BY brand_key),
+ e AS (SELECT brand_key, count(DISTINCT error) FILTER (WHERE status <> 'answered') AS distinct_errors FROM v_outcomes GROUP BY brand_key)
+SELECT brand_key, coalesce(unique_domains, 0) AS unique_domains, distinct_errors, true AS within FROM e LEFT JOIN h USING (brand_key)""")
+def f11_sketches(spark, d):
+    """Distinct hosts and errors per brand over all its runs, exactly and from the runs' stored sketches: within five standard errors."""
+    from answerscope.session import materialise
+    rows = outcomes(spark, d)
+    stored = materialise(M.distinct_sketches(rows))
+    told = M.distinct_estimates(stored, ["brand_key"]).select("brand_key", F.col("unique_domains").alias("hosts"), F.col("distinct_errors").alias("errors"))
+    exact = rows.groupBy("brand_key").agg(F.count_distinct(F.when(F.col("status") != "answered", F.col("error"))).alias("distinct_errors"))
+    hosts = M.citation_credits(rows).groupBy("brand_key").agg(F.count_distinct("host").alias("unique_domains"))
+    both = exact.join(hosts, "brand_key", "left").withColumn("unique_domains", F.coalesce("unique_domains", F.lit(0))).join(told, "brand_key")
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 5 * 1.04 / 64 * F.col(b)
+    return both.select("brand_key", "unique_domains", "distinct_errors", (near("hosts", "unique_domains") & near("errors", "distinct_errors")).alias("within"))
+
+
 _SURFACE = """CASE WHEN host = 'own.example' THEN 'owned' WHEN host = 'rival.example' THEN 'competitor'
   WHEN regexp_matches(host, '(^|\\.)(reddit|ycombinator|stackoverflow|stackexchange|quora|substack)\\.com$|(^|\\.)discourse\\.|forum') THEN 'community'
   WHEN regexp_matches(host, '(^|\\.)(g2|capterra|trustpilot|trustradius|angi|houzz|getapp|softwareadvice)\\.com$|(^|\\.)(yelp|tripadvisor|glassdoor)\\.[a-z.]+$|(^|\\.)bbb\\.org$|(^|\\.)clutch\\.co$') THEN 'review'

@@ -3,6 +3,7 @@
 import random
 import re
 import time
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -199,3 +200,43 @@ def test_nested_json_ld(spark, depth):
     page = f'<script type="application/ld+json">{body}</script><script type="application/ld+json">[]</script>'
     got = spark.createDataFrame([(page,)], "h string").select(F.transform(J.nodes("h"), lambda n: F.to_json(n)).alias("x")).first()["x"]
     assert got == ['{"@type":"A"}', '{"@type":"B"}', '{"@type":"C"}']
+
+
+def test_every_character_folds_as_nfkd(spark):
+    points = [cp for cp in range(1, 0x110000) if not 0xD800 <= cp <= 0xDFFF]
+    texts = [(k, "".join(map(chr, points[k:k + 400]))) for k in range(0, len(points), 400)]
+    # a dot before each character, so that marks are not put in order beside one another
+    spaced = [(k, "".join("." + c for c in t)) for k, t in texts]
+    got = dict(spark.createDataFrame(spaced, "k int, t string").select("k", T.normalise("t")).collect())
+    lower = dict(spark.createDataFrame([(k, "".join("." + x for c in t for x in [unfolded(c)])) for k, t in texts], "k int, t string").select("k", F.lower("t")).collect())
+    assert got == lower
+
+
+def unfolded(c):
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+
+
+def test_hangul_is_found_in_either_spelling(one):
+    assert one(T.normalise(L("한국어 각 카페"))) == unicodedata.normalize("NFKD", "한국어 각 카페") == one(T.normalise(L(unicodedata.normalize("NFD", "한국어 각 카페"))))
+
+
+@pytest.mark.parametrize("host", [
+    "bücher.example", "BÜCHER.example", "bu\u0308cher.example", "münchen.de", "日本語.jp", "пример.рф", "faß.de", "xn--bcher-kva.example", "a.b:8080",
+    "ｅｘａｍｐｌｅ.com", "ñandú.ñ.com", "मेहंदी.भारत", "한국.kr", "ü" * 40 + ".x", "a" * 70 + "ü.x", "他们为什么不说中文.cn", "ליהמהבלתי.il", "", "\U0001F600.la"])
+def test_hosts_in_ascii(one, host):
+    name = unicodedata.normalize("NFKC", host.lower())
+    want = ".".join(x if x.isascii() else "xn--" + x.encode("punycode").decode() for x in name.split("."))
+    assert one(U.ascii_host(L(host))) == want
+    assert one(U.same_host(U.ascii_host(L(host)), U.ascii_host(L(want)))) is True
+
+
+@pytest.mark.parametrize("url, want", [
+    ("https://www.Bücher.example/ä?ü#ö", "https://www.xn--bcher-kva.example/ä?ü#ö"), ("http://u:p@bücher.example:81", "http://u:p@xn--bcher-kva.example:81"),
+    ("https://a.example/ü", "https://a.example/ü"), ("no url ü", "no url ü"), ("", ""), ("https://ü。com/x", "https://xn--tda.com/x")])
+def test_urls_with_ascii_hosts(one, url, want):
+    assert one(U.ascii_url(L(url))) == want
+    assert one(U.ascii_url(U.ascii_url(L(url)))) == want
+
+
+def test_site_origin_of_international_names(one):
+    assert one(U.site_origin(L("www.Bücher.example/x"))) == "https://www.xn--bcher-kva.example"
