@@ -17,7 +17,7 @@ def local_session(app: str = "answerscope", cores: str | None = None) -> SparkSe
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", os.environ.get("ANSWERSCOPE_DRIVER_MEMORY", "6g"))
         # plan building without a Python call-site round trip per column operation
         .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
