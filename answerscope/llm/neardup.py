@@ -3,11 +3,16 @@
 One hash of every shingle both picks a bin and gives the value; a bin's least value is its
 signature and empty bins borrow from the first occupied one in a fixed random order of their
 own (optimal densification).  Documents with equal sets are one node.  Nodes meet in the buckets
-of banded signatures; a bucket yields star-shaped candidate edges (centre to member), which are
-verified on full sets.  Buckets that still hold more than one component get further centres:
-the best linked members first (1, 8, 128, ...), until every pair in them that could join two
-components has been tested or is ruled out by shingles that no other open document has.  No
-bucket is capped and none is gathered in a task.
+of banded signatures, and a bucket yields star-shaped candidate edges (centre to member), which are
+verified on full sets.  The centre of a bucket is the node that shares most buckets with most
+others.  First every node is tested with one centre, that of the bucket whose centre is the most
+common; then with its other centres, where these are in another component by then.
+
+A bucket that still holds several components is left to an exact way: of the nodes outside its
+largest component the rarest shingles are looked up among all nodes of such buckets, as many of
+each node as any partner must share one of.  Work is linear in members but for these lists, whose
+shingles are rare because the common ones have made a node a member of the star.  No bucket is
+capped and none is gathered in a task.
 """
 
 from __future__ import annotations
@@ -15,11 +20,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from answerscope.llm import common, fingerprints
+from answerscope.llm import common
 
 #: bins and bins a band: 42 bands of 6 miss a pair of similarity 0.8 with probability 3e-6
 BINS, ROWS = 252, 6
@@ -53,11 +58,11 @@ def bands(values: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, high long, low long, bands array<long>"
+SIGNED = "doc_id long, mark long, n_shingles long, high long, low long, bands array<long>"
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """Every document's set size, 128-bit digest of its set and bucket keys (none for an empty set)."""
+    """Every document's set size, 128-bit digest of its set and bucket keys (none for an empty set); ``mark`` is a hash of its text."""
     def work(batches):
         hashes, late = common.WordHashes(), borrowing()
         for batch in common.slices(batches):
@@ -65,14 +70,39 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 own = np.unique(common.shingles(text, hashes, width))
                 sizes.append(len(own))
-                digests.append(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64))
+                digests.append(digest(own))
                 keys.append(bands(signature(own, late)) if len(own) else np.empty(0, np.int64))
             high, low = np.array(digests).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(np.ascontiguousarray(high)), pa.array(np.ascontiguousarray(low)),
-                 common.list_array(np.concatenate(keys), [len(k) for k in keys], pa.int64())], names=["doc_id", "n_shingles", "high", "low", "bands"])
+                [batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(np.ascontiguousarray(high)), pa.array(np.ascontiguousarray(low)),
+                 common.list_array(np.concatenate(keys), [len(k) for k in keys], pa.int64())], names=["doc_id", "mark", "n_shingles", "high", "low", "bands"])
 
-    return common.texts_of(docs).mapInArrow(work, SIGNED)
+    return common.texts_of(docs).withColumn("mark", text_mark()).mapInArrow(work, SIGNED)
+
+
+def text_mark() -> Column:
+    """What tells rows of one id apart: a hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def digest(own: np.ndarray) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+
+
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """``node`` and its set of shingles (sorted distinct 64-bit hashes, as bytes), of nodes (node, doc_id, high, low)."""
+    def work(batches):
+        hashes = common.WordHashes()
+        for batch in common.slices(batches):
+            own = [np.unique(common.shingles(t, hashes, width)) for t in batch.column("text").to_pylist()]
+            high, low = np.array([digest(x) for x in own]).T
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.ascontiguousarray(high)), pa.array(np.ascontiguousarray(low)), pa.array([x.tobytes() for x in own], pa.binary())],
+                                             names=["doc_id", "high", "low", "shingles"])
+
+    # an id may stand for several texts: theirs are told apart by digest
+    texts = common.texts_of(docs).join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = texts.mapInArrow(work, "doc_id long, high long, low long, shingles binary").join(nodes.select("node", "doc_id", "high", "low"), ["doc_id", "high", "low"])
+    return found.groupBy("node").agg(F.first("shingles").alias("shingles")).select("node", "shingles")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,86 +126,139 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def linked(docs: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame | None:
-    """``node``, ``component`` of all nodes with a verified link; nodes are the least ids of equal sets."""
-    nodes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"))
-    keyed = base.join(nodes, ["doc_id", "high", "low"], "left_semi").select("doc_id", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last")).where("centre < last").select("bucket", "centre")
-    members, told = common.written_and_told(keyed.join(shared, "bucket").select("bucket", "doc_id", "centre"), "members", n=F.count(F.lit(1)))
+#: a centre's pairs are shared by so many groups, each of which gets the centre's set once
+SALTS = 1024
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 x intersection >= percent x union.
+
+    A set of ``a`` is sent once to each group of its pairs, not with every pair, so that a centre of
+    many costs no more than its members.
+    """
+    def work(batches):
+        centre, own = None, None
+        for batch in batches:
+            found = []
+            for a, salt, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b", "shingles"))):
+                x = np.frombuffer(raw, np.uint64)
+                if b is None:
+                    centre, own = (a, salt), x
+                elif centre == (a, salt) and 100 * min(len(x), len(own)) >= percent * max(len(x), len(own)):
+                    both = np.sort(np.concatenate([x, own]))
+                    shared = int((both[1:] == both[:-1]).sum())
+                    if 100 * shared >= percent * (len(both) - shared):
+                        found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    heads = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
+    tails = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "shingles")
+    return heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(work, "a long, b long")
+
+
+def linked(docs: DataFrame, base: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """``node``, ``component`` of all nodes with a verified link."""
+    keyed = base.where("n_shingles > 0").join(nodes.select("node", "doc_id", "high", "low"), ["doc_id", "high", "low"]).select("node", F.explode("bands").alias("bucket"))
+    shared = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
+    members, told = common.written_and_told(keyed.join(shared, "bucket").select("bucket", "node", "size").distinct(), "members", n=F.count(F.lit(1)))
     if not told["n"]:
         return None
-    sets = common.written(fingerprints.shingle_sets(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), width)
-                          .groupBy("doc_id", F.xxhash64("shingles")).agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles"), "sets")
-    tested = common.written(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    found = common.written(fingerprints.verified(tested, sets, percent).select("a", "b").distinct(), "links")
-    members, centres, steps = members.drop("centre"), 1, iter([1, *(8 * 16**k for k in range(12))])
-    while True:
-        more = next(steps)
-        labels = components(found)
-        placed = members.join(labels, members["doc_id"] == labels["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        # a bucket stays open while it has several components and members that have not been centres
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where((F.col("lo") < F.col("hi")) & (F.col("size") > max(2, centres)))
-        open_, told = common.written_and_told(placed.join(mixed.select("bucket"), "bucket"), "open", n=F.count(F.lit(1)))
-        if told["n"] and more > 1:
-            open_, told = common.written_and_told(can_link(open_, sets, percent), "open", n=F.count(F.lit(1)))
-        if not told["n"]:
-            return labels
-        centres = more
-        degree = found.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-        ranked = open_.join(degree, "doc_id", "left").withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy(F.coalesce("degree", F.lit(0)).desc(), "doc_id")))
-        chosen = ranked.where(F.col("place") <= centres).select("bucket", F.col("doc_id").alias("c"), F.col("component").alias("of"))
-        pairs = (open_.join(chosen, "bucket").where("component <> of").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        pairs = common.written(pairs, "pairs")
-        found = found.unionByName(common.written(fingerprints.verified(pairs, sets, percent).select("a", "b").distinct(), "links"))
-        members, tested = open_.select("bucket", "doc_id"), tested.unionByName(pairs)
-
-
-def can_link(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (bucket, doc_id, component) that may still have a link in their bucket to another component.
-
-    A link to a set of m shingles takes percent / (100 + percent) x (n + m) common ones.  Shingles
-    that no other open document has are common with none, and no partner is smaller than percent
-    of n or than the bucket's least set: documents left with too few can have no link there.
+    sets = common.written(sets_of(docs, nodes.join(members.select("node").distinct(), "node", "left_semi"), width), "sets")
+    common_ = members.groupBy("node").agg(F.sum("size").alias("total"))
+    rank = F.struct("total", (-F.col("node")).alias("least"), "node")
+    centres = members.join(common_, "node").groupBy("bucket").agg(F.max(rank).alias("c")).select("bucket", F.col("c.node").alias("centre"), F.col("c.total").alias("total"))
+    stars = common.written(members.join(centres, "bucket").select("bucket", "node", "centre", "total"), "stars")
+
+    first = stars.groupBy("node").agg(F.max(F.struct("total", (-F.col("centre")).alias("least"), "centre")).alias("c")).select(F.col("c.centre").alias("a"), F.col("node").alias("b"))
+    tested = common.written(first.where("a <> b"), "pairs")
+    found = common.written(verified(tested, sets, percent), "links")
+
+    def placed(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows (node, ...) with the component of the node."""
+        return rows.join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    def others(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several components."""
+        mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+        return rows.join(mixed.select("bucket"), "bucket")
+
+    open_, told = common.written_and_told(others(placed(stars.select("bucket", "node", "centre"), found)), "open", n=F.count(F.lit(1)))
+    if told["n"]:
+        # stars between components: the component of a centre is that of the bucket's row of it
+        of = open_.where("node = centre").select("bucket", F.col("component").alias("of"))
+        more = open_.join(of, "bucket").where("component <> of").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = common.written(more, "pairs")
+        tested = tested.unionByName(more)
+        found = found.unionByName(common.written(verified(more, sets, percent), "links"))
+        open_, told = common.written_and_told(others(placed(open_.select("bucket", "node"), found)), "open", n=F.count(F.lit(1)))
+    if told["n"]:
+        rest = common.written(candidates(open_, sets, percent, tested), "pairs")
+        found = found.unionByName(common.written(verified(rest, sets, percent), "links"))
+    return components(found)
+
+
+def candidates(open_: DataFrame, sets: DataFrame, percent: int, tested: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of open buckets (bucket, node, component) that may be linked, are in different components and were not tested.
+
+    Every pair of components of a bucket has a side outside the bucket's largest component, so it is
+    enough to look for partners of those nodes.  A link to a set of m shingles takes percent /
+    (100 + percent) x (n + m) common ones, and no partner is smaller than percent of n or than the
+    least set of the node's buckets.  Of the n - needed + 1 rarest shingles a partner holds at least
+    one; those that no other open node holds take their places first.
     """
     def work(batches):
         for batch in batches:
-            for doc_id, shingles in zip(batch.column("doc_id").to_pylist(), batch.column("shingles").to_pylist()):
-                own = np.frombuffer(shingles, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc_id)), pa.array(own)], names=["doc_id", "shingle"])
-
-    own = sets.join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    single = own.mapInArrow(work, "doc_id long, shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    single = single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("single"))
-    size = (F.octet_length("shingles") / 8).cast("long")
-    facts = own.select("doc_id", size.alias("n")).join(single, "doc_id", "left").groupBy("doc_id").agg(
-        F.min("n").alias("n"), F.max(F.col("n") - F.coalesce("single", F.lit(0))).alias("common"))
-    rows = members.join(facts, "doc_id")
-    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = rows.join(least, "bucket").where(F.col("common") * 100 * (100 + percent) >= percent * (100 * F.col("n") + F.greatest(100 * F.col("least"), percent * F.col("n"))))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return rows.join(mixed.select("bucket"), "bucket").select("bucket", "doc_id", "component")
+            for node, raw in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist()):
+                own = np.frombuffer(raw, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
+
+    sized = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    rows = open_.join(sized, "node")
+    per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
+    largest = per.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.min("least").alias("least")).select("bucket", F.col("top.component").alias("top"), "least")
+    probing = rows.join(largest, "bucket").where("component <> top").groupBy("node").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.min("component").alias("of"))
+    nodes = open_.select("node", "component").distinct()
+    shingles = common.written(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(work, "node long, shingle long"), "shingles")
+    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = common.written(shingles.join(held, "shingle").join(nodes, "node"), "shared")
+    up = lambda x, by: F.floor((x + by - 1) / by)
+    needed = up((F.col("n") + F.greatest(F.col("least"), up(F.col("n") * percent, 100))) * percent, 100 + percent)
+    # places left after the node's own shingles
+    mine = shared.join(probing, "node")
+    room = mine.groupBy("node").agg((F.count(F.lit(1)) - F.max(needed) + 1).alias("room")).where("room > 0")
+    order = Window.partitionBy("node").orderBy("df", "shingle")
+    rare = mine.join(room, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("room")).select(F.col("node").alias("i"), "shingle", "of", F.col("n").alias("n_i"))
+    met = rare.join(shared.select("shingle", F.col("node").alias("j"), "component"), "shingle").where((F.col("component") != F.col("of")))
+    pairs = met.select("i", "j", "n_i").distinct().join(sized.select(F.col("node").alias("j"), F.col("n").alias("n_j")), "j")
+    near = pairs.where(100 * F.least("n_i", "n_j") >= percent * F.greatest("n_i", "n_j")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    either = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return near.join(either, ["a", "b"], "left_anti")
 
 
 def neardup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` of every row.
+    """``doc_id``, ``n_shingles``, ``component_id``, ``kept``, ``mark``, ``component`` of every row.
 
     Words are ASCII lower-cased; documents are linked when 100 x intersection >= percent x union
-    of their shingle sets.  Null texts and texts without words have the empty set and stand
-    alone; rows that repeat an id are one node; a row without an id has no component and is
-    kept.  An empty table gives no row.  Sets are compared by 64-bit hashes of their shingles.
+    of their shingle sets.  ``component_id`` is the least id of the component.  Null texts and texts
+    without words have the empty set and stand alone; rows that repeat an id with different texts are
+    documents of their own, told apart by ``mark`` (a hash of the text); a row without an id has no
+    component and is kept.  ``component`` numbers components (null where a row stands alone).  An
+    empty table gives no row.  Sets are compared by 64-bit hashes of their shingles.
     """
     base = common.written(signed(docs, width), "signed")
-    nodes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("node"))
-    labels = linked(docs, base, width, percent)
-    out = base.select("doc_id", "n_shingles", "high", "low").join(nodes, ["high", "low"], "left")
-    if labels is None:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    else:
-        # a row's own id joins its node's component even where one id stands for several sets
-        out = out.join(labels, "node", "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "node", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    nodes = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("high", "low").agg(F.min("doc_id").alias("doc_id"))
+    nodes = common.written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    labels = linked(docs, base, nodes, width, percent)
+    placed = nodes if labels is None else nodes.join(labels, "node", "left")
+    placed = placed.withColumn("component", F.col("node") if labels is None else F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = placed.join(least, "component").select("high", "low", "component", "component_id")
+    known = F.col("doc_id").isNotNull()
+    out = base.select("doc_id", "mark", "n_shingles", "high", "low").join(named, ["high", "low"], "left")
+    out = out.select("doc_id", "n_shingles", F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"), "mark", F.when(known, F.col("component")).alias("component"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "mark", "component")
 
 
 def oracle(width: int, documents: str = "documents") -> str:

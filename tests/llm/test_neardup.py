@@ -37,6 +37,48 @@ def test_components_by_brute_force(spark, corpus, width):
     assert len({c for _, c in want.values()}) < len(want) - 40
 
 
+def group(rng, base, most):
+    """A copy of ``base`` with up to ``most`` changed words."""
+    words = list(base)
+    for _ in range(rng.randint(0, most)):
+        words[rng.randrange(len(words))] = "w%d" % rng.randrange(10**6)
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("hub", ["least", "late", "none"])
+def test_a_large_group_of_near_copies(spark, hub, monkeypatch):
+    """Copies of one text at all distances from it, whether the text itself is there or not."""
+    rng = random.Random(hub)
+    base = ["v%d" % k for k in range(110)]
+    texts = [group(rng, base, 9) for _ in range(260)] + [group(rng, ["u%d" % k for k in range(40)], 4) for _ in range(60)]
+    chain = ["c%d" % k for k in range(100)]
+    for k in range(14):
+        chain[k * 7] = "d%d" % k
+        texts.append(" ".join(chain))
+    if hub == "least":
+        texts.insert(0, " ".join(base))
+    elif hub == "late":
+        texts.append(" ".join(base))
+    rows = list(enumerate(texts))
+    seen = []
+    plain = neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *rest: (seen.append(pairs.count()), plain(pairs, *rest))[1])
+    got = neardup.neardup(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 4).collect()
+    want = brute(rows, 4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) < len(rows) and len(seen) >= 2
+    # candidates stay far below all pairs (56,000)
+    assert sum(seen) < 9000
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    base = " ".join("v%d" % k for k in range(60))
+    other = " ".join("o%d" % k for k in range(400))
+    rows = [(5, base), (5, other), (3, base + " end"), (9, other + " more"), (2, "alone it stands here"), (5, "")]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.neardup(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect())
+    assert got == [(2, 1, 2, True), (3, 58, 3, True), (5, 0, 5, True), (5, 57, 3, False), (5, 397, 5, True), (9, 398, 5, False)]
+
+
 def test_awkward_rows(docs, none):
     rows = neardup.neardup(docs).collect()
     assert len(rows) == docs.count()
