@@ -38,13 +38,24 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near duplicates (five words, similarity 0.8).
 
-    Rows that repeat an id are one document: the one of least text stays.  Rows without an id all stay.
+    Rows that repeat an id are documents of their own where their texts are no near duplicates; else
+    the one of least text hash stays.  Rows without an id all stay.
     """
-    out = neardup.neardup(docs).where("NOT kept").select("doc_id").distinct()
-    left = docs.join(out, docs["doc_id"].cast("long") == out["doc_id"], "left_anti")
-    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.struct(*[F.xxhash64(left[c]) for c in left.columns]))).orderBy(*[left[c] for c in ("text",)])
+    rows = common.written(neardup.neardup(docs).where("doc_id IS NOT NULL").select("doc_id", "mark", "component", "kept"), "rows")
+    # of rows with one id in one group (or of one text, where a row stands alone) the first
+    first = Window.partitionBy("doc_id", F.coalesce("component", "mark"), F.col("component").isNull()).orderBy("mark")
+    twice = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = rows.where("kept").join(twice, "doc_id", "left_semi").withColumn("place", F.row_number().over(first))
+    out = rows.where("NOT kept").select("doc_id", "mark").unionByName(again.where("place > 1").select("doc_id", "mark"))
+    # repeats of one text share a mark: they go together below, not here
+    out = out.join(again.where("place = 1").select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").distinct()
+    gone = (docs["doc_id"].cast("long") == out["doc_id"]) & (neardup.text_mark() == out["mark"])
+    left = docs.join(out, gone, "left_anti")
+    if twice.isEmpty():
+        return left
+    same = Window.partitionBy("doc_id", neardup.text_mark(), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())).orderBy(F.xxhash64(*[left[c] for c in left.columns]))
     place = "_".join([*left.columns, "place"])  # no column of the table has this name
-    return left.withColumn(place, F.row_number().over(same)).where(F.col(place).eqNullSafe(1) | F.col("doc_id").isNull()).drop(place)
+    return left.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(place)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
