@@ -192,7 +192,9 @@ def linked(docs: DataFrame, base: DataFrame, nodes: DataFrame, width: int, perce
         more = common.written(more, "pairs")
         tested = tested.unionByName(more)
         found = found.unionByName(common.written(verified(more, sets, percent), "links"))
-        open_, told = common.written_and_told(others(placed(open_.select("bucket", "node"), found)), "open", n=F.count(F.lit(1)))
+        # a centre has been tested with every member of its bucket: only pairs of others are left
+        rest = placed(open_.where("node <> centre").select("bucket", "node"), found)
+        open_, told = common.written_and_told(others(rest), "open", n=F.count(F.lit(1)))
     if told["n"]:
         rest = common.written(candidates(open_, sets, percent, tested), "pairs")
         found = found.unionByName(common.written(verified(rest, sets, percent), "links"))
@@ -206,7 +208,8 @@ def candidates(open_: DataFrame, sets: DataFrame, percent: int, tested: DataFram
     enough to look for partners of those nodes.  A link to a set of m shingles takes percent /
     (100 + percent) x (n + m) common ones, and no partner is smaller than percent of n or than the
     least set of the node's buckets.  Of the n - needed + 1 rarest shingles a partner holds at least
-    one; those that no other open node holds take their places first.
+    one; those that no other open node holds take their places first.  How many are needed depends on
+    the partner's size, so a shingle counts only where it stands early enough for that partner.
     """
     def work(batches):
         for batch in batches:
@@ -219,20 +222,23 @@ def candidates(open_: DataFrame, sets: DataFrame, percent: int, tested: DataFram
     per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
     largest = per.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.min("least").alias("least")).select("bucket", F.col("top.component").alias("top"), "least")
     probing = rows.join(largest, "bucket").where("component <> top").groupBy("node").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.min("component").alias("of"))
-    nodes = open_.select("node", "component").distinct()
+    nodes = rows.select("node", "component", F.col("n").alias("m")).distinct()
     shingles = common.written(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(work, "node long, shingle long"), "shingles")
     held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = common.written(shingles.join(held, "shingle").join(nodes, "node"), "shared")
     up = lambda x, by: F.floor((x + by - 1) / by)
-    needed = up((F.col("n") + F.greatest(F.col("least"), up(F.col("n") * percent, 100))) * percent, 100 + percent)
-    # places left after the node's own shingles
+    needed = lambda m: up((F.col("n") + m) * percent, 100 + percent)
+    fewest = needed(F.greatest(F.col("least"), up(F.col("n") * percent, 100)))
+    # the node's own shingles take the first places
     mine = shared.join(probing, "node")
-    room = mine.groupBy("node").agg((F.count(F.lit(1)) - F.max(needed) + 1).alias("room")).where("room > 0")
+    room = mine.groupBy("node").agg((F.max("n") - F.count(F.lit(1))).alias("own"), (F.max("n") - F.max(fewest) + 1).alias("room")).where("own < room")
     order = Window.partitionBy("node").orderBy("df", "shingle")
-    rare = mine.join(room, "node").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("room")).select(F.col("node").alias("i"), "shingle", "of", F.col("n").alias("n_i"))
-    met = rare.join(shared.select("shingle", F.col("node").alias("j"), "component"), "shingle").where((F.col("component") != F.col("of")))
-    pairs = met.select("i", "j", "n_i").distinct().join(sized.select(F.col("node").alias("j"), F.col("n").alias("n_j")), "j")
-    near = pairs.where(100 * F.least("n_i", "n_j") >= percent * F.greatest("n_i", "n_j")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    placed = mine.join(room, "node").withColumn("place", F.col("own") + F.row_number().over(order)).where(F.col("place") <= F.col("room"))
+    rare = placed.select(F.col("node").alias("i"), "shingle", "of", "n", "place")
+    others = shared.select(F.col("shingle").alias("s"), F.col("node").alias("j"), "component", "m")
+    early = (F.col("place") <= F.col("n") - needed(F.col("m")) + 1) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    met = rare.join(others, (F.col("shingle") == F.col("s")) & (F.col("component") != F.col("of")) & early)
+    near = met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     either = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return near.join(either, ["a", "b"], "left_anti")
 
