@@ -5,12 +5,14 @@ stands for at most n words of any kind.  Templates compile to token automata, wh
 every place where their first word stands; a label is given when all mandatory wording stands
 there word by word.  Templates of licence texts run to the end of their mandatory wording,
 conditions and disclaimer included, so a text that opens like one and goes on otherwise has no
-label; short notices and identifiers that name a licence are templates of their own.  Texts that lack the longest mandatory word of every phrase and template
-are counted but not cut into words.
+label; short notices and identifiers that name a licence are templates of their own.  A notice after
+"not" or "never" and an identifier that goes on ("MIT-0") give no label.  Texts that lack the longest
+mandatory word of every phrase and template are counted but not cut into words.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
 
@@ -68,7 +70,8 @@ TEMPLATES: dict[str, list[str]] = {
     "bsd-3-clause": [_bsd(_SOURCE, _BINARY, f"[[3]] [[c]] {_ENDORSEMENT}"), "spdx license identifier bsd 3 clause"],
     "bsd-4-clause": [_bsd(_SOURCE, _BINARY, _ADVERTISING, f"[[4]] [[d]] {_ENDORSEMENT}"), "spdx license identifier bsd 4 clause"],
     "gpl-3.0": ["licensed under the gnu general public license [[,]] version 3", "spdx license identifier gpl 3 0 [[only]] [[or later]]"],
-    "gpl-notice": ["this program is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] general public license as published by the free software foundation either version <<2>> of the license or at your option any later version"],
+    "gpl-notice": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version <<2>> of the license or at your option any later version"],
+    "lgpl-notice": ["this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version <<2>> of the license or at your option any later version"],
     "cc-by-4.0": ["licensed under [[a]] [[the]] [[creative commons]] cc by 4 0", "licensed under a creative commons attribution 4 0 international license"],
     "cc-by-sa-4.0": ["licensed under [[the]] cc by sa 4 0"],
     "cc-by-nc-4.0": ["licensed under [[the]] cc by nc 4 0"],
@@ -136,6 +139,12 @@ class Automaton:
         return end
 
 
+#: a notice that begins with one of these words says the contrary after one of those
+_NOTICE, _DENIED = {b"released", b"licensed"}, {b"not", b"never"}
+#: what stands after the last word of an identifier that goes on
+_GOES_ON = re.compile(rb"[-.+_]+[a-z0-9]")
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], templates: dict[str, list[str]]):
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
@@ -155,13 +164,20 @@ class Scanner:
             mask = _IS_WORD[np.frombuffer(low, np.uint8)]
             return int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(len(mask) > 0 and mask[0]), []
         words, found = _WORD.findall(low), []
+
+        def whole_identifier(end: int) -> bool:
+            """Whether an identifier ends with word ``end - 1``: "MIT-0" and "MIT.x" go on."""
+            last = next(itertools.islice(_WORD.finditer(low), end - 1, None)).end()
+            return _GOES_ON.match(low, last) is None
+
         for at, word in enumerate(words):
             for what, label, base in self.by_first.get(word, ()):
                 if base:
                     if words[at:at + len(what)] == what:
                         found.append((label, at, at + len(what), True))
-                elif (end := what.end_of_match(words, at)) >= 0:
-                    found.append((label, at, end, False))
+                elif not (at and words[at - 1] in _DENIED and word in _NOTICE) and (end := what.end_of_match(words, at)) >= 0:
+                    if word != b"spdx" or whole_identifier(end):
+                        found.append((label, at, end, False))
         return len(words), found
 
 

@@ -103,6 +103,11 @@ def measure(docs: DataFrame, path: str, size: int, keep_ids: bool) -> DataFrame:
 
 def knapsack(sizes: np.ndarray, values: np.ndarray, size: int) -> tuple[float, Counter]:
     """The fullest worth of items (each as often as wished) that fit into ``size``, and which they are."""
+    return fillings(sizes, values, size, 1)[0]
+
+
+def fillings(sizes: np.ndarray, values: np.ndarray, size: int, most: int) -> list[tuple[float, Counter]]:
+    """The best filling of all, then up to ``most`` in all the best that hold other items."""
     best, pick = np.zeros(size + 1), np.full(size + 1, -1)
     fits = np.searchsorted(sizes, np.arange(size + 1), "right")
     for room in range(1, size + 1):
@@ -112,14 +117,22 @@ def knapsack(sizes: np.ndarray, values: np.ndarray, size: int) -> tuple[float, C
             j = int(worth.argmax())
             if worth[j] > best[room] + 1e-12:
                 best[room], pick[room] = worth[j], j
-    room, chosen = size, Counter()
-    while room > 0:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            chosen[int(pick[room])] += 1
-            room -= sizes[pick[room]]
-    return float(best[size]), chosen
+
+    def filling(room: int, chosen: Counter) -> Counter:
+        while room > 0:
+            if pick[room] < 0:
+                room -= 1
+            else:
+                chosen[int(pick[room])] += 1
+                room -= sizes[pick[room]]
+        return chosen
+
+    found = [(float(best[size]), filling(size, Counter()))]
+    holding = best[size - sizes] + values
+    for j in np.argsort(-holding, kind="stable")[:4 * most]:
+        if len(found) < most and not any(int(j) in c for _, c in found):
+            found.append((float(holding[j]), filling(size - int(sizes[j]), Counter([int(j)]))))
+    return found
 
 
 def first_patterns(counts: dict[int, int], size: int) -> list[tuple[dict[int, int], bool]]:
@@ -152,12 +165,19 @@ def first_patterns(counts: dict[int, int], size: int) -> list[tuple[dict[int, in
     return [columns[r] for r in sorted(counts)]
 
 
-def solve(counts: dict[int, int], size: int, rounds: int = 300, enough: float = 0.001) -> list[tuple[dict[int, int], float, bool]]:
+#: columns priced at a time, and entered before the basis is inverted anew; how much prices keep of those with the best bound
+PRICED, REFACTOR, KEPT = 8, 64, 0.8
+
+
+def solve(counts: dict[int, int], size: int, enough: float = 0.005, told: dict | None = None) -> list[tuple[dict[int, int], float, bool]]:
     """Patterns with how often the linear program uses each; the third value marks cut rests.
 
     A sequence costs 1 + PADDING x its padding (a share of ``size``); a rest cut into powers of
-    two costs its own length plus EACH per sequence.  Stops when no pattern is worth more than
-    ``1 + enough``, which bounds what is lost, or after ``rounds`` columns.
+    two costs its own length plus EACH per sequence.  Columns are entered, however many it takes,
+    until the cost is within ``enough`` of a lower bound: prices under which no column is worth more
+    than ``k`` times its cost show that no solution costs less than what they pay over ``k``.  Columns
+    are priced near the prices of the best bound so far, which keeps them from swinging.  ``told`` is
+    given the bound, the number of columns, the cost and how far the demand is missed.
     """
     sizes = np.array(sorted(counts), np.int64)
     m, place = len(sizes), {s: k for k, s in enumerate(sorted(counts))}
@@ -172,35 +192,57 @@ def solve(counts: dict[int, int], size: int, rounds: int = 300, enough: float =
         filled = sum(s * k for s, k in pattern.items())
         return filled / size + EACH * sum(k * len(parts_of(s)) for s, k in pattern.items()) if cut else 1 + PADDING * (size - filled) / size
 
-    demand = np.array([counts[s] for s in sizes.tolist()], float)
+    exact = np.array([counts[s] for s in sizes.tolist()], float)
+    # demands a hair apart let no two patterns run out at once, so every column entered lowers the cost
+    demand = exact * (1 + 1e-9 * np.arange(1, m + 1) / m)
     columns = first_patterns(counts, size)
-    inverse = np.linalg.inv(np.stack([column_of(p) for p, _ in columns], axis=1))
-    x = inverse @ demand
-    x, cost = np.maximum(x, 0), np.array([cost_of(*c) for c in columns])
-    for _ in range(rounds):
+    cost = np.array([cost_of(*c) for c in columns])
+    alone = np.array([s / size + EACH * len(parts_of(s)) for s in sizes.tolist()])
+    inverse, x, entered, bound, centre, kept = None, None, 0, 0.0, None, KEPT
+    while True:
+        if inverse is None or entered % REFACTOR < PRICED:
+            inverse = np.linalg.inv(np.stack([column_of(p) for p, _ in columns], axis=1))
+            x = np.maximum(inverse @ demand, 0)
         duals = cost @ inverse
-        alone = np.array([s / size + EACH * len(parts_of(s)) for s in sizes.tolist()])
-        worth, chosen = knapsack(sizes, duals + PADDING * sizes / size, size)
+        prices = duals if centre is None else kept * centre + (1 - kept) * duals
         single = int((duals - alone).argmax())
-        if duals[single] - alone[single] > worth - 1 - PADDING:
-            entering = ({int(sizes[single]): 1}, True)
-        else:
-            entering = ({int(sizes[j]): k for j, k in chosen.items()}, False)
-        column = column_of(entering[0])
-        if duals @ column - cost_of(*entering) <= enough:
+        full = fillings(sizes, prices + PADDING * sizes / size, size, PRICED)
+        # a filled sequence costs one at least, so this is the most that a column is worth of its cost
+        k = max(full[0][0] - PADDING, float((prices / alone).max()), 1e-9)
+        if prices @ demand / k > bound:
+            bound, centre = float(prices @ demand / k), prices
+        if cost @ x <= bound * (1 + enough):
             break
-        d = inverse @ column
-        ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
-        row = int(ratio.argmin())
-        if not np.isfinite(ratio[row]):
-            break
-        step = ratio[row]
-        x = np.maximum(x - step * d, 0)
-        x[row] = step
-        pivot = inverse[row] / d[row]
-        inverse -= np.outer(d, pivot)
-        inverse[row] = pivot
-        cost[row], columns[row] = cost_of(*entering), entering
+        offers = [({int(sizes[single]): 1}, True)]
+        offers += [({int(sizes[j]): n for j, n in chosen.items()}, False) for _, chosen in full if chosen]
+        before = entered
+        for pattern, cut in offers:
+            d = inverse @ column_of(pattern)
+            # worth its cost at the prices of this moment, which move with every column
+            if cost @ d - cost_of(pattern, cut) <= 1e-9:
+                continue
+            ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
+            row = int(ratio.argmin())
+            if not np.isfinite(ratio[row]):
+                continue
+            step = ratio[row]
+            x = np.maximum(x - step * d, 0)
+            x[row] = step
+            pivot = inverse[row] / d[row]
+            inverse -= np.outer(d, pivot)
+            inverse[row] = pivot
+            cost[row], columns[row] = cost_of(pattern, cut), (pattern, cut)
+            entered += 1
+        if entered > before:
+            kept = KEPT
+        elif kept:
+            kept = 0.0  # nothing near the old prices: price at the current ones
+        else:
+            raise ArithmeticError(f"cost {cost @ x:.6g} above the bound {bound:.6g}, and no column can be entered")
+    basis = np.stack([column_of(p) for p, _ in columns], axis=1)
+    x = np.maximum(np.linalg.solve(basis, exact), 0)
+    if told is not None:
+        told |= {"bound": bound, "columns": entered, "cost": float(cost @ x), "missed": float(np.abs(basis @ x - exact).max())}
     return [(p, float(v), cut) for (p, cut), v in zip(columns, x)]
 
 

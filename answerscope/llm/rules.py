@@ -19,11 +19,13 @@ LOST = 0.3
 REPEAT_WORDS = 8
 #: the most words of a line that a boilerplate phrase condemns
 BOILERPLATE_WORDS = 15
-BOILERPLATE = (r"(?i)(all rights reserved|privacy policy|cookie policy|uses cookies|terms of (use|service)|click here|"
-               r"sign (up|in)|log ?in|subscribe|javascript|lorem ipsum|powered by|skip to content|share this)")
+BOILERPLATE = (r"(?i)(?<![a-z0-9_])(all rights reserved|privacy policy|cookie policy|uses cookies|terms of (use|service)|click here|"
+               r"sign (up|in)|log ?in|subscribe|javascript|lorem ipsum|powered by|skip to content|share this)(?![a-z0-9_])")
 SYMBOL = r"[#*$%&|<>]"
 SEPARATOR = r"[|>\x{2022}\x{00BB}\x{203A}]"
-ENDING = r"[.!?:;,\x{2026}\x{3002}\x{FF01}\x{FF1F}]"
+#: marks that end or divide sentences: ASCII, ellipsis, Armenian, Hebrew, Arabic, Devanagari, Burmese, Ethiopic, Khmer, CJK, full width
+MARKS = r".!?:;,\x{2026}\x{0589}\x{05C3}\x{060C}\x{061B}\x{061F}\x{06D4}\x{0964}\x{0965}\x{104A}\x{104B}\x{1362}-\x{1368}\x{17D4}\x{17D5}\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}"
+ENDING = f"[{MARKS}]"
 
 
 def line_fails(line: Column, words: Column, symbols: Column, separated: Column) -> Column:
@@ -127,13 +129,11 @@ rule_good AS (
     len(regexp_extract_all(line, '[#*$%&|<>]')) * 3 > words
     OR (len(regexp_extract_all(line, '[|•»›>]')) >= 3 AND len(regexp_extract_all(line, '[|•»›>]')) * 3 >= words)
     OR (words >= 5 AND len(regexp_extract_all(line, '\p{Lu}')) * 5 > letters * 3)
-    OR (words <= 15 AND regexp_matches(line, '(?i)(all rights reserved|privacy policy|cookie policy|uses cookies|terms of (use|service)|click here|sign (up|in)|log ?in|subscribe|javascript|lorem ipsum|powered by|skip to content|share this)'))
+    OR (words <= 15 AND regexp_matches(line, '(?i)\b(all rights reserved|privacy policy|cookie policy|uses cookies|terms of (use|service)|click here|sign (up|in)|log ?in|subscribe|javascript|lorem ipsum|powered by|skip to content|share this)\b'))
     OR NOT regexp_matches(line, '[\p{L}\p{N}]')
-    OR (words >= 5 AND NOT regexp_matches(line, '[.!?:;,…。！？]'))))),
-rule_repeats AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM rule_good WHERE words >= 8 GROUP BY doc_id, line HAVING count(*) > 1)),
+    OR (words >= 5 AND NOT regexp_matches(line, '[MARKS]'))))),
 rule_clean AS (
-  SELECT doc_id, place, line, words FROM rule_good WHERE doc_id NOT IN (FROM rule_repeats)
-  UNION ALL SELECT doc_id, min(place), line, min(words) FROM rule_good WHERE doc_id IN (FROM rule_repeats) GROUP BY doc_id, line),
+  SELECT doc_id, place, line, words FROM rule_good QUALIFY words < 8 OR row_number() OVER (PARTITION BY doc_id, line ORDER BY place) = 1),
 rule_left AS (SELECT doc_id, sum(words) AS left_words, string_agg(line, chr(10) ORDER BY place) AS cleaned FROM rule_clean GROUP BY doc_id),
 rule_windows AS (
   SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM rule_docs),
@@ -146,5 +146,5 @@ rules AS (
       SELECT d.doc_id, len(d.w) AS n_words, length(array_to_string(d.w, '')) AS word_chars, len(regexp_extract_all(d.t, '[#*$%&|<>]')) AS n_symbols,
         coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, l.left_words, coalesce(l.cleaned, '') AS cleaned
       FROM rule_docs d LEFT JOIN rule_dups u USING (doc_id) LEFT JOIN rule_covered c USING (doc_id) LEFT JOIN rule_left l USING (doc_id))))
-"""
+""".replace("MARKS", MARKS)
 ORACLE = f"WITH {RULES_SQL} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_words FROM rules"

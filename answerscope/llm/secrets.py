@@ -61,11 +61,13 @@ RULES = [
     ("access", ["akia"], re.compile(rb"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
     ("github", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], re.compile(rb"(gh[pousr]_)([0-9A-Za-z]{36})(?![0-9A-Za-z])"), _checksum),
     ("npm", ["npm_"], re.compile(rb"(npm_)([0-9A-Za-z]{36})(?![0-9A-Za-z])"), _checksum),
-    ("jwt", ["eyj"], re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _header),
+    ("jwt", ["eyj"], re.compile(rb"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"), _header),
     ("pem", ["-----begin "], re.compile(rb"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----"), _key),
+    # these kinds have no checksum: their form alone is checked
     ("google", ["aiza"], re.compile(rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), lambda m: True),
     ("slack", ["xox"], re.compile(rb"xox[abprs]-[0-9]{8,}-[0-9A-Za-z-]{16,}"), lambda m: True),
 ]
+JWT, _PART = next(k for k, r in enumerate(RULES) if r[0] == "jwt"), re.compile(rb"[A-Za-z0-9_-]+")
 
 
 class Scanner:
@@ -84,7 +86,13 @@ class Scanner:
         found, done = [], [0] * len(RULES)
         for last, (rule, size) in self.automaton.iter(data.lower().decode("latin-1")):
             start = last + 1 - size
-            if start >= done[rule] and (m := RULES[rule][2].match(data, start)):
+            if start < done[rule]:
+                continue
+            if not (m := RULES[rule][2].match(data, start)):
+                if rule == JWT and data[start:start + 3] == b"eyJ":
+                    # what follows this run of characters is the same for all hits in it: none of them matches
+                    done[rule] = _PART.match(data, start).end()
+            else:
                 done[rule] = m.end()
                 if RULES[rule][3](m):
                     found.append((start, m.end(), RULES[rule][0]))
@@ -106,14 +114,14 @@ def hex_runs(data: bytes, least: int = 32) -> list[tuple[int, int]]:
     near = every[:len(every) - n + 1].copy()
     for k in range(1, n):
         near &= every[k:len(every) - n + 1 + k]
-    runs, done = [], 0
+    runs, done, ends = [], 0, None
     for k in np.flatnonzero(near).tolist():
         if 8 * k < done:
             continue
-        before = np.flatnonzero(~mask[max(0, 8 * k - 8):8 * k])
-        start = max(0, 8 * k - 8) + (int(before[-1]) + 1 if len(before) else 0)
-        stop = np.flatnonzero(~mask[8 * k:])
-        done = 8 * k + int(stop[0]) if len(stop) else len(mask)
+        if ends is None:
+            ends = np.flatnonzero(~mask)  # found once: looking for the next end from every place would read the text again and again
+        i = int(np.searchsorted(ends, 8 * k))
+        start, done = int(ends[i - 1]) + 1 if i else 0, int(ends[i]) if i < len(ends) else len(mask)
         if done - start >= least:
             runs.append((start, done))
     return runs

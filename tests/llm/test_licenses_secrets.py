@@ -113,3 +113,48 @@ def test_hex_runs(n):
     for shift in range(17):
         data = b"x" * shift + b"a" * n + b"z" + b"0" * 31 + b"y"
         assert secrets.hex_runs(data) == ([(shift, shift + n)] if n >= 32 else [])
+
+
+@pytest.mark.parametrize("text,labels", [
+    ("SPDX-License-Identifier: MIT", ["mit"]), ("SPDX-License-Identifier: MIT-0", []), ("# SPDX-License-Identifier: BSD-3-Clause-Clear", []), ("SPDX-License-Identifier: BSD-3-Clause\n\n-x", ["bsd-3-clause"]),
+    ("SPDX-License-Identifier: GPL-3.0-only", ["gpl-3.0"]), ("SPDX-License-Identifier: MIT. Then more", ["mit"]), ("é é SPDX-License-Identifier: ISC", ["isc"]),
+    ("This is not released under the MIT license.", []), ("It was never licensed under the MIT license", []), ("Now released under the MIT license.", ["mit"])])
+def test_identifiers_and_denials(text, labels):
+    assert sorted({x for x, *_, base in licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)(text)[1] if not base}) == labels
+
+
+@pytest.mark.parametrize("name", ["general", "lesser general"])
+def test_lesser_licence_is_another(name):
+    text = (f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} Public License as published by the Free Software Foundation, "
+            "either version 3 of the License, or (at your option) any later version.")
+    found = {x for x, *_, base in licenses.Scanner(licenses.PHRASES, licenses.TEMPLATES)(text)[1] if not base}
+    assert found == {"gpl-notice" if name == "general" else "lgpl-notice"}
+
+
+@pytest.mark.parametrize("text,spans", [
+    ("x AIza" + "x" * 35 + " y", [(2, 41, "google")]), ("AIza" + "x" * 36, []), ("é xoxb-12345678-" + "Ab1-" * 4 + ".", [(2, 32, "slack")]), ("xoxb-1234567-" + "x" * 16, []),
+    ("-----BEGIN EC PRIVATE KEY-----\nQUJD\n-----END EC PRIVATE KEY-----", [(0, 64, "pem")]), ("-----BEGIN EC PRIVATE KEY-----\nQUJ\n-----END EC PRIVATE KEY-----", [])])
+def test_spans_beyond_the_base(text, spans):
+    assert secrets.Scanner()(text) == spans
+
+
+def test_tokens_inside_one_run():
+    """A hit inside the run of one that failed is not tried; a later run is."""
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    good = head + ".eyJ4Ijox.abc"
+    assert secrets.Scanner()("eyJeyJeyJ " + good) == [(10, 10 + len(good), "jwt")]
+    assert secrets.Scanner()("EYJx" + good) == [(4, 4 + len(good), "jwt")]
+    assert secrets.Scanner()("eyJaa.eyJbb " + good) == [(12, 12 + len(good), "jwt")]
+
+
+def test_very_long_texts_take_linear_time():
+    import time
+    scan = secrets.Scanner()
+    for unit in ("eyJ", "eyJa.", "eyJa.eyJ", "token", "password ", "-----BEGIN ", "AKIA", "ghp_", "xoxb-"):
+        took = []
+        for n in (200_000, 1_600_000):
+            text = unit * (n // len(unit))
+            start = time.perf_counter()
+            scan(text)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 24 * took[0] + 2, (unit, took)

@@ -54,3 +54,32 @@ def test_repeats_are_judged_line_by_line(spark):
         assert got[k]["cleaned"] == "\n".join(stays)
         assert got[k]["lost_words"] == sum(len(x.split()) for x in lines) - sum(len(x.split()) for x in stays)
     assert got[1]["lost_words"] == 32 and got[2]["lost_words"] == 12 and got[2]["kept"]
+
+
+def test_phrases_are_whole_words_and_marks_of_all_scripts(spark):
+    rng = random.Random(8)
+    line = lambda n, end=".": " ".join("".join(rng.choice("aeiou") + rng.choice("dnrst") for _ in range(3)) for _ in range(n)) + end
+    body = [line(12) for _ in range(20)]
+    stays = ["The design in question was approved.", "See the catalog in the library.", "A dialog in two parts.", "unsubscribed", line(6, "।"), line(6, "؟"), line(6, "。"), line(6, "։")]
+    goes = ["Please sign in now.", "Log in", "Subscribe!", "powered by something", line(6, "")]
+    cleaned = rules.rules(spark.createDataFrame([(1, "\n".join(body + stays + goes))], "doc_id long, text string")).collect()[0]["cleaned"].split("\n")
+    assert cleaned == body + stays
+
+
+def test_sql_follows_refrains(spark, tmp_path):
+    """The SQL of the query over texts with repeated long, short and blank lines."""
+    import duckdb
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choice("aeiou") + rng.choice("dnrst") for _ in range(3)) for _ in range(n)) + "."
+    texts = []
+    for k in range(40):
+        lines = [line(rng.randint(1, 14)) for _ in range(14)]
+        texts.append("\n".join(rng.choice([*lines, "", "Yes.", "home | a | b | c"]) for _ in range(60)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    cur = con.execute(rules.ORACLE)
+    names = [c[0] for c in cur.description]
+    want = sorted(cur.fetchall(), key=lambda r: r[names.index("doc_id")])
+    got = sorted(rules.verdicts(df).collect(), key=lambda r: r["doc_id"])
+    assert [tuple(r[n] for n in names) for r in got] == want and len({r["lost_words"] for r in got}) > 5
