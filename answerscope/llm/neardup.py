@@ -224,7 +224,7 @@ def candidates(open_: DataFrame, sets: DataFrame, percent: int, tested: DataFram
     probing = rows.join(largest, "bucket").where("component <> top").groupBy("node").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.min("component").alias("of"))
     nodes = rows.select("node", "component", F.col("n").alias("m")).distinct()
     shingles = common.written(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(work, "node long, shingle long"), "shingles")
-    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("node")).alias("list")).where("df > 1")
     shared = common.written(shingles.join(held, "shingle").join(nodes, "node"), "shared")
     up = lambda x, by: F.floor((x + by - 1) / by)
     needed = lambda m: up((F.col("n") + m) * percent, 100 + percent)
@@ -234,7 +234,9 @@ def candidates(open_: DataFrame, sets: DataFrame, percent: int, tested: DataFram
     room = mine.groupBy("node").agg((F.max("n") - F.count(F.lit(1))).alias("own"), (F.max("n") - F.max(fewest) + 1).alias("room")).where("own < room")
     order = Window.partitionBy("node").orderBy("df", "shingle")
     placed = mine.join(room, "node").withColumn("place", F.col("own") + F.row_number().over(order)).where(F.col("place") <= F.col("room"))
-    rare = placed.select(F.col("node").alias("i"), "shingle", "of", "n", "place")
+    # one changed word changes several shingles, all held by the same nodes: the first of them finds what the others would
+    first = placed.groupBy("node", "df", "list").agg(F.min(F.struct("place", "shingle")).alias("first"), F.min("of").alias("of"), F.min("n").alias("n"))
+    rare = first.select(F.col("node").alias("i"), "first.place", "first.shingle", "of", "n")
     others = shared.select(F.col("shingle").alias("s"), F.col("node").alias("j"), "component", "m")
     early = (F.col("place") <= F.col("n") - needed(F.col("m")) + 1) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
     met = rare.join(others, (F.col("shingle") == F.col("s")) & (F.col("component") != F.col("of")) & early)
