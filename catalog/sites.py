@@ -247,13 +247,13 @@ def i27_evidence_sites(spark, d):
 
 
 _LISTED = rf"""{LINKS}, types(k, nth, t) AS (VALUES (0, 0, 'Organization'), (1, 0, 'Product'), (1, 1, 'Service'), (1, 2, 'Thing'), (2, 0, 'FAQPage'), (2, 1, 'Article'), (3, 0, 'LocalBusiness'), (5, 0, 'QAPage'), (6, 0, 'Dentist')),
- seen AS (SELECT host, 'jsonld-present' AS check_id, t AS value, 0 AS tier, page_ord AS at, nth FROM v_rich JOIN types ON k = page_id % 9
+ seen AS (SELECT host, 'jsonld-present' AS check_id, t AS value, 0 AS tier, page_ord AS spot, nth FROM v_rich JOIN types ON k = page_id % 9
   UNION ALL SELECT host, 'entity-schema', t, 0, page_ord, nth FROM v_rich JOIN types ON k = page_id % 9 WHERE t IN ('Organization', 'LocalBusiness', 'Dentist')
   UNION ALL SELECT host, 'comparison-content', url, 0, page_ord, 0 FROM v_rich WHERE regexp_matches(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '{COMPARE_RX}')
   UNION ALL SELECT host, 'comparison-content', origin || '/compare/' || i, 1, i, 0 FROM (SELECT host, origin, unnest(range(1, n_sitemap + 1)) AS i FROM v_sites) t WHERE i % 8 = 5
   UNION ALL SELECT l.host, 'third-party-signals', regexp_extract(u, '^https?://(?:www[.])?(?:[^/]*[.])?((?:g2|reddit)[.]com)(?:/|$)', 1), 0, page_ord, i FROM links l JOIN v_rich USING (page_id)
   UNION ALL SELECT host, 'third-party-signals', unnest(['linkedin.com', 'social.example']), 1, page_ord, unnest([0, 1]) FROM v_rich WHERE page_id % 9 = 0),
- once AS (SELECT host, check_id, value, min(tier * 1000000000000 + at * 100000 + nth) AS place FROM seen WHERE value <> '' GROUP BY ALL),
+ once AS (SELECT host, check_id, value, min(tier * 1000000000000 + spot * 100000 + nth) AS place FROM seen WHERE value <> '' GROUP BY ALL),
  r AS (SELECT *, row_number() OVER (PARTITION BY host, check_id ORDER BY place) AS k FROM once)"""
 
 
@@ -264,11 +264,11 @@ def i27_evidence_listed(spark, d):
 
 
 @query("i27_evidence_measured", rf"""WITH {lead_sql(25)}, w AS (SELECT host, {WORDS} AS words FROM v_rich WHERE {OKP}),
- dts AS (SELECT host, CASE page_id % 9 WHEN 2 THEN TIMESTAMP '2023-11-05' WHEN 5 THEN TIMESTAMP '2024-01-10 08:00:00' END AS at FROM v_rich
+ dts AS (SELECT host, CASE page_id % 9 WHEN 2 THEN TIMESTAMP '2023-11-05' WHEN 5 THEN TIMESTAMP '2024-01-10 08:00:00' END AS stamp FROM v_rich
   UNION ALL SELECT host, CAST('2024-01-' || CAST(10 + page_id % 20 AS VARCHAR) AS TIMESTAMP) FROM v_rich WHERE page_id % 7 = 3)
  SELECT host, 'response-speed' AS check_id, 'ms ' || floor(avg(latency_ms) + 0.5)::BIGINT || ' | pages ' || count(*) AS evidence FROM v_rich WHERE {OKP} AND latency_ms > 0 GROUP BY host
  UNION ALL SELECT host, 'content-depth', 'median ' || list_sort(list(words))[CAST(floor(count(*) / 2) AS INTEGER) + 1] || ' | under 300 ' || count(*) FILTER (WHERE words < 300) FROM w GROUP BY host
- UNION ALL SELECT host, 'freshness', 'newest ' || strftime(max(at), '%Y-%m-%d') || ' | dates ' || count(at) FROM dts GROUP BY host HAVING count(at) > 0
+ UNION ALL SELECT host, 'freshness', 'newest ' || strftime(max(stamp), '%Y-%m-%d') || ' | dates ' || count(stamp) FROM dts GROUP BY host HAVING count(stamp) > 0
  UNION ALL SELECT v.host, 'entity-clarity', lead FROM v_rich v JOIN lead l ON l.page_id = v.page_id WHERE v.page_ord = 0 AND {OKP}""")
 def i27_evidence_measured(spark, d):
     """Figures behind the scores of each host: response time, depth, dates, the home page's first words."""
