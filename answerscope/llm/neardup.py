@@ -8,15 +8,17 @@ verified on full sets.  The centre of a bucket is the node that shares most buck
 others.  First every node is tested with one centre, that of the bucket whose centre is the most
 common; then with its other centres, where these are in another component by then.
 
-A bucket that still holds several components is left to an exact way: of the nodes outside its
-largest component the rarest shingles are looked up among all nodes of such buckets, as many of
-each node as any partner must share one of.  Work is linear in members but for these lists, whose
-shingles are rare because the common ones have made a node a member of the star.  No bucket is
-capped and none is gathered in a task.
+A bucket that still holds several components is left to an exact way: nodes of such buckets meet by
+their rarest shingles, as many of each node as any partner must share one of, where these are rare
+enough in both and the sizes of both allow it.  Work is linear in members but for these lists, which
+pair a component's nodes only with those of others.  No bucket is capped and none is gathered in a
+task.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -201,15 +203,20 @@ def linked(docs: DataFrame, base: DataFrame, nodes: DataFrame, width: int, perce
     return components(found)
 
 
+#: sizes within this factor share a band; candidates meet where each is in a band the other allows
+BAND = 1.1
+
+
 def candidates(open_: DataFrame, sets: DataFrame, percent: int, tested: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of open buckets (bucket, node, component) that may be linked, are in different components and were not tested.
 
-    Every pair of components of a bucket has a side outside the bucket's largest component, so it is
-    enough to look for partners of those nodes.  A link to a set of m shingles takes percent /
-    (100 + percent) x (n + m) common ones, and no partner is smaller than percent of n or than the
-    least set of the node's buckets.  Of the n - needed + 1 rarest shingles a partner holds at least
-    one; those that no other open node holds take their places first.  How many are needed depends on
-    the partner's size, so a shingle counts only where it stands early enough for that partner.
+    All nodes order shingles alike: those held by fewer nodes first, those held by the same nodes
+    (one changed word changes several) side by side as one run.  The first run that two nodes have in
+    common starts early in both: they share no more than what either has from there on, and a link to
+    a set of m shingles takes percent / (100 + percent) x (n + m) common ones.  So a run of a node
+    tells which sizes of a partner it may be the first common run with; runs too late for any size
+    are left out, and two nodes meet where both allow the other's size.  Of the components that hold
+    a run every pair has a side outside the largest, so one side is always such a node.
     """
     def work(batches):
         for batch in batches:
@@ -218,28 +225,25 @@ def candidates(open_: DataFrame, sets: DataFrame, percent: int, tested: DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), node)), pa.array(own)], names=["node", "shingle"])
 
     sized = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"))
-    rows = open_.join(sized, "node")
-    per = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("least"))
-    largest = per.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.min("least").alias("least")).select("bucket", F.col("top.component").alias("top"), "least")
-    probing = rows.join(largest, "bucket").where("component <> top").groupBy("node").agg(F.min("n").alias("n"), F.min("least").alias("least"), F.min("component").alias("of"))
-    nodes = rows.select("node", "component", F.col("n").alias("m")).distinct()
+    nodes = open_.select("node", "component").distinct().join(sized, "node")
     shingles = common.written(sets.join(nodes.select("node"), "node", "left_semi").mapInArrow(work, "node long, shingle long"), "shingles")
     held = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.bit_xor(F.xxhash64("node")).alias("list")).where("df > 1")
-    shared = common.written(shingles.join(held, "shingle").join(nodes, "node"), "shared")
-    up = lambda x, by: F.floor((x + by - 1) / by)
-    needed = lambda m: up((F.col("n") + m) * percent, 100 + percent)
-    fewest = needed(F.greatest(F.col("least"), up(F.col("n") * percent, 100)))
-    # the node's own shingles take the first places
-    mine = shared.join(probing, "node")
-    room = mine.groupBy("node").agg((F.max("n") - F.count(F.lit(1))).alias("own"), (F.max("n") - F.max(fewest) + 1).alias("room")).where("own < room")
-    order = Window.partitionBy("node").orderBy("df", "shingle")
-    placed = mine.join(room, "node").withColumn("place", F.col("own") + F.row_number().over(order)).where(F.col("place") <= F.col("room"))
-    # one changed word changes several shingles, all held by the same nodes: the first of them finds what the others would
-    first = placed.groupBy("node", "df", "list").agg(F.min(F.struct("place", "shingle")).alias("first"), F.min("of").alias("of"), F.min("n").alias("n"))
-    rare = first.select(F.col("node").alias("i"), "first.place", "first.shingle", "of", "n")
-    others = shared.select(F.col("shingle").alias("s"), F.col("node").alias("j"), "component", "m")
-    early = (F.col("place") <= F.col("n") - needed(F.col("m")) + 1) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    met = rare.join(others, (F.col("shingle") == F.col("s")) & (F.col("component") != F.col("of")) & early)
+    runs = shingles.join(held, "shingle").groupBy("node", "df", "list").agg(F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("length"))
+    # shingles of the run and of all later ones: what a pair that first meets here can share at most
+    later = Window.partitionBy("node").orderBy(F.desc("df"), F.desc("list")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.join(nodes, "node").withColumn("most_shared", F.sum("length").over(later))
+    least = F.ceil(F.col("n") * percent / 100)
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("most_shared") * (100 + percent) / percent) - F.col("n"))
+    early = common.written(runs.select("shingle", "node", "component", "n", least.alias("least"), most.alias("most")).where("least <= most"), "runs")
+    per = early.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("size"))
+    mixed = per.groupBy("shingle").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    band = lambda size: F.floor(F.log(size) / math.log(BAND))
+    rows = early.join(mixed.select("shingle", F.col("top.component").alias("top")), "shingle").withColumn("outer", F.col("component") != F.col("top"))
+    rows = rows.select("*", band("n").alias("band"), F.explode(F.sequence(band("least"), band("most"))).alias("to"))
+    one = rows.where("outer").select("shingle", F.col("band").alias("x"), F.col("to").alias("y"), F.col("node").alias("i"), F.col("component").alias("of"), "n", "least", "most")
+    other = rows.select("shingle", F.col("to").alias("x"), F.col("band").alias("y"), F.col("node").alias("j"), "component", "outer", F.col("n").alias("m"), F.col("least").alias("low"), F.col("most").alias("high"))
+    fits = F.expr("component <> of AND m BETWEEN least AND most AND n BETWEEN low AND high AND (i < j OR NOT outer)")
+    met = one.join(other, ["shingle", "x", "y"]).where(fits)
     near = met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     either = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return near.join(either, ["a", "b"], "left_anti")

@@ -71,6 +71,30 @@ def test_a_large_group_of_near_copies(spark, hub, monkeypatch):
     assert sum(seen) < 9000
 
 
+def test_candidates_are_rare_in_both(spark):
+    """Nodes meet by shingles that are rare in both: no link is missed, and pairs that only share passages do not meet."""
+    rng = np.random.default_rng(8)
+    sets = []
+    for k in range(150):
+        # passages that many hold, some that few hold, some of its own; every third is a near copy of the one before
+        own = np.concatenate([np.arange(60), *(1000 * (p + 1) + np.arange(6) for p in rng.choice(25, 9, replace=False)), 10**6 + 100 * k + np.arange(rng.integers(2, 30))])
+        if k % 3 == 2:
+            own = np.concatenate([sets[-1][rng.integers(0, 2, len(sets[-1])) + rng.integers(0, 11, len(sets[-1])) > 0], 10**8 + 100 * k + np.arange(rng.integers(0, 9))])
+        sets.append(own)
+    hashed = [np.unique(common.mixed(x.astype(np.uint64))) for x in sets]
+    open_ = spark.createDataFrame([(b, k, k if k % 10 else 0) for b in (1, 2) for k in range(150)], "bucket long, node long, component long")
+    stored = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(hashed)], "node long, shingles binary")
+    got = [tuple(r) for r in neardup.candidates(open_, stored, 80, spark.createDataFrame([(2, 1)], "a long, b long")).collect()]
+    links = set()
+    for a in range(150):
+        for b in range(a + 1, 150):
+            shared = len(np.intersect1d(hashed[a], hashed[b]))
+            if 100 * shared >= 80 * (len(hashed[a]) + len(hashed[b]) - shared) and (a % 10 or b % 10) and (a, b) != (1, 2):
+                links.add((a, b))
+    assert len(got) == len(set(got)) and links <= set(got) and (1, 2) not in got
+    assert len(links) > 20 and len(got) < 1500, (len(links), len(got))
+
+
 def test_repeated_ids_are_documents_of_their_own(spark):
     base = " ".join("v%d" % k for k in range(60))
     other = " ".join("o%d" % k for k in range(400))
